@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, maglev, mpegts
+from . import bpe, chat_format, line_dedup, maglev, mix_sql, mpegts, ngram_jaccard, quality, source_mix
 from ._tables import table
 
 
@@ -16,6 +16,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents")).documents
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = source_mix.plan_mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_chunks", "n_removed")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -99,9 +119,11 @@ def op10_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_format, op6_mpegts_media, op9_maglev_sharding, op10_bpe_forced_boundaries)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_line_dedup, op4_quality, op5_chat_format, op6_mpegts_media, op9_maglev_sharding, op10_bpe_forced_boundaries)}
 
 ORACLES = {
+    "op2_source_mix": mix_sql.OP2_SQL,
+    "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_chat_format": OP5_SQL,
     "op9_maglev_sharding": maglev.assign_shards_sql("documents", "doc_id"),
 }

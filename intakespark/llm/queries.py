@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, line_dedup, maglev, mix_sql, mpegts, ngram_jaccard, quality, source_mix
+from . import bpe, chat_format, exact_topk, line_dedup, maglev, mix_sql, mpegts, ngram_jaccard, pii_feistel, quality, source_mix
 from ._tables import table
 
 
@@ -105,6 +105,14 @@ def op6_mpegts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_private")
+
+
 def op9_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
@@ -119,11 +127,12 @@ def op10_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_line_dedup, op4_quality, op5_chat_format, op6_mpegts_media, op9_maglev_sharding, op10_bpe_forced_boundaries)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_line_dedup, op4_quality, op5_chat_format, op6_mpegts_media, op7_exact_topk, op8_pii_feistel, op9_maglev_sharding, op10_bpe_forced_boundaries)}
 
 ORACLES = {
     "op2_source_mix": mix_sql.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_chat_format": OP5_SQL,
+    "op7_exact_topk": exact_topk.OP7_SQL,
     "op9_maglev_sharding": maglev.assign_shards_sql("documents", "doc_id"),
 }

@@ -26,21 +26,28 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def chunk_lines(text: Column, modulus: int = MODULUS) -> Column:
     """array<struct<lines int, chunk string>> of a text, in order; joined by line feeds they give the text again.
 
     Line i ends a chunk where 31 times its hash and the hash of the line before it divide by ``modulus``.
     """
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, line_hash)
-    rows = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.coalesce(F.get(hashes, i - 1), F.lit(0)).alias("p"), i.alias("i")))
-    last = F.size(lines) - 1
-    ends = F.transform(F.filter(rows, lambda r: (r["i"] == last) | (F.pmod(r["h"] * 31 + r["p"], F.lit(modulus)) == 0)), lambda r: r["i"])
-    spans = F.transform(ends, lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1).alias("s"), e.alias("e")))
-    return F.transform(
-        spans,
-        lambda x: F.struct((x["e"] - x["s"] + 1).alias("lines"), F.array_join(F.slice(lines, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("chunk")),
-    )
+
+    def cut(lines: Column, hashes: Column) -> Column:
+        ends_here = lambda i: (i == F.size(lines) - 1) | (F.pmod(F.get(hashes, i) * 31 + F.coalesce(F.get(hashes, i - 1), F.lit(0)), F.lit(modulus)) == 0)
+        return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), ends_here)
+
+    def join(lines: Column, ends: Column) -> Column:
+        begin = lambda k: F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
+        return F.transform(ends, lambda e, k: F.struct((e - begin(k) + 1).alias("lines"), F.array_join(F.slice(lines, begin(k) + 1, e - begin(k) + 1), "\n").alias("chunk")))
+
+    # Each step is bound once: an expression that a lambda repeats would be computed again for every line.
+    hashed = lambda lines: _bind(F.transform(lines, line_hash), lambda hashes: _bind(cut(lines, hashes), lambda ends: join(lines, ends)))
+    return _bind(F.split(text, "\n", -1), hashed)
 
 
 def _removable(c: Column, least_lines: int, least_chars: int) -> Column:

@@ -274,9 +274,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     a, b = rest.alias("a"), rest.alias("b")
     i, j, n, m = F.col("a.at"), F.col("b.at"), F.col("a.n"), F.col("b.n")
     short = F.ceil(percent * (n + m) / F.lit(100 + percent))
-    reach = 1 + F.least(i, j) + F.least(n - 1 - i, m - 1 - j)
+    # The first shingle that two sets share leaves them no more than the places after it, so it stands early in both.
+    early = (i <= n - short) & (j <= m - short)
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
-    met = a.join(b, on & _may_link(n, m, percent) & (reach >= short))
+    met = a.join(b, on & _may_link(n, m, percent) & early)
     pairs = met.groupBy(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"), n.alias("n"), m.alias("m")).agg(
         F.count(F.lit(1)).alias("shared"), F.max(i).alias("i"), F.max(j).alias("j")
     )

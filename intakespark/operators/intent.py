@@ -19,7 +19,7 @@ from .lexicon import LADDERS, Lexicon, load_lexicon
 EXPECTED = {"budget_status": "budget", "urgency": "timeline / urgency", "decision_authority": "decision authority", "buying_stage": "buying stage", "pain_severity": "pain severity"}
 SOLUTION = {"UNKNOWN": "UNKNOWN", "AWARENESS": "GENERAL_INTEREST", "EXPLORATION": "EXPLORATION", "EVALUATION": "EVALUATION", "DECISION": "EVALUATION", "PURCHASE": "IMPLEMENTATION"}
 SIGNAL = "struct<operative:boolean,strength:double,specificity:double,confidence:double,back:int,order:array<int>,dimension:string,value:string,polarity:string,rule_id:string,evidence:string,start:int,end:int,clause:int,negated:boolean>"
-_RULE = "array<struct<seq:int,id:string,dimension:string,value:string,negated_value:string,strength:double,specificity:double,any:string,patterns:array<string>>>"
+_RULE = "array<struct<seq:int,id:string,dimension:string,value:string,negated_value:string,strength:double,specificity:double,patterns:array<string>>>"
 
 
 def _union(patterns) -> str:
@@ -32,9 +32,16 @@ def _literal(rows: list[dict], kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), kind)
 
 
+def _hits(text: Column, rows: Column, patterns: list[str]) -> Column:
+    """Those rows of a literal array whose pattern occurs in the text. The patterns are literals, so each is compiled once a task."""
+    if not patterns:
+        return F.slice(rows, F.lit(1), F.lit(0))
+    return F.array_compact(F.array(*(F.when(text.rlike(p), F.get(rows, F.lit(k))) for k, p in enumerate(patterns))))
+
+
 def signals(clauses: Column, raw: Column, lexicon: Lexicon) -> Column:
     """array of all signals of a note, in the order of clauses, rules, patterns and places."""
-    rules = _literal([r | {"seq": k, "any": _union(r["patterns"])} for k, r in enumerate(lexicon.rules)], _RULE)
+    rules = _literal([r | {"seq": k} for k, r in enumerate(lexicon.rules)], _RULE)
     every = _union(p for r in lexicon.rules for p in r["patterns"])
 
     def signal(c: Column, ci: Column, r: Column, pi: Column, m: Column, mi: Column) -> Column:
@@ -65,7 +72,7 @@ def signals(clauses: Column, raw: Column, lexicon: Lexicon) -> Column:
         return F.flatten(F.transform(r["patterns"], lambda p, pi: F.transform(matches(c["text"], p), lambda m, mi: signal(c, ci, r, pi, m, mi))))
 
     def of_clause(c: Column, ci: Column) -> Column:
-        fired = F.flatten(F.transform(F.filter(rules, lambda r: F.regexp(c["text"], r["any"])), lambda r: of_rule(c, ci, r)))
+        fired = F.flatten(F.transform(_hits(c["text"], rules, [_union(r["patterns"]) for r in lexicon.rules]), lambda r: of_rule(c, ci, r)))
         return F.when(c["text"].rlike(every), F.filter(fired, lambda s: s["value"].isNotNull()).cast(f"array<{SIGNAL}>")).otherwise(F.array().cast(f"array<{SIGNAL}>"))
 
     return F.flatten(F.transform(clauses, of_clause))
@@ -133,15 +140,15 @@ def intent_type(norm: Column, raw: Column, clauses: Column, lexicon: Lexicon) ->
         return let(first_match(norm, t["pattern"]), placed)
 
     unknown = F.struct(F.lit("UNKNOWN").alias("type"), F.lit(0.3).alias("confidence"), F.lit("").alias("evidence"))
-    hit = F.get(F.filter(F.transform(F.filter(rows, lambda t: F.regexp(norm, t["pattern"])), tried), lambda x: x.isNotNull()), F.lit(0))
+    hit = F.get(F.filter(F.transform(_hits(norm, rows, [r["pattern"] for r in flat]), tried), lambda x: x.isNotNull()), F.lit(0))
     return F.when(norm.rlike(_union(r["pattern"] for r in flat)), F.coalesce(hit, unknown)).otherwise(unknown) if flat else unknown
 
 
 def problems(norm: Column, raw: Column, lexicon: Lexicon) -> Column:
     """array<struct<label, category, evidence>> of the problems a note names, each label once."""
-    rows = _literal([p | {"any": _union(p["patterns"])} for p in lexicon.problems], "array<struct<label:string,category:string,any:string,patterns:array<string>>>")
+    rows = _literal([dict(p) for p in lexicon.problems], "array<struct<label:string,category:string,patterns:array<string>>>")
     one = lambda p: let(F.get(F.filter(F.transform(p["patterns"], lambda x: first_match(norm, x)), lambda m: m.isNotNull()), F.lit(0)), lambda m: F.struct(p["label"].alias("label"), p["category"].alias("category"), snippet(raw, m["s"], m["e"]).alias("evidence")))
-    return F.transform(F.filter(rows, lambda p: F.regexp(norm, p["any"])), one)
+    return F.transform(_hits(norm, rows, [_union(p["patterns"]) for p in lexicon.problems]), one)
 
 
 def timeline(norm: Column, lexicon: Lexicon) -> Column:
@@ -159,7 +166,7 @@ def timeline(norm: Column, lexicon: Lexicon) -> Column:
 
 def negatives(norm: Column, raw: Column, lexicon: Lexicon) -> Column:
     """array<struct<code, reason, evidence, start, end, severity>>, the gravest first."""
-    rows = _literal([n | {"seq": k, "any": _union(n["patterns"])} for k, n in enumerate(lexicon.negatives)], "array<struct<seq:int,code:string,reason:string,severity:double,any:string,patterns:array<string>>>")
+    rows = _literal([n | {"seq": k} for k, n in enumerate(lexicon.negatives)], "array<struct<seq:int,code:string,reason:string,severity:double,patterns:array<string>>>")
 
     def one(n: Column) -> Column:
         hit = F.get(F.filter(F.transform(n["patterns"], lambda x: first_match(norm, x)), lambda m: m.isNotNull()), F.lit(0))
@@ -170,7 +177,7 @@ def negatives(norm: Column, raw: Column, lexicon: Lexicon) -> Column:
             ),
         )
 
-    ordered = F.array_sort(F.transform(F.filter(rows, lambda n: F.regexp(norm, n["any"])), one))
+    ordered = F.array_sort(F.transform(_hits(norm, rows, [_union(n["patterns"]) for n in lexicon.negatives]), one))
     return F.transform(ordered, lambda n: F.struct(*(n[k].alias(k) for k in ("code", "reason", "evidence", "start", "end", "severity"))))
 
 

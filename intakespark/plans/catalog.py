@@ -1,5 +1,283 @@
-"""Registered queries of the core library and their SQL counterparts."""
+"""Registered queries of the core library, by survey id, and their SQL counterparts.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Most run over the synthetic contact table. Its expensive part (parsing, reading
+notes, scoring) is planned once a session and folder and kept, as reports on
+one load would be.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.amounts import parse_amount
+from ..functions.contacts import parse_email, parse_lead_id, parse_website, registrable
+from ..functions.dates import infer_order_policy, order_evidence, parse_date_column
+from ..functions.fit import employees_of, in_profile, is_non_buyer, size_band, source_quality, title_authority
+from ..functions.results import all_codes, as_json
+from ..functions.texts import normalise, split_clauses, word_count
+from ..operators import cleaning, reports
+from ..operators.intent import extract_intent, profile_json
+from ..sources.contacts import drop_test_rows, load_report, with_row_index
+from ..sources.synthetic import NOTES, contacts, contacts_sql
+from .contacts import flat_frame, process
+
+_kept: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+AS_OF = "2026-01-01"
 FLAGSHIP = "A1_leads_per_band"
+
+
+def _load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        scored = process(contacts(spark, sf_dir), as_of=F.lit(AS_OF).cast("date")).persist()
+        _kept[key] = (scored, flat_frame(scored).persist())
+    return _kept[key]
+
+
+def _scored(spark, d):
+    return _load(spark, d)[0]
+
+
+def _flat(spark, d):
+    return _load(spark, d)[1]
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _p7(spark, d):
+    r = parse_lead_id(F.col("lead_id"))
+    v = F.col("r")["value"]
+    return contacts(spark, d).select("seq", r.alias("r")).select("seq", F.col("r")["code"].alias("code"), v["canonical"].alias("canonical"), v["number"].cast("bigint").alias("number"), F.array_join(F.col("r")["warnings"], ",").alias("warnings"))
+
+
+def _p1(spark, d):
+    v = F.col("r")["value"]
+    rows = contacts(spark, d).where(F.col("seq") % 20 < 19).select("seq", parse_amount(F.col("monthly_budget")).alias("r"))
+    return rows.select("seq", F.col("r")["code"].alias("code"), F.bround(v["value"], 2).alias("value"), F.bround(v["monthly"], 2).alias("monthly"), v["period"].alias("period"), v["currency"].alias("currency"), F.array_join(F.col("r")["warnings"], ",").alias("warnings"))
+
+
+def _p3(spark, d):
+    rows = parse_date_column(contacts(spark, d), "created", "r", as_of=F.lit(AS_OF).cast("date"))
+    return rows.select("seq", F.col("r")["code"].alias("code"), F.col("r")["value"]["date"].cast("string").alias("parsed"))
+
+
+def _p6(spark, d):
+    v = F.col("r")["value"]
+    return contacts(spark, d).select("seq", parse_email(F.col("email")).alias("r")).select("seq", F.col("r")["code"].alias("code"), v["address"].alias("address"), F.array_join(F.col("r")["warnings"], ",").alias("warnings"))
+
+
+def _p8(spark, d):
+    v = F.col("r")["value"]
+    return contacts(spark, d).select("seq", parse_website(F.col("website")).alias("r")).select("seq", F.col("r")["code"].alias("code"), v["url"].alias("url"), v["registrable_domain"].alias("registrable"))
+
+
+def _p9(spark, d):
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)
+    return _t(spark, d, "pages").select("page_id", registrable(host)["domain"].alias("registrable")).groupBy("registrable").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def _notes(spark, d, name):
+    i = F.col("intent")
+    kept = contacts(spark, d).select("seq", "notes")
+    return extract_intent(kept).select("seq", *{"N8": [i["intent_type"]["type"].alias("intent_type")]}.get(name, []))
+
+
+def _resolved(spark, d):
+    p = F.col("intent")
+    dims = ("buying_stage", "budget_status", "urgency", "pain_severity", "competitive_evaluation")
+    return extract_intent(contacts(spark, d).select("seq", "notes")).select("seq", p["intent_type"]["type"].alias("intent_type"), *(p[x]["value"].alias(x) for x in dims), p["timeline_days"].alias("timeline_days"), F.array_join(F.transform(p["negatives"], lambda n: n["code"]), ",").alias("negatives"))
+
+
+def _texts(spark, d):
+    """Clauses of whole conversation turns."""
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", split_clauses(normalise(F.col("text"))).alias("c"), word_count(F.col("text")).alias("words"))
+    return rows.select("conv_id", "turn", F.size("c").cast("long").alias("clauses"), F.col("words").cast("long").alias("words"), F.size(F.filter("c", lambda x: x["operative"])).cast("long").alias("operative"))
+
+
+def _frame_orders(spark, d):
+    """Orders per priority with their share in each status: the lookups and shares of the reports on the order table."""
+    o = _t(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return o.withColumn("share", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy("o_orderstatus")), 6))
+
+
+def _fit(spark, d):
+    size = employees_of(F.col("employees"))
+    c = contacts(spark, d)
+    return c.select("seq", size.alias("head_count"), size_band(size).alias("band"), title_authority(F.col("title")).alias("level"), is_non_buyer(F.col("title")).alias("non_buyer"), in_profile(F.col("company"), F.col("notes")).alias("icp"), source_quality(F.col("source")).alias("quality"))
+
+
+def _json(spark, d):
+    return _scored(spark, d).select("seq", F.get_json_object(profile_json(F.col("intent")), "$.intent_type.type").alias("intent_type"), F.get_json_object(as_json(F.col("email_result")), "$.code").alias("email_code"))
+
+
+QUERIES = {
+    "A1_leads_per_band": lambda s, d: reports.leads_per_band(_scored(s, d)),
+    "A2_stage_by_budget": lambda s, d: reports.stage_by_budget(_flat(s, d)),
+    "A3_top_enquiry_types": lambda s, d: reports.top_values(_flat(s, d), "intent_type"),
+    "A4_source_by_band": lambda s, d: reports.source_by_band(_flat(s, d)),
+    "A5_problem_counts": lambda s, d: reports.problem_counts(_flat(s, d)),
+    "A6_score_histogram": lambda s, d: reports.score_histogram(_flat(s, d)),
+    "A7_pipeline_value": lambda s, d: reports.pipeline_value(_flat(s, d)),
+    "A8_kpis": lambda s, d: reports.kpis(_flat(s, d)),
+    "A9_route_counts": lambda s, d: reports.route_counts(_flat(s, d)),
+    "A10_parse_rates": lambda s, d: reports.parse_rates(_scored(s, d)),
+    "A11_code_histogram": lambda s, d: reports.code_histogram(_scored(s, d)),
+    "A12_date_evidence": lambda s, d: order_evidence(drop_test_rows(contacts(s, d)), "created"),
+    "A13_duplicate_count": lambda s, d: reports.duplicate_count(_scored(s, d)),
+    "A17_ledger_totals": lambda s, d: reports.ledger_totals(_scored(s, d)),
+    "A19_ledger_lines": lambda s, d: reports.ledger_lines(_scored(s, d)),
+    "F2_filter_leads": lambda s, d: reports.filter_leads(_flat(s, d), bands=["CONTACT_NOW", "CONSIDER"], sources=["referral", "linkedin"], least_confidence=0.5).select("row", "band", "source", "size_band"),
+    "F3_search": lambda s, d: reports.search(_flat(s, d), "agency|dealership").select("row", "company"),
+    "G_scored_leads": lambda s, d: _flat(s, d).select("row", "raw_score", "score", "band", "route"),
+    "N2_N16_intent_profiles": _resolved,
+    "N8_intent_type": lambda s, d: _notes(s, d, "N8"),
+    "P1_amounts": _p1,
+    "P3_dates": _p3,
+    "P4_date_policy": lambda s, d: infer_order_policy(drop_test_rows(contacts(s, d)), "created"),
+    "P6_emails": _p6,
+    "P7_lead_ids": _p7,
+    "P8_websites": _p8,
+    "P9_page_domains": _p9,
+    "P11_P14_fit": _fit,
+    "P15_result_codes": lambda s, d: _scored(s, d).select("seq", F.array_join(all_codes(F.col("id_result")), ",").alias("codes")),
+    "P16_data_issues": lambda s, d: _flat(s, d).select("row", "data_issues"),
+    "S5_kept_rows": lambda s, d: drop_test_rows(contacts(s, d)).select("seq", "lead_id", "source"),
+    "S6_row_index": lambda s, d: with_row_index(drop_test_rows(contacts(s, d))).select("seq", "row_index"),
+    "S10_profile_json": _json,
+    "S11_flat_frame": _flat,
+    "S12_load_report": lambda s, d: load_report(contacts(s, d)),
+    "T1_sorted_ids": lambda s, d: cleaning.sort_contacts(contacts(s, d)).withColumn("place", F.monotonically_increasing_id()).select("seq", "lead_id"),
+    "T4_top_scores": lambda s, d: reports.top_by_score(_flat(s, d)).select("row", "raw_score", "band"),
+    "T5_top_issues": lambda s, d: reports.top_by_issues(_flat(s, d)).select("row", "data_issues"),
+    "W1_duplicates": lambda s, d: cleaning.mark_duplicates(drop_test_rows(contacts(s, d)).withColumn("id_result", parse_lead_id(F.col("lead_id")))).select("seq", "is_duplicate"),
+    "W3_order_shares": _frame_orders,
+    "X2_conversation_clauses": _texts,
+}
+
+_C = f"WITH c AS ({contacts_sql()}), kept AS (SELECT * FROM c WHERE lower(trim(lead_id)) NOT IN ('header','testrow','asdf','test') AND lower(trim(source)) NOT IN ('test','source'))"
+_ID = """CASE WHEN lead_id = '' THEN 'ID_MISSING' WHEN lower(lead_id) IN ('asdf','test','testrow','header','lead_id','id','n/a','na','none','null','-') THEN 'JUNK'
+  WHEN NOT regexp_matches(lead_id, '[0-9]') THEN 'ID_NO_NUMBER'
+  WHEN NOT regexp_matches(lead_id, '^[A-Za-z]{0,5}[ _-]*[0-9]+([ _-]+[A-Za-z0-9_-]+)?$') THEN 'ID_MALFORMED' END"""
+_NUMBER = "CAST(regexp_extract(lead_id, '^[A-Za-z]{0,5}[ _-]*([0-9]+)', 1) AS BIGINT)"
+_IDS = f"ids AS (SELECT *, {_ID} AS bad, regexp_extract(lead_id, '^[A-Za-z]{{1,5}}') AS px, regexp_extract(lead_id, '[0-9]+[ _-]+([A-Za-z0-9_-]+)$', 1) AS sx FROM "
+
+#: What golden tests say of each note, in the order of the notes.
+_GOLDEN = (
+    ("PURCHASE", "PURCHASE", "APPROVED", "HIGH", "HIGH", "UNKNOWN", 14, ""),
+    ("UNKNOWN", "UNKNOWN", "NO_BUDGET", "MODERATE", "HIGH", "UNKNOWN", 90, ""),
+    ("UNKNOWN", "UNKNOWN", "NO_BUDGET", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "NO_BUDGET"),
+    ("UNKNOWN", "UNKNOWN", "ALLOCATED", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "OUT_OF_ICP"),
+    ("EMPLOYMENT", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "NOT_A_BUYER,JOB_SEEKER"),
+    ("EDUCATIONAL", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "STUDENT_OR_RESEARCH"),
+    ("SPAM", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "SPAM"),
+    ("PARTNERSHIP", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "PARTNERSHIP_ONLY"),
+    ("RESEARCH", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "STUDENT_OR_RESEARCH"),
+    ("PURCHASE", "EVALUATION", "UNKNOWN", "UNKNOWN", "UNKNOWN", "YES", None, ""),
+    ("PURCHASE", "EXPLORATION", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, ""),
+    ("UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, ""),
+    ("COMPETITIVE", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "COMPETITOR"),
+)
+_ROUTES = {"PURCHASE": "Sales", "UNKNOWN": "Sales", "PARTNERSHIP": "Partnerships", "RESEARCH": "Marketing", "EDUCATIONAL": "Community", "EMPLOYMENT": "Recruiting"}
+
+
+def _golden(k: int, key: str = "seq") -> str:
+    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
+    return f"CASE {key} % {len(NOTES)} " + " ".join(f"WHEN {i} THEN {lit(g[k])}" for i, g in enumerate(_GOLDEN)) + " END"
+
+
+def _case(n: int, values: dict, key: str = "seq") -> str:
+    return f"CASE {key} % {n} " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + " END"
+
+
+_EMAIL_CODES = ("OK", "OK_REPAIRED", "OK", "OK", "OK_NORMALISED", "EMAIL_MISSING_DOMAIN", "EMAIL_MISSING_LOCAL", "EMAIL_MISSING_TLD", "EMAIL_MULTIPLE_AT", "EMPTY", "JUNK", "EMAIL_NO_AT", "EMAIL_INVALID_CHARS", "EMAIL_INVALID_TLD", "OK", "EMAIL_INVALID_CHARS")
+_SITE_CODES = ("OK_NORMALISED", "OK_NORMALISED", "OK", "OK", "OK_NORMALISED", "WEB_NO_DOT", "WEB_INVALID_TLD", "EMPTY", "JUNK", "WEB_IS_EMAIL", "WEB_INVALID_HOST", "WEB_INVALID_HOST", "OK_NORMALISED")
+#: code, value, monthly, period, currency and warnings of the first 19 budget texts
+_AMOUNTS = (
+    ("OK", 6000, 6000, "month", "USD", "AMOUNT_NO_PERIOD"),
+    ("OK", 12000, 12000, "month", "USD", "AMOUNT_NO_PERIOD"),
+    ("OK_ASSUMED", 7000, 7000, "month", "USD", "AMOUNT_RANGE,AMOUNT_NO_PERIOD"),
+    ("OK_ASSUMED", 7000, 7000, "month", "USD", "AMOUNT_RANGE,AMOUNT_NO_PERIOD"),
+    ("OK_ASSUMED", 6500, 6500, "month", "USD", "AMOUNT_RANGE,AMOUNT_NO_PERIOD"),
+    ("OK", 0, 0, "month", "USD", "AMOUNT_ZERO,AMOUNT_NO_PERIOD"),
+    ("PLACEHOLDER", None, None, None, None, ""),
+    ("OK", 5, None, "hour", "USD", ""),
+    ("OK", 120000, 10000, "year", "USD", "AMOUNT_PERIOD_CONVERTED"),
+    ("EMPTY", None, None, None, None, ""),
+    ("JUNK", None, None, None, None, ""),
+    ("OK", 10000, 10000, "month", "USD", "AMOUNT_OPEN_ENDED,AMOUNT_NO_PERIOD"),
+    ("OK", 10000, 10000, "month", "USD", "AMOUNT_OPEN_ENDED,AMOUNT_NO_PERIOD"),
+    ("OK_ASSUMED", 7000, 7000, "month", "USD", ""),
+    ("OK", 900, 3910.5, "week", "USD", "AMOUNT_PERIOD_CONVERTED"),
+    ("AMOUNT_NO_DIGITS", None, None, None, None, ""),
+    ("OUT_OF_RANGE", None, None, None, None, ""),
+    ("OK_ASSUMED", 7000, 7000, "month", "USD", "AMOUNT_INVERTED_RANGE,AMOUNT_RANGE,AMOUNT_NO_PERIOD"),
+    ("OK", 2500000, None, "one_off", "GBP", ""),
+)
+
+
+def _amount_sql() -> str:
+    def pick(k: int, quote: bool) -> str:
+        show = lambda v: "NULL" if v is None else f"'{v}'" if quote else f"CAST({v} AS DOUBLE)"
+        return _case(20, {i: show(a[k]) for i, a in enumerate(_AMOUNTS)})
+
+    names = ("code", "value", "monthly", "period", "currency", "warnings")
+    return f"{_C} SELECT seq, " + ", ".join(f"{pick(k, n not in ('value', 'monthly'))} AS {n}" for k, n in enumerate(names)) + " FROM c WHERE seq % 20 < 19"
+
+
+_NUMERIC = r"'^([0-9]{1,2})([-/.])([0-9]{1,2})[-/.]([0-9]{2}|[0-9]{4})$'"
+_EVIDENCE = f"""e AS (SELECT regexp_extract(created, {_NUMERIC}, 2) AS separator, CAST(regexp_extract(created, {_NUMERIC}, 1) AS INT) AS a, CAST(regexp_extract(created, {_NUMERIC}, 3) AS INT) AS b
+  FROM kept WHERE regexp_matches(created, {_NUMERIC})),
+v AS (SELECT separator, count(*) FILTER (a > 12 AND b <= 12) AS day_first, count(*) FILTER (b > 12 AND a <= 12) AS month_first FROM e GROUP BY separator)"""
+
+ORACLES = {
+    "A3_top_enquiry_types": f"{_C} SELECT {_golden(0)} AS value, count(*) AS leads FROM kept GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
+    "A9_route_counts": f"{_C} SELECT {_case(len(NOTES), {i: repr(_ROUTES.get(g[0], 'None')) for i, g in enumerate(_GOLDEN)})} AS route, count(*) AS leads FROM kept GROUP BY 1",
+    "A12_date_evidence": f"{_C}, {_EVIDENCE} SELECT * FROM v",
+    "A13_duplicate_count": f"{_C}, {_IDS} kept), n AS (SELECT {_NUMBER} AS num, count(*) AS k FROM ids WHERE bad IS NULL GROUP BY 1) SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicates FROM n",
+    "N2_N16_intent_profiles": f"{_C} SELECT seq, " + ", ".join(f"{_golden(k)} AS {n}" for k, n in enumerate(("intent_type", "buying_stage", "budget_status", "urgency", "pain_severity", "competitive_evaluation", "timeline_days", "negatives"))) + " FROM c",
+    "N8_intent_type": f"{_C} SELECT seq, {_golden(0)} AS intent_type FROM c",
+    "P1_amounts": _amount_sql(),
+    "P4_date_policy": f"""{_C}, {_EVIDENCE} SELECT separator, CASE WHEN day_first > month_first THEN 'day_first' ELSE 'month_first' END AS "order" FROM v WHERE day_first <> month_first""",
+    "P3_dates": f"""{_C} SELECT seq,
+  {_case(16, {0: "CASE WHEN seq % 28 + 1 > 12 THEN 'OK' ELSE 'OK_ASSUMED' END", 1: "CASE WHEN seq % 28 + 1 > 12 THEN 'OK' ELSE 'OK_ASSUMED' END", 2: "'OK'", 3: "'OK'", 4: "CASE WHEN seq % 31 + 1 = 31 THEN 'DATE_IMPOSSIBLE' ELSE 'OK' END", 5: "'OK'", 6: "'OK'", 7: "'OK_ASSUMED'", 8: "'OK_ASSUMED'", 9: "'DATE_IMPOSSIBLE'", 10: "'DATE_IMPOSSIBLE'", 11: "'DATE_UNKNOWN_FORMAT'", 12: "'EMPTY'", 13: "'JUNK'", 14: "'OUT_OF_RANGE'", 15: "'OK_ASSUMED'"})} AS code,
+  {_case(16, {
+      0: "'2024-' || lpad(CAST(seq % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(seq % 28 + 1 AS VARCHAR), 2, '0')",
+      1: "'2024-' || lpad(CAST(seq % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(seq % 28 + 1 AS VARCHAR), 2, '0')",
+      2: "'2024-' || lpad(CAST(seq % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(seq % 28 + 1 AS VARCHAR), 2, '0')",
+      3: "'2024-06-' || lpad(CAST(seq % 30 + 1 AS VARCHAR), 2, '0')",
+      4: "CASE WHEN seq % 31 + 1 < 31 THEN '2024-06-' || lpad(CAST(seq % 31 + 1 AS VARCHAR), 2, '0') END",
+      5: "'2024-' || lpad(CAST(seq % 12 + 1 AS VARCHAR), 2, '0') || '-07'",
+      6: "'2024-06-08'", 7: "'2023-06-01'", 8: "'2023-11-01'", 15: "'2024-03-04'"})} AS parsed FROM c""",
+    "P6_emails": f"""{_C} SELECT seq, {_case(16, {k: repr(v) for k, v in enumerate(_EMAIL_CODES)})} AS code,
+  {_case(16, {0: "'user' || seq || '@firm' || seq % 40 || '.com'", 1: "'kunle@meridian' || seq % 7 || '.com'", 2: "'blessing@proton.me'", 3: "'info@acme.com'", 4: "'jane@acme.com'", 14: "'tmp@yopmail.com'"})} AS address,
+  CASE seq % 16 WHEN 2 THEN 'EMAIL_FREEMAIL' WHEN 3 THEN 'EMAIL_ROLE_ADDRESS' WHEN 14 THEN 'EMAIL_DISPOSABLE' ELSE '' END AS warnings FROM c""",
+    "P7_lead_ids": f"""{_C}, {_IDS} c) SELECT seq, coalesce(bad, CASE WHEN px <> '' AND sx = '' THEN 'OK' ELSE 'OK_NORMALISED' END) AS code,
+  CASE WHEN bad IS NULL THEN CASE WHEN px = '' THEN 'L' ELSE upper(px) END || '-' || {_NUMBER} || CASE WHEN sx <> '' THEN '-' || sx ELSE '' END END AS canonical,
+  CASE WHEN bad IS NULL THEN {_NUMBER} END AS number, CASE WHEN bad IS NULL AND sx <> '' THEN 'ID_HAS_SUFFIX' ELSE '' END AS warnings FROM ids""",
+    "P8_websites": f"""{_C} SELECT seq, {_case(13, {k: repr(v) for k, v in enumerate(_SITE_CODES)})} AS code,
+  {_case(13, {0: "'https://firm' || seq % 40 || '.com'", 1: "'https://apexsend.co'", 2: "'http://upshiftloop.agency'", 3: "'https://x.co.uk'", 4: "'https://sub.foo.com.ng'", 12: "'https://firm.com'"})} AS url,
+  {_case(13, {0: "'firm' || seq % 40 || '.com'", 1: "'apexsend.co'", 2: "'upshiftloop.agency'", 3: "'x.co.uk'", 4: "'foo.com.ng'", 12: "'firm.com'"})} AS registrable FROM c""",
+    "P9_page_domains": """WITH h AS (SELECT string_split(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '.') AS l FROM pages)
+SELECT CASE WHEN len(l) >= 3 AND array_to_string(l[-2:], '.') IN ('co.uk','org.uk','ac.uk','gov.uk','co.za','com.au','net.au','org.au','co.nz','com.ng','org.ng','co.ke','com.br','co.in','com.sg','co.jp','com.mx','com.tr','co.il','com.gh')
+  THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS registrable, count(*) AS pages FROM h GROUP BY 1""",
+    "P11_P14_fit": f"""{_C}, n AS (SELECT *, list_transform(regexp_extract_all(employees, '[0-9]+'), lambda x: CAST(x AS BIGINT)) AS l, lower(title) AS t, lower(company || ' ' || notes) AS said FROM c),
+h AS (SELECT *, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) > 1 THEN CAST(round_even(list_sum(l) / len(l), 0) AS BIGINT) END AS head_count FROM n)
+SELECT seq, head_count, CASE WHEN head_count BETWEEN 1 AND 1 THEN 'solo' WHEN head_count BETWEEN 2 AND 9 THEN 'micro' WHEN head_count BETWEEN 10 AND 24 THEN 'small' WHEN head_count BETWEEN 25 AND 74 THEN 'mid' WHEN head_count BETWEEN 75 AND 999999 THEN 'large' ELSE 'unknown' END AS band,
+  CASE t WHEN 'founder' THEN 'LIKELY' WHEN 'ceo' THEN 'LIKELY' WHEN 'director of sales' THEN 'LIKELY' WHEN 'head of ops' THEN 'INFLUENCER' WHEN 'marketing manager' THEN 'INFLUENCER' WHEN 'student' THEN 'NONE' WHEN 'recruiter' THEN 'NONE' END AS level,
+  t IN ('student', 'recruiter') AS non_buyer,
+  CASE WHEN regexp_matches(said, 'not an agency|small local business|car dealership') THEN false
+    WHEN regexp_matches(said, 'we''?re an? .{{0,40}}agency|\\bour (clients|accounts)\\b|agency owner') OR regexp_matches(lower(company), 'agency|marketing|growth|media|gtm|seo|ppc|demand gen|outbound|performance|lead gen|appointment.setting') THEN true END AS icp,
+  CAST(CASE lower(source) WHEN 'referral' THEN 1.0 WHEN 'linkedin' THEN 0.8 WHEN 'event' THEN 0.7 WHEN 'cold reply' THEN 0.6 WHEN 'webform' THEN 0.5 ELSE 0.4 END AS DOUBLE) AS quality FROM h""",
+    "S5_kept_rows": f"{_C} SELECT seq, lead_id, source FROM kept",
+    "S6_row_index": f"{_C} SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS row_index FROM kept",
+    "S10_profile_json": f"{_C} SELECT seq, {_golden(0)} AS intent_type, {_case(16, {k: repr(v) for k, v in enumerate(_EMAIL_CODES)})} AS email_code FROM kept",
+    "S12_load_report": f"""{_C}, x AS (SELECT seq, lead_id FROM c WHERE seq NOT IN (SELECT seq FROM kept) ORDER BY seq LIMIT 5)
+SELECT (SELECT count(*) FROM c) AS rows_in_file, (SELECT count(*) FROM kept) AS rows_loaded, (SELECT count(*) FROM c) - (SELECT count(*) FROM kept) AS rows_dropped, (SELECT string_agg(lead_id, ',' ORDER BY seq) FROM x) AS dropped_examples""",
+    "T1_sorted_ids": f"{_C} SELECT seq, lead_id FROM c",
+    "F3_search": f"{_C} SELECT seq AS row, company FROM kept WHERE regexp_matches(lower(company || ' ' || name || ' ' || notes), 'agency|dealership')",
+    "W1_duplicates": f"{_C}, {_IDS} kept), n AS (SELECT {_NUMBER} AS num, min(seq) AS first FROM ids WHERE bad IS NULL GROUP BY 1) SELECT seq, bad IS NULL AND seq > first AS is_duplicate FROM ids LEFT JOIN n ON bad IS NULL AND num = CASE WHEN bad IS NULL THEN {_NUMBER} END",
+    "W3_order_shares": "SELECT o_orderstatus, o_orderpriority, n, round(n / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS share FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)",
+}

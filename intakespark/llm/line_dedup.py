@@ -74,14 +74,15 @@ def remove_repeated_chunks(docs: DataFrame, modulus: int = MODULUS, least_lines:
     gone = met.where(~F.col("kept")).join(firsts, "hash").where(F.col("chunk") == F.col("original"))
     lists = gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
 
-    d, g = docs.withColumn("_row", F.xxhash64("text")).alias("d"), lists.alias("g")
-    both = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._row") == F.col("g.row")), "left")
-    chunks = F.col("_chunks")
-    out = both.select("d.*", "gone", chunk_lines(F.col("d.text"), modulus).alias("_chunks"))
+    # The input's columns travel in a struct, so that none of them can clash with those added here.
+    d, g = docs.select(F.struct(*docs.columns).alias("own"), "doc_id", F.xxhash64("text").alias("row")).alias("d"), lists.alias("g")
+    both = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row")), "left")
+    chunks = F.col("chunks")
+    out = both.select("own", F.col("own.text").alias("text"), "g.gone", chunk_lines(F.col("own.text"), modulus).alias("chunks"))
     left = F.filter(F.transform(chunks, lambda c, i: F.struct(c["chunk"].alias("chunk"), i.alias("i"))), lambda c: ~F.array_contains("gone", c["i"]))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["chunk"]), "\n"))
     return out.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(text.alias("text") if c == "text" else F.col("own")[c].alias(c) for c in docs.columns),
         F.when(F.col("text").isNull(), 0).otherwise(F.aggregate(chunks, F.lit(0), lambda s, c: s + c["lines"])).cast("long").alias("n_lines"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(chunks)).cast("long").alias("n_chunks"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),

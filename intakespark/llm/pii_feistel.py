@@ -234,7 +234,9 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -
     replaced. An empty table gives an empty one.
     """
     docs = docs.drop("n_private")
-    pattern, text = _search_pattern(), F.col(text_col)
+    # The input's columns travel in a struct, so that none of them can clash with those added here.
+    own = F.struct(*docs.columns).alias("own")
+    pattern, text = _search_pattern(), F.col("own")[text_col]
     swap = lambda v: F.struct(v.alias("old"), _let(kind_of(v), lambda k: pseudonym(v, k, key)).alias("new"))
 
     def put(swaps: Column) -> Column:
@@ -243,7 +245,7 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -
 
     # Every kind of value holds a digit or an at sign; most texts hold neither and are passed over quickly.
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    done = docs.withColumn("_found", found)
-    done = done.withColumn("_done", F.when(F.size("_found") > 0, _let(F.transform("_found", swap), put)))
-    columns = [F.coalesce("_done.text", text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return done.select(*columns, F.coalesce("_done.n", F.lit(0)).cast("long").alias("n_private"))
+    done = docs.select(own).withColumn("found", found)
+    done = done.withColumn("done", F.when(F.size("found") > 0, _let(F.transform("found", swap), put)))
+    columns = [F.coalesce("done.text", text).alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns]
+    return done.select(*columns, F.coalesce("done.n", F.lit(0)).cast("long").alias("n_private"))

@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int
     """Train on at most ``sample`` labelled documents outside the held-out fifth.
 
     Labels with a null id or target are left out; of an id labelled both ways the larger label counts, and of
-    rows that share an id every text is used.
+    rows that share an id several texts are used, ``2 * sample`` in all at most.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("label"))

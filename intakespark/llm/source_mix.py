@@ -192,12 +192,15 @@ def _schedule(sources: DataFrame, block: int) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, keys: list[str], **how) -> DataFrame:
-    """The mixed corpus in whole documents: every row as often as the schedule takes its first word."""
+    """The mixed corpus in whole documents: every row as often as the schedule takes its first word.
+
+    Rows that share all keys share their copies, rounded up. All columns are kept, whatever their names.
+    """
     mix = plan_mix(docs, keys, **how)
     chosen = mix.taken().where(F.col("copies") > 0).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     same = None
     for k in keys:
         on = F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
         same = on if same is None else same & on
-    times = F.sequence(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows")).cast("int"))
-    return docs.alias("d").join(chosen.alias("c"), same).select("d.*", F.explode(times).alias("_pass")).drop("_pass")
+    times = F.sequence(F.lit(1), F.ceil(F.col("c._copies") / F.col("c._rows")).cast("int"))
+    return docs.alias("d").join(chosen.alias("c"), same).select(F.struct("d.*").alias("d"), F.explode(times).alias("pass")).select("d.*")

@@ -55,7 +55,7 @@ def _p7(spark, d):
 
 def _p1(spark, d):
     v = F.col("r")["value"]
-    rows = contacts(spark, d).where(F.col("seq") % 20 < 19).select("seq", parse_amount(F.col("monthly_budget")).alias("r"))
+    rows = contacts(spark, d).select("seq", parse_amount(F.col("monthly_budget")).alias("r"))
     return rows.select("seq", F.col("r")["code"].alias("code"), F.bround(v["value"], 2).alias("value"), F.bround(v["monthly"], 2).alias("monthly"), v["period"].alias("period"), v["currency"].alias("currency"), F.array_join(F.col("r")["warnings"], ",").alias("warnings"))
 
 
@@ -167,7 +167,7 @@ _IDS = f"ids AS (SELECT *, {_ID} AS bad, regexp_extract(lead_id, '^[A-Za-z]{{1,5
 #: What golden tests say of each note, in the order of the notes.
 _GOLDEN = (
     ("PURCHASE", "PURCHASE", "APPROVED", "HIGH", "HIGH", "UNKNOWN", 14, ""),
-    ("UNKNOWN", "UNKNOWN", "NO_BUDGET", "MODERATE", "HIGH", "UNKNOWN", 90, ""),
+    ("UNKNOWN", "UNKNOWN", "NOT_LOCKED", "MODERATE", "HIGH", "UNKNOWN", 90, ""),
     ("UNKNOWN", "UNKNOWN", "NO_BUDGET", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "NO_BUDGET"),
     ("UNKNOWN", "UNKNOWN", "ALLOCATED", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "OUT_OF_ICP"),
     ("EMPLOYMENT", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "NOT_A_BUYER,JOB_SEEKER"),
@@ -218,13 +218,17 @@ _AMOUNTS = (
 )
 
 
+#: The twentieth text is a plain number, three times the key: read as it stands, up to the largest plausible amount.
+_PLAIN_AMOUNT = {"code": ("'OK'", "'OUT_OF_RANGE'"), "value": ("CAST(seq * 3 AS DOUBLE)", "NULL"), "monthly": ("CAST(seq * 3 AS DOUBLE)", "NULL"), "period": ("'month'", "NULL"), "currency": ("'USD'", "NULL"), "warnings": ("'AMOUNT_NO_PERIOD'", "''")}
+
+
 def _amount_sql() -> str:
-    def pick(k: int, quote: bool) -> str:
-        show = lambda v: "NULL" if v is None else f"'{v}'" if quote else f"CAST({v} AS DOUBLE)"
-        return _case(20, {i: show(a[k]) for i, a in enumerate(_AMOUNTS)})
+    def pick(k: int, name: str) -> str:
+        show = lambda v: "NULL" if v is None else f"CAST({v} AS DOUBLE)" if name in ("value", "monthly") else f"'{v}'"
+        good, far = _PLAIN_AMOUNT[name]
+        return _case(20, {i: show(a[k]) for i, a in enumerate(_AMOUNTS)} | {19: f"CASE WHEN seq * 3 <= 5000000 THEN {good} ELSE {far} END"})
 
-    names = ("code", "value", "monthly", "period", "currency", "warnings")
-    return f"{_C} SELECT seq, " + ", ".join(f"{pick(k, n not in ('value', 'monthly'))} AS {n}" for k, n in enumerate(names)) + " FROM c WHERE seq % 20 < 19"
+    return f"{_C} SELECT seq, " + ", ".join(f"{pick(k, n)} AS {n}" for k, n in enumerate(_PLAIN_AMOUNT)) + " FROM c"
 
 
 _NUMERIC = r"'^([0-9]{1,2})([-/.])([0-9]{1,2})[-/.]([0-9]{2}|[0-9]{4})$'"
@@ -233,6 +237,7 @@ _EVIDENCE = f"""e AS (SELECT regexp_extract(created, {_NUMERIC}, 2) AS separator
 v AS (SELECT separator, count(*) FILTER (a > 12 AND b <= 12) AS day_first, count(*) FILTER (b > 12 AND a <= 12) AS month_first FROM e GROUP BY separator)"""
 
 ORACLES = {
+    "A2_stage_by_budget": f"{_C} SELECT {_golden(1)} AS buying_stage, {_golden(2)} AS budget_status, count(*) AS leads FROM kept GROUP BY 1, 2",
     "A3_top_enquiry_types": f"{_C} SELECT {_golden(0)} AS value, count(*) AS leads FROM kept GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
     "A9_route_counts": f"{_C} SELECT {_case(len(NOTES), {i: repr(_ROUTES.get(g[0], 'None')) for i, g in enumerate(_GOLDEN)})} AS route, count(*) AS leads FROM kept GROUP BY 1",
     "A12_date_evidence": f"{_C}, {_EVIDENCE} SELECT * FROM v",

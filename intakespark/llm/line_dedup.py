@@ -8,6 +8,10 @@ doc_id, then place), after its bytes have been compared with the kept ones.
 
 Only hashes are grouped over the whole corpus; texts move only for the chunks
 whose hash repeats, and to put documents together again.
+
+Chunks find a repeated passage only between two borders. ``remove_repeated_runs``
+takes repeated passages whole: every pair of neighbouring lines is an anchor, and
+anchors side by side make up a run of any length from two lines on.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from ._tables import Scratch
 MODULUS = 3
 #: A removable chunk has at least this many lines and characters.
 LEAST_LINES, LEAST_CHARS = 2, 40
+#: A single repeated line goes by itself if it has more words than this.
+LONG_WORDS = 50
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def line_hash(line: Column) -> Column:
@@ -89,6 +96,69 @@ def remove_repeated_chunks(docs: DataFrame, modulus: int = MODULUS, least_lines:
     )
 
 
+def _line_keys(text: Column) -> Column:
+    """The key of line i at place 2i and that of lines i and i + 1 together at place 2i + 1 (null after the last): 128 bits of SHA-256."""
+    key = lambda t: F.unhex(F.substring(F.sha2(t.cast("binary"), 256), 1, 32))
+    both = lambda lines, x, i: F.when(i < F.size(lines) - 1, key(F.concat_ws("\n", x, F.get(lines, i + 1))))
+    return _bind(F.split(text, "\n", -1), lambda lines: F.flatten(F.transform(lines, lambda x, i: F.array(key(x), both(lines, x, i)))))
+
+
+def _lines_gone(lines: Column, pairs: Column, singles: Column, elsewhere: Column, least_chars: int, long_words: int) -> Column:
+    """Places of the lines to remove, by the places of repeated pairs, of repeated lines and of lines of earlier documents."""
+
+    def of_runs(p: Column) -> Column:
+        first = F.filter(p, lambda x, i: F.coalesce(F.get(p, i - 1), F.lit(-2)) != x - 1)
+        last = F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1), F.lit(-2)) != x + 1)
+        runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
+        fit = F.filter(runs, lambda r: F.length(F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), "\n")) >= least_chars)
+        return F.flatten(F.transform(fit, lambda r: F.sequence(r["a"], r["b"])))
+
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    worded = F.filter(places, lambda i: F.get(lines, i).rlike(_WORD))
+    whole = _bind(worded, lambda w: (F.size(w) > 0) & (F.size(F.array_except(w, elsewhere)) == 0))
+    long = F.filter(singles, lambda i: F.regexp_count(F.get(lines, i), F.lit(_WORD)) > long_words)
+    return F.when(whole, places).otherwise(F.array_union(_bind(F.array_sort(pairs), of_runs), long))
+
+
+def remove_repeated_runs(docs: DataFrame, least_chars: int = LEAST_CHARS, long_words: int = LONG_WORDS) -> DataFrame:
+    """Replace ``text`` by what is left of it without repeated passages; add n_lines and n_removed, both in lines.
+
+    Out go, by their place in order of doc_id and line,
+
+    * runs of two lines or more, of ``least_chars`` characters, of which every pair of neighbours occurs before,
+    * lines of more than ``long_words`` words that occur before,
+    * all lines of a document whose every line (blank ones apart) an earlier document has, exact copies among them.
+
+    The first place of a line never goes, so no line is lost to the corpus. Columns and rows are kept as by
+    ``remove_repeated_chunks``, and rows alike in doc_id and text count as one document here too.
+    """
+    docs = docs.drop("n_lines", "n_removed")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").alias("body")).where(F.col("body").isNotNull())
+    units = keyed.select("doc_id", "row", F.posexplode(_line_keys(F.col("body"))).alias("at", "key")).where(F.col("key").isNotNull())
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
+    repeated = units.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") < F.col("last")).select("key", "first")
+    met = units.join(repeated, "key").where(place != F.col("first"))
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("row") != F.col("first.row"))
+    pair, at = F.col("at") % 2 == 1, F.floor(F.col("at") / 2).cast("int")
+    lists = met.groupBy("doc_id", "row").agg(F.collect_set(F.when(pair, at)).alias("pairs"), F.collect_set(F.when(~pair, at)).alias("singles"), F.collect_set(F.when(~pair & other, at)).alias("elsewhere"))
+
+    d, g = docs.select(F.struct(*docs.columns).alias("own"), "doc_id", F.xxhash64("text").alias("row")).alias("d"), lists.alias("g")
+    both = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row")), "left")
+
+    def cut(lines: Column) -> Column:
+        gone = _lines_gone(lines, F.col("pairs"), F.col("singles"), F.col("elsewhere"), least_chars, long_words)
+        left = lambda g: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), g)
+        return _bind(gone, lambda g: F.struct(F.array_join(F.transform(left(g), lambda i: F.get(lines, i)), "\n").alias("text"), F.size(g).cast("long").alias("n")))
+
+    out = both.select("own", F.when(F.col("g.pairs").isNotNull() & F.col("own.text").isNotNull(), _bind(F.split("own.text", "\n", -1), cut)).alias("cut"))
+    text = F.when(F.col("cut.n") > 0, F.col("cut.text")).otherwise(F.col("own.text"))
+    return out.select(
+        *(text.alias("text") if c == "text" else F.col("own")[c].alias(c) for c in docs.columns),
+        F.when(F.col("own.text").isNull(), 0).otherwise(F.size(F.split("own.text", "\n", -1))).cast("long").alias("n_lines"),
+        F.coalesce(F.col("cut.n"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+
+
 OP3_SQL = f"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (

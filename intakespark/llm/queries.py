@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_chunks", "n_removed")
 
 
+def op3_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -127,7 +131,7 @@ def op10_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_line_dedup, op4_quality, op5_chat_format, op6_mpegts_media, op7_exact_topk, op8_pii_feistel, op9_maglev_sharding, op10_bpe_forced_boundaries)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_line_dedup, op3_repeated_runs, op4_quality, op5_chat_format, op6_mpegts_media, op7_exact_topk, op8_pii_feistel, op9_maglev_sharding, op10_bpe_forced_boundaries)}
 
 ORACLES = {
     "op2_source_mix": mix_sql.OP2_SQL,

@@ -74,3 +74,64 @@ def test_chunks_join_to_text(spark):
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+def brute_runs(rows):
+    """Rows (doc_id, text), doc_ids apart and in order, with the lines that ``remove_repeated_runs`` leaves."""
+    pairs, singles, seen, out = set(), set(), set(), []
+    for i, t in rows:
+        lines = t.split("\n")
+        gone, run = set(), []
+        for k, x in enumerate(lines):
+            if x in singles and len(x.split()) > L.LONG_WORDS:
+                gone.add(k)
+            singles.add(x)
+        for k in range(len(lines)):
+            p = tuple(lines[k : k + 2])
+            again = len(p) == 2 and p in pairs
+            pairs.add(p)
+            if again:
+                run = run + [k + 1] if run else [k, k + 1]
+            else:
+                if len("\n".join(lines[j] for j in run)) >= L.LEAST_CHARS:
+                    gone |= set(run)
+                run = []
+        if any(x.strip() for x in lines) and all(x in seen for x in lines if x.strip()):
+            gone = set(range(len(lines)))
+        seen |= set(lines)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t, len(lines), len(gone)))
+    return out
+
+
+def got_runs(spark, rows):
+    out = L.remove_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"))
+    return sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=repr)
+
+
+def test_planted_passages_go_whole(spark):
+    rng = random.Random(2)
+    line = lambda n: " ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(10**6)) for _ in range(n))
+    rows, want = [], {}
+    for n in range(1, 11):
+        for k in range(20):
+            passage = [line(60 if n == 1 else 5) for _ in range(n)]
+            a, b = [[line(5) for _ in range(rng.randint(1, 5))] for _ in range(4)], len(rows)
+            rows += [(b, "\n".join(a[0] + passage + a[1])), (b + 1, "\n".join(a[2] + passage + a[3]))]
+            want |= {b: rows[b][1], b + 1: "\n".join(a[2] + a[3])}
+    assert {r[0]: r[1] for r in got_runs(spark, rows)} == want
+
+
+def test_runs_against_plain_version(spark):
+    rng = random.Random(3)
+    shared = ["", "x", *(" ".join(rng.choice("alpha beta gamma épsilon".split()) for _ in range(rng.choice((1, 2, 8, 70)))) for _ in range(12))]
+    rows = [(k, "\n".join(rng.choice(shared) if rng.random() < 0.6 else f"own {rng.random()}" for _ in range(rng.randint(1, 12)))) for k in range(300)]
+    rows += [(300, "a\na\na\na\n" * 20), (301, rows[5][1]), (302, rows[6][1] + "\n"), (303, ""), (304, "\n\n"), (305, "")]
+    assert got_runs(spark, rows) == sorted(brute_runs(rows), key=repr)
+    lines = {x for _, t in rows for x in t.split("\n")}
+    assert {x for r in got_runs(spark, rows) for x in r[1].split("\n")} >= lines - {""}
+
+
+def test_runs_rows_alike_null_and_empty(spark):
+    text = "one line of a text here\nanother line of the text here"
+    assert got_runs(spark, [(None, text), (1, None), (2, text), (2, text)]) == sorted([(None, "", 2, 2), (1, None, 0, 0), (2, text, 2, 0), (2, text, 2, 0)], key=repr)
+    assert got_runs(spark, []) == []

@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that an earlier document has; documents of which nothing is left go."""
-    cut = line_dedup.remove_repeated_chunks(docs)
+    """Texts without the runs of lines that an earlier document has; documents of which nothing is left, all exact copies among them, go."""
+    cut = line_dedup.remove_repeated_runs(docs)
     kept = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(source_mix.WORDS))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -91,3 +91,14 @@ def test_tokens(stages):
         ids = tok.encode(text[r.doc_id] or "", add_special_tokens=False).ids
         assert list(r.ids) == ids and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_no_remnant_of_an_exact_copy(spark):
+    rows = [(k, "en", "web", r.text) for k, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 1 and 3000").select("text").distinct().orderBy("text").limit(60).collect())]
+    rows += [(len(rows), "en", "web", "one short line")]
+    n = len(rows)
+    rows += [(c * n + k, *r) for c in (1, 2) for k, *r in rows[:n]]
+    docs = spark.createDataFrame([(*r, len(r[3])) for r in rows], "doc_id long, lang string, source string, text string, n_chars long")
+    first = cp.drop_repeated_lines(spark, docs, SF)
+    kept = cp.keep_one_of_each_group(spark, first.localCheckpoint(), SF).collect()
+    assert kept and all(r.doc_id < n for r in kept) and all(r.doc_id < n for r in first.collect() if r.text.strip())

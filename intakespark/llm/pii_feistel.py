@@ -11,7 +11,8 @@ give different ones, and the key holder can undo it:
 * payment cards: all digits but the last, which is set to the checksum again;
 * IBANs: the account part, with check digits set again;
 * social security numbers (three valid fields) and IPv4 addresses: as numbers;
-* dates of 1900 to 2099: as day numbers, written in their own order and signs.
+* dates of 1900 to 2099: as day numbers, written in their own order and signs,
+  without leading zeros where the value has a day or month of one digit.
 
 Round functions are SHA-256 digests of key, kind, round and the other half.
 Everything is built-in expressions in one narrow pass: no shuffle, no Python.
@@ -28,14 +29,27 @@ DEMO_KEY = "intakespark demonstration key"
 
 _END = r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Length of an account number by country, as registered for IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _accounts() -> str:
+    """Accounts of the registered length of their country, so that what follows is not taken in; those of other countries by form alone."""
+    of = lambda n, lands: f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + _END
+    return "|".join([*(of(n, lands) for n, lands in IBAN_LENGTHS.items()), rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}"])
+
+
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "date": rf"(?<![0-9A-Za-z./\-])(?:(?:19|20)[0-9]{{2}}([./\-])[01][0-9]\1[0-3][0-9]|[0-3][0-9]([./\-])[0-3][0-9]\2(?:19|20)[0-9]{{2}})(?![0-9A-Za-z]|[./\-][0-9])",
+    "date": rf"(?<![0-9A-Za-z./\-])(?:(?:19|20)[0-9]{{2}}([./\-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([./\-])[0-3]?[0-9]\2(?:19|20)[0-9]{{2}})(?:(?=[Tt][0-9]{{2}}:?[0-9]{{2}})|(?![0-9A-Za-z]|[./\-][0-9]))",
     "ssn": rf"(?<![0-9A-Za-z\-])(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}(?![0-9A-Za-z]|-[0-9])",
-    "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}[ .\-]?\([0-9]{{2,4}}\)[ .\-]?[0-9]{{3,4}}[ .\-]?[0-9]{{4}}|\+[0-9]{{1,3}}(?:[ \-][0-9]{{2,4}}){{2,4}}|\+[0-9]{{8,15}}|\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}){_END}",
-    "card": rf"(?<![0-9A-Za-z])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ \-][0-9]{{4}}){{3}}){_END}",
-    "iban": rf"(?<![0-9A-Za-z])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}[ .\-]?\([0-9]{{2,4}}\)[ .\-]?[0-9]{{3,4}}[ .\-]?[0-9]{{4}}{_END}|\+[0-9](?:[ \-]?[0-9]){{7,14}}(?![0-9A-Za-z]|[./\-][0-9])|\+[0-9]{{8,15}}{_END}|\+[0-9]{{1,3}}(?:\.[0-9]{{2,4}}){{2,4}}{_END}|\([0-9]{{3}}\)[ .\-]?[0-9]{{3}}[ .\-][0-9]{{4}}{_END}|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}{_END}|(?<!\.)[0-9]{{3}}\.[0-9]{{3}}\.[0-9]{{4}}(?![0-9A-Za-z]|\.[0-9]))",
+    "card": rf"(?<![0-9A-Za-z])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ \-][0-9]{{4}}){{3}}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{4,5}}){_END}",
+    "iban": rf"(?<![0-9A-Za-z])(?:{_accounts()})",
 }
 KINDS = tuple(PATTERNS)
 
@@ -193,10 +207,11 @@ def _date(v: Column, key: str) -> Column:
     index = F.datediff(date, F.lit("1900-01-01").cast("date")).cast("long")
     got = permute_pair(F.pmod(index, F.lit(DAYS_A)), F.floor(index / DAYS_A), DAYS_A, DAYS_B, "date", key)
     new = F.date_add(F.lit("1900-01-01").cast("date"), (got["b"] * DAYS_A + got["a"]).cast("int"))
-    sign = F.substring(v, F.when(year_first, 5).otherwise(3), F.lit(1))
+    sign = F.regexp_extract(v, "[./\\-]", 0)
+    short = F.exists(f, lambda x: F.length(x) == 1)
 
     def shown(d: Column) -> Column:
-        y, m, n = F.date_format(d, "yyyy"), F.date_format(d, "MM"), F.date_format(d, "dd")
+        y, m, n = F.date_format(d, "yyyy"), *(F.when(short, F.date_format(d, x)).otherwise(F.date_format(d, x * 2)) for x in "Md")
         return F.when(order == "ymd", F.concat(y, sign, m, sign, n)).when(order == "dmy", F.concat(n, sign, m, sign, y)).otherwise(F.concat(m, sign, n, sign, y))
 
     return F.when(order.isNotNull(), _let(new, shown)).otherwise(v)

@@ -70,3 +70,35 @@ def test_long_and_repeated(spark):
     text = "word " * 60_000 + "a@b.org " * 300
     (long, n), (again, _) = swap(spark, [text, text])
     assert n == 300 and long == again and "a@b.org" not in long and len(long) == len(text)
+
+
+def test_values_with_neighbours(spark):
+    """(before, value, behind): the value goes, what stands around it stays."""
+    cases = [
+        ("pay BE68 5390 0754 7034", " USD 500"), ("BE68 5390 0754 7034", " AND 12"), ("(NO93 8601 1117 947", " EUR)"), ("GB82 WEST 1234 5698 7654 32", " A1"), ("DE89 3704 0044 0532 0130 00", " BIC"), ("NO9386011117947", " X"),
+        ("3782 822463 10005", " 0427"), ("3782-822463-10005", ""), ("3056 930902 5904", ", ok"), ("at 2024-06-08", "T09:30"), ("2024-06-08", "t09:30:00Z"), ("2024-06-08", " 09:30"), ("on 8.6.2024", "."), ("6/28/2024", " x"), ("2024-6-8", ""),
+        ("call 555.123.4567", "."), ("(555) 123 4567", " x"), ("(555).123.4567", ""), ("+33 1 23 45 67 89", " x"), ("+44 7911 123456", ", x"), ("+1.555.123.4567", " x"), ("+44 2079 4609 5820", " 2024"),
+    ]
+    for (v, behind), (new, n) in zip(cases, swap(spark, [a + b for a, b in cases])):
+        assert n == 1 and new.endswith(behind), (v, behind, new)
+        new, word = new[: len(new) - len(behind)], re.match(r"[a-z(]+ |\((?=NO)|", v)[0]
+        assert new.startswith(word) and new != v, (v, behind, new)
+        new, old = new.removeprefix(word), v.removeprefix(word)
+        if old[:1].isupper():
+            assert iban_good(new) and len(new) == len(old)
+        if old.startswith("3"):
+            assert luhn(re.sub("[^0-9]", "", new)) and len(new) == len(old)
+    # A date behind a number is found too.
+    (text, n), = swap(spark, ["+44 20 7946 0958 2024-06-08"])
+    assert n == 2 and "0958" not in text[:17] and not text.endswith("2024-06-08")
+
+
+def test_one_day_however_written(spark):
+    (a, _), (b, _), (c, _) = swap(spark, ["8.6.2024", "08.06.2024", "2024-06-08"])
+    day = lambda t: tuple(map(int, t.split(".")))
+    assert day(a) == day(b) == tuple(int(x) for x in reversed(c.split("-"))) and len(b) == 10
+
+
+def test_numbers_that_only_look_alike_stay(spark):
+    texts = ["+12345.678901", "1.555.123.4567", "2024-06-08Tx", "2024-13-8", "v1.2.3-4", "3782 822463 10006", "BE68 5390 0754 7035 USD"]
+    assert swap(spark, texts) == [(t, 0) for t in texts]

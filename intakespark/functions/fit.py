@@ -54,11 +54,12 @@ def is_non_buyer(title: Column, words=NON_BUYERS) -> Column:
     return out
 
 
-def in_profile(company: Column, notes: Column) -> Column:
+def in_profile(company: Column, notes: Column, profile: dict | None = None) -> Column:
     """True, false or null (nothing says): exclusions first, then what notes and company say."""
+    own = profile or {"company": PROFILE_COMPANY, "notes": PROFILE_NOTES, "not": PROFILE_NOT}
     name, said = F.lower(F.coalesce(company, F.lit(""))), F.lower(F.concat_ws(" ", F.coalesce(company, F.lit("")), F.coalesce(notes, F.lit(""))))
-    hit = lambda text, patterns: text.rlike("|".join(f"(?:{p})" for p in patterns))
-    return F.when(hit(said, PROFILE_NOT), False).when(hit(said, PROFILE_NOTES) | hit(name, PROFILE_COMPANY), True)
+    hit = lambda text, patterns: text.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    return F.when(hit(said, own["not"]), False).when(hit(said, own["notes"]) | hit(name, own["company"]), True)
 
 
 def source_quality(source: Column, quality=None) -> Column:
@@ -66,4 +67,4 @@ def source_quality(source: Column, quality=None) -> Column:
     out = F.when(F.lit(False), 0.0)
     for name, value in quality.items():
         out = out.when(F.lower(F.coalesce(source, F.lit(""))) == name, value)
-    return out.otherwise(quality["unknown"])
+    return out.otherwise(quality.get("unknown", 0.4))

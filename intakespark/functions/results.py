@@ -23,6 +23,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def table(rows: list[dict], kind: str) -> Column:
+    """A small table of plain values as one constant array<struct>, folded when planned. Empty tables are fine."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def shown(v) -> str:
+        if isinstance(v, (list, tuple)):
+            return f"array({', '.join(map(shown, v))})"
+        return "null" if v is None else quoted(v) if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v).lower()
+
+    body = ", ".join("named_struct(" + ", ".join(f"{quoted(k)}, {shown(v)}" for k, v in r.items()) + ")" for r in rows)
+    return F.expr(f"cast(array({body}) as array<struct<{kind}>>)")
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

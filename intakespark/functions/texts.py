@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .results import let
 
@@ -34,9 +38,19 @@ BOOSTERS = (
 MODAL_WINDOW = 45
 
 
+@F.arrow_udf(T.StringType())
+def _compatible(texts: pa.Array) -> pa.Array:
+    """NFKC of each text, or the text itself where that would change its length. Spark has no such function."""
+    folded = ((t, t and unicodedata.normalize("NFKC", t)) for t in texts.to_pylist())
+    return pa.array([f if f is not None and len(f) == len(t) else t for t, f in folded], pa.string())
+
+
 def normalise(text: Column) -> Column:
-    """Lower case with folded quotes, dashes and spaces, one sign for one."""
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), FOLD_FROM, FOLD_TO))
+    """Lower case in compatibility form, with folded quotes, dashes and spaces, one sign for one. Only texts beyond ASCII go to Python."""
+    text = F.coalesce(text, F.lit(""))
+    # Marked so that the optimiser does not move it into an expression that Python runs, or into a lambda.
+    plain = F.coalesce(_compatible.asNondeterministic()(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.lower(F.translate(plain, FOLD_FROM, FOLD_TO))
 
 
 def word_count(text: Column) -> Column:
@@ -59,12 +73,6 @@ def matches(text: Column, pattern: Column | str) -> Column:
     return let(F.struct(F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, p, F.lit(0)).alias("found")), place)
 
 
-def first_match(text: Column, pattern: Column) -> Column:
-    """struct<s, e> of the first match, or null."""
-    found = let(F.regexp_substr(text, pattern), lambda m: F.when(m.isNotNull(), let(F.length(F.get(F.split(text, pattern, 2), F.lit(0))), lambda s: F.struct(s.alias("s"), (s + F.length(m)).alias("e")))))
-    return found
-
-
 def merge_spans(spans: Column) -> Column:
     """Sorted spans with those that meet or overlap put together."""
     kind = "array<struct<s:int,e:int>>"
@@ -99,6 +107,10 @@ def split_clauses(norm: Column) -> Column:
 
     Sentences are cut before contrast markers (the clause from there is operative) and after commas that open a subordinate clause.
     """
+    return let(norm, _clauses_of)
+
+
+def _clauses_of(norm: Column) -> Column:
     n = F.length(norm)
 
     def sentences(ends: Column) -> Column:

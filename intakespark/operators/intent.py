@@ -1,116 +1,149 @@
 """Reading intent from notes: signals, resolutions, enquiry type, problems, horizon, negatives and confidence.
 
-Everything is one expression a row: the note is split into clauses, the rules
-(a literal array) are tried on clauses that an alternation of all patterns lets
-through, and each dimension is resolved by the greatest signal. No explode and
-no shuffle, so it scales with the scan.
+A note is split into clauses by Spark expressions. One Arrow function then says where the lexicon's patterns occur
+(its several hundred patterns are compiled once a worker; as column expressions they would be compiled again for
+every clause). All that follows from the places, such as negation, modality, the strongest signal of each dimension
+and the confidences, is expressions of the same row again: no explode and no shuffle, so it scales with the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.results import let
-from ..functions.texts import first_match, matches, modality, negated_at, normalise, snippet, split_clauses, word_count
+from ..functions.results import let, table
+from ..functions.texts import modality, negated_at, normalise, snippet, split_clauses, word_count
 from .lexicon import LADDERS, Lexicon, load_lexicon
 
 # What a buyer's note is expected to say, and how it is called.
 EXPECTED = {"budget_status": "budget", "urgency": "timeline / urgency", "decision_authority": "decision authority", "buying_stage": "buying stage", "pain_severity": "pain severity"}
 SOLUTION = {"UNKNOWN": "UNKNOWN", "AWARENESS": "GENERAL_INTEREST", "EXPLORATION": "EXPLORATION", "EVALUATION": "EVALUATION", "DECISION": "EVALUATION", "PURCHASE": "IMPLEMENTATION"}
 SIGNAL = "struct<operative:boolean,strength:double,specificity:double,confidence:double,back:int,order:array<int>,dimension:string,value:string,polarity:string,rule_id:string,evidence:string,start:int,end:int,clause:int,negated:boolean>"
-_RULE = "array<struct<seq:int,id:string,dimension:string,value:string,negated_value:string,strength:double,specificity:double,patterns:array<string>>>"
+_PLACES = pa.list_(pa.struct([("entry", pa.int32()), ("pattern", pa.int32()), ("nth", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("clause", pa.int32())]))
+_FIRSTS = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("number", pa.string())]))
+_FOUND = "struct<rules:array<struct<entry:int,pattern:int,nth:int,s:int,e:int,clause:int>>,notes:array<struct<k:int,s:int,e:int,number:string>>>"
+
+
+def literal_start(pattern: str) -> str:
+    """Letters and blanks that every match of a pattern begins with; empty where there is no telling."""
+    depth = 0
+    for sign in re.sub(r"\\.|\[[^]]*\]", "", pattern):
+        depth += (sign == "(") - (sign == ")")
+        if sign == "|" and depth == 0:
+            return ""
+    start = re.match(r"[a-z' ]*", pattern)[0]
+    return start[:-1] if pattern[len(start) : len(start) + 1] in ("?", "*", "{") else start
+
+
+@lru_cache(maxsize=8)
+def _compiled(patterns: tuple[str, ...]) -> tuple[tuple[str, re.Pattern], ...]:
+    """(literal start, pattern) of each. Notes are in lower case, so only a pattern with capitals needs to ignore it."""
+    capitals = lambda p: re.search("[A-Z]", re.sub(r"\\.", "", p)) is not None
+    return tuple((literal_start(p), re.compile(p, re.IGNORECASE if capitals(p) else 0)) for p in patterns)
 
 
-def _union(patterns) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
+def _finder(of_clauses: list[tuple[int, int, str]], of_notes: list[tuple[str, int | None]]):
+    """An Arrow function of (note, clause texts): all places of the clause patterns, and the first of every note pattern that occurs."""
+    clause_patterns, note_patterns = tuple(p for *_, p in of_clauses), tuple(p for p, _ in of_notes)
 
+    @F.arrow_udf(_FOUND)
+    def find(notes: pa.Array, clauses: pa.Array) -> pa.Array:
+        rules = [(k, p, start, x.finditer) for (k, p, _), (start, x) in zip(of_clauses, _compiled(clause_patterns))]
+        singles = [(k, group, start, x.search) for k, ((_, group), (start, x)) in enumerate(zip(of_notes, _compiled(note_patterns)))]
+        places, firsts = [], []
+        for note, parts in zip(notes.to_pylist(), clauses.to_pylist()):
+            places.append([{"entry": k, "pattern": p, "nth": i, "s": m.start(), "e": m.end(), "clause": c} for c, text in enumerate(parts or ()) for k, p, start, each in rules if start in text for i, m in enumerate(each(text))])
+            hits = ((k, group, search(note)) for k, group, start, search in singles if start in note)
+            firsts.append([{"k": k, "s": m.start(), "e": m.end(), "number": m.group(group) if group is not None else None} for k, group, m in hits if m])
+        return pa.StructArray.from_arrays([pa.array(places, _PLACES), pa.array(firsts, _FIRSTS)], ["rules", "notes"])
 
-def _literal(rows: list[dict], kind: str) -> Column:
-    import json
+    # Marked so that the optimiser keeps it in a step of its own; inside the lambdas that read its answer Spark could not run it.
+    return find.asNondeterministic()
 
-    return F.from_json(F.lit(json.dumps(rows)), kind)
 
+class _Places:
+    """Which note pattern stands at which place of the finder's answer."""
 
-def _hits(text: Column, rows: Column, patterns: list[str]) -> Column:
-    """Those rows of a literal array whose pattern occurs in the text. The patterns are literals, so each is compiled once a task."""
-    if not patterns:
-        return F.slice(rows, F.lit(1), F.lit(0))
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.get(rows, F.lit(k))) for k, p in enumerate(patterns))))
+    def __init__(self, lexicon: Lexicon):
+        self.clauses = [(k, i, p) for k, r in enumerate(lexicon.rules) for i, p in enumerate(r["patterns"])]
+        self.notes: list[tuple[str, int | None]] = []
+        self.types = [self._add([p]) | {"type": t["type"], "confidence": t["confidence"]} for t in lexicon.intent_types for p in t["patterns"]]
+        self.problems = [self._add(p["patterns"]) | {"label": p["label"], "category": p["category"]} for p in lexicon.problems]
+        self.negatives = [self._add(n["patterns"]) | {"seq": k, "code": n["code"], "reason": n["reason"], "severity": n["severity"]} for k, n in enumerate(lexicon.negatives)]
+        self.timelines = [self._add([t["pattern"]], t["group"]) | {"seq": k, "days": None if t["group"] is not None else int(t["days"] or 0), "times": int(t["multiplier"]), "label": t["label"]} for k, t in enumerate(lexicon.timelines)]
 
+    def _add(self, patterns: list[str], group: int | None = None) -> dict:
+        at = len(self.notes)
+        self.notes += [(p, group) for p in patterns]
+        return {"at": at, "n": len(patterns)}
 
-def signals(clauses: Column, raw: Column, lexicon: Lexicon) -> Column:
+
+def _first(found: Column, row: Column) -> Column:
+    """The place of the first of an entry's patterns that occurs, or null."""
+    return F.get(F.filter(found, lambda m: (m["k"] >= row["at"]) & (m["k"] < row["at"] + row["n"])), F.lit(0))
+
+
+def signals(clauses: Column, places: Column, raw: Column, lexicon: Lexicon) -> Column:
     """array of all signals of a note, in the order of clauses, rules, patterns and places."""
-    rules = _literal([r | {"seq": k} for k, r in enumerate(lexicon.rules)], _RULE)
-    every = _union(p for r in lexicon.rules for p in r["patterns"])
-
-    def signal(c: Column, ci: Column, r: Column, pi: Column, m: Column, mi: Column) -> Column:
-        def made(neg: Column) -> Column:
-            factor = modality(c["text"], m["s"])
-            confidence = F.least(F.lit(1.0), r["specificity"] * factor) * F.when(neg, 0.9).otherwise(1.0)
-            return F.struct(
-                c["operative"].alias("operative"),
-                (r["strength"] * F.when(neg, 0.95).otherwise(1.0)).alias("strength"),
-                r["specificity"].alias("specificity"),
-                confidence.alias("confidence"),
-                (-(c["start"] + m["s"])).alias("back"),
-                F.array(-ci, -r["seq"], -pi, -mi).alias("order"),
-                r["dimension"].alias("dimension"),
-                F.when(neg, r["negated_value"]).otherwise(r["value"]).alias("value"),
-                F.when(neg, "NEGATIVE").otherwise("POSITIVE").alias("polarity"),
-                r["id"].alias("rule_id"),
-                snippet(raw, c["start"] + m["s"], c["start"] + m["e"]).alias("evidence"),
-                (c["start"] + m["s"]).alias("start"),
-                (c["start"] + m["e"]).alias("end"),
-                ci.alias("clause"),
-                neg.alias("negated"),
-            )
-
-        return let(negated_at(c["neg"], m["s"]), made)
-
-    def of_rule(c: Column, ci: Column, r: Column) -> Column:
-        return F.flatten(F.transform(r["patterns"], lambda p, pi: F.transform(matches(c["text"], p), lambda m, mi: signal(c, ci, r, pi, m, mi))))
-
-    def of_clause(c: Column, ci: Column) -> Column:
-        fired = F.flatten(F.transform(_hits(c["text"], rules, [_union(r["patterns"]) for r in lexicon.rules]), lambda r: of_rule(c, ci, r)))
-        return F.when(c["text"].rlike(every), F.filter(fired, lambda s: s["value"].isNotNull()).cast(f"array<{SIGNAL}>")).otherwise(F.array().cast(f"array<{SIGNAL}>"))
-
-    return F.flatten(F.transform(clauses, of_clause))
-
-
-def resolve(all_signals: Column, dimension: str, least: float) -> Column:
-    """struct<value, confidence, evidence, rule_id, start, end, is_unknown, support, conflict> of one dimension.
+    rules = table([{k: r[k] for k in ("id", "dimension", "value", "negated_value", "strength", "specificity")} for r in lexicon.rules], "id:string,dimension:string,value:string,negated_value:string,strength:double,specificity:double")
+
+    def signal(h: Column) -> Column:
+        return let(F.struct(F.get(clauses, h["clause"]).alias("c"), F.get(rules, h["entry"]).alias("r")), lambda x: let(negated_at(x["c"]["neg"], h["s"]), lambda neg: made(h, x["c"], x["r"], neg)))
+
+    def made(h: Column, c: Column, r: Column, neg: Column) -> Column:
+        confidence = F.least(F.lit(1.0), r["specificity"] * modality(c["text"], h["s"])) * F.when(neg, 0.9).otherwise(1.0)
+        return F.struct(
+            c["operative"].alias("operative"),
+            (r["strength"] * F.when(neg, 0.95).otherwise(1.0)).alias("strength"),
+            r["specificity"].alias("specificity"),
+            confidence.alias("confidence"),
+            (-(c["start"] + h["s"])).alias("back"),
+            F.array(-h["clause"], -h["entry"], -h["pattern"], -h["nth"]).alias("order"),
+            r["dimension"].alias("dimension"),
+            F.when(neg, r["negated_value"]).otherwise(r["value"]).alias("value"),
+            F.when(neg, "NEGATIVE").otherwise("POSITIVE").alias("polarity"),
+            r["id"].alias("rule_id"),
+            snippet(raw, c["start"] + h["s"], c["start"] + h["e"]).alias("evidence"),
+            (c["start"] + h["s"]).alias("start"),
+            (c["start"] + h["e"]).alias("end"),
+            h["clause"].alias("clause"),
+            neg.alias("negated"),
+        )
+
+    return F.filter(F.transform(places, signal), lambda s: s["value"].isNotNull()).cast(f"array<{SIGNAL}>")
+
+
+def resolve_all(all_signals: Column, least: float) -> Column:
+    """array<struct<value, confidence, evidence, rule_id, start, end, is_unknown, support, conflict>>, one a dimension.
 
     The operative, strongest, most specific, surest and earliest signal wins outright; nothing is averaged.
     """
-    ladder = F.array(*map(F.lit, LADDERS[dimension]))
-    own = F.filter(all_signals, lambda s: (s["dimension"] == dimension) & (s["confidence"] >= least))
+    dimensions = table([{"name": d, "ladder": list(ladder)} for d, ladder in LADDERS.items()], "name:string,ladder:array<string>")
 
-    def closed(group: Column) -> Column:
-        return let(F.array_max(group), lambda w: ranked(group, w))
+    def resolve(d: Column) -> Column:
+        own = F.filter(all_signals, lambda s: (s["dimension"] == d["name"]) & (s["confidence"] >= least))
+        return let(own, lambda group: let(F.array_max(group), lambda w: ranked(d, group, w)))
 
-    def ranked(group: Column, w: Column) -> Column:
-        step = lambda s: F.array_position(ladder, s["value"])
+    def ranked(d: Column, group: Column, w: Column) -> Column:
+        step = lambda s: F.array_position(d["ladder"], s["value"])
         real = F.filter(group, lambda s: (s["value"] != w["value"]) & ((F.abs(step(s) - step(w)) >= 2) | (s["polarity"] != w["polarity"])))
-        return let(real, lambda x: found(group, w, x))
+        worst = lambda x: F.array_max(F.transform(x, lambda s: F.struct(s["strength"].alias("strength"), s["order"].alias("order"), s["value"].alias("value"), s["evidence"].alias("evidence"), s["operative"].alias("operative"))))
+        return let(real, lambda x: let(worst(x), lambda y: found(d, group, w, x, y)))
 
-    def found(group: Column, w: Column, real: Column) -> Column:
+    def found(d: Column, group: Column, w: Column, real: Column, worst: Column) -> Column:
         support = F.size(F.filter(group, lambda s: s["value"] == w["value"]))
-        worst = F.array_max(F.transform(real, lambda s: F.struct(s["strength"].alias("strength"), s["order"].alias("order"), s["value"].alias("value"), s["evidence"].alias("evidence"), s["operative"].alias("operative"))))
         lifted = w["confidence"] + F.least(F.lit(0.15), 0.05 * (support - 1)) - F.when(F.size(real) > 0, 0.2).otherwise(0.0)
-        conflict = let(
-            worst,
-            lambda x: F.when(
-                x.isNotNull(),
-                F.struct(
-                    F.lit(dimension).alias("dimension"),
-                    w["value"].alias("kept"),
-                    x["value"].alias("rejected"),
-                    F.when(w["operative"] & ~x["operative"], "post-contrast clause takes precedence").otherwise("stronger, more specific evidence retained").alias("rule"),
-                    w["evidence"].alias("evidence_kept"),
-                    x["evidence"].alias("evidence_rejected"),
-                ),
-            ),
+        conflict = F.struct(
+            d["name"].alias("dimension"),
+            w["value"].alias("kept"),
+            worst["value"].alias("rejected"),
+            F.when(w["operative"] & ~worst["operative"], "post-contrast clause takes precedence").otherwise("stronger, more specific evidence retained").alias("rule"),
+            w["evidence"].alias("evidence_kept"),
+            worst["evidence"].alias("evidence_rejected"),
         )
         return F.struct(
             F.coalesce(w["value"], F.lit("UNKNOWN")).alias("value"),
@@ -121,69 +154,60 @@ def resolve(all_signals: Column, dimension: str, least: float) -> Column:
             w["end"].alias("end"),
             w.isNull().alias("is_unknown"),
             support.alias("support"),
-            conflict.alias("conflict"),
+            F.when(worst.isNotNull(), conflict).alias("conflict"),
         )
 
-    return let(own, closed)
+    return F.transform(dimensions, resolve)
 
 
-def intent_type(norm: Column, raw: Column, clauses: Column, lexicon: Lexicon) -> Column:
+def intent_type(found: Column, raw: Column, clauses: Column, rows: list[dict]) -> Column:
     """struct<type, confidence, evidence>: the first pattern, by priority, whose first match is not negated."""
-    flat = [{"type": t["type"], "confidence": t["confidence"], "pattern": p} for t in lexicon.intent_types for p in t["patterns"]]
-    rows = _literal(flat, "array<struct<type:string,confidence:double,pattern:string>>")
+    entries = table(rows, "at:int,n:int,type:string,confidence:double")
+    inside = lambda m: F.get(F.filter(clauses, lambda c: (c["start"] <= m["s"]) & (m["s"] < c["end"])), F.lit(0))
 
     def tried(t: Column) -> Column:
-        def placed(m: Column) -> Column:
-            inside = F.exists(clauses, lambda c: (c["start"] <= m["s"]) & (m["s"] < c["end"]) & negated_at(c["neg"], m["s"] - c["start"]))
-            return F.when(m.isNotNull() & ~inside, F.struct(t["type"].alias("type"), t["confidence"].alias("confidence"), snippet(raw, m["s"], m["e"]).alias("evidence")))
-
-        return let(first_match(norm, t["pattern"]), placed)
+        fits = lambda m: m.isNotNull() & ~F.coalesce(let(inside(m), lambda c: negated_at(c["neg"], m["s"] - c["start"])), F.lit(False))
+        return let(_first(found, t), lambda m: F.when(fits(m), F.struct(t["type"].alias("type"), t["confidence"].alias("confidence"), snippet(raw, m["s"], m["e"]).alias("evidence"))))
 
     unknown = F.struct(F.lit("UNKNOWN").alias("type"), F.lit(0.3).alias("confidence"), F.lit("").alias("evidence"))
-    hit = F.get(F.filter(F.transform(_hits(norm, rows, [r["pattern"] for r in flat]), tried), lambda x: x.isNotNull()), F.lit(0))
-    return F.when(norm.rlike(_union(r["pattern"] for r in flat)), F.coalesce(hit, unknown)).otherwise(unknown) if flat else unknown
+    return F.coalesce(F.get(F.filter(F.transform(entries, tried), lambda x: x.isNotNull()), F.lit(0)), unknown)
 
 
-def problems(norm: Column, raw: Column, lexicon: Lexicon) -> Column:
-    """array<struct<label, category, evidence>> of the problems a note names, each label once."""
-    rows = _literal([dict(p) for p in lexicon.problems], "array<struct<label:string,category:string,patterns:array<string>>>")
-    one = lambda p: let(F.get(F.filter(F.transform(p["patterns"], lambda x: first_match(norm, x)), lambda m: m.isNotNull()), F.lit(0)), lambda m: F.struct(p["label"].alias("label"), p["category"].alias("category"), snippet(raw, m["s"], m["e"]).alias("evidence")))
-    return F.transform(_hits(norm, rows, [_union(p["patterns"]) for p in lexicon.problems]), one)
+def problems(found: Column, raw: Column, rows: list[dict]) -> Column:
+    """array<struct<label, category, evidence>> of the problems a note names."""
+    entries = table(rows, "at:int,n:int,label:string,category:string")
+    one = lambda p: let(_first(found, p), lambda m: F.when(m.isNotNull(), F.struct(p["label"].alias("label"), p["category"].alias("category"), snippet(raw, m["s"], m["e"]).alias("evidence"))))
+    return F.array_compact(F.transform(entries, one))
 
 
-def timeline(norm: Column, lexicon: Lexicon) -> Column:
+def timeline(found: Column, rows: list[dict]) -> Column:
     """struct<days, seq, label> of the soonest horizon that a note states, or null."""
-    hits = []
-    for k, t in enumerate(lexicon.timelines):
-        if t["group"] is None:
-            days, label = F.lit(int(t["days"] or 0)), F.lit(t["label"])
-        else:
-            number = F.regexp_extract(norm, t["pattern"], t["group"])
-            days, label = number.try_cast("int") * int(t["multiplier"]), F.replace(F.lit(t["label"]), F.lit("{0}"), number)
-        hits.append(F.when(norm.rlike(t["pattern"]) & days.isNotNull(), F.struct(days.cast("int").alias("days"), F.lit(k).alias("seq"), label.alias("label"))))
-    return F.array_min(F.array(*hits))
-
-
-def negatives(norm: Column, raw: Column, lexicon: Lexicon) -> Column:
+    entries = table(rows, "at:int,n:int,seq:int,days:int,times:int,label:string")
+
+    def one(t: Column) -> Column:
+        days = lambda m: F.coalesce(t["days"], m["number"].try_cast("int") * t["times"])
+        label = lambda m: F.replace(t["label"], F.lit("{0}"), F.coalesce(m["number"], F.lit("")))
+        return let(_first(found, t), lambda m: F.when(m.isNotNull() & days(m).isNotNull(), F.struct(days(m).alias("days"), t["seq"].alias("seq"), label(m).alias("label"))))
+
+    return F.array_min(F.transform(entries, one))
+
+
+def negatives(found: Column, raw: Column, rows: list[dict]) -> Column:
     """array<struct<code, reason, evidence, start, end, severity>>, the gravest first."""
-    rows = _literal([n | {"seq": k} for k, n in enumerate(lexicon.negatives)], "array<struct<seq:int,code:string,reason:string,severity:double,patterns:array<string>>>")
+    entries = table(rows, "at:int,n:int,seq:int,code:string,reason:string,severity:double")
 
     def one(n: Column) -> Column:
-        hit = F.get(F.filter(F.transform(n["patterns"], lambda x: first_match(norm, x)), lambda m: m.isNotNull()), F.lit(0))
-        return let(
-            hit,
-            lambda m: F.struct(
-                (-n["severity"]).alias("rank"), n["seq"].alias("seq"), n["code"].alias("code"), n["reason"].alias("reason"), snippet(raw, m["s"], m["e"]).alias("evidence"), m["s"].alias("start"), m["e"].alias("end"), n["severity"].alias("severity")
-            ),
-        )
+        row = lambda m: F.struct((-n["severity"]).alias("rank"), n["seq"].alias("seq"), n["code"].alias("code"), n["reason"].alias("reason"), snippet(raw, m["s"], m["e"]).alias("evidence"), m["s"].alias("start"), m["e"].alias("end"), n["severity"].alias("severity"))
+        return let(_first(found, n), lambda m: F.when(m.isNotNull(), row(m)))
 
-    ordered = F.array_sort(F.transform(_hits(norm, rows, [_union(n["patterns"]) for n in lexicon.negatives]), one))
+    ordered = F.array_sort(F.array_compact(F.transform(entries, one)))
     return F.transform(ordered, lambda n: F.struct(*(n[k].alias(k) for k in ("code", "reason", "evidence", "start", "end", "severity"))))
 
 
 def extract_intent(df: DataFrame, notes: str = "notes", title_level: str | None = None, lexicon: Lexicon | None = None, name: str = "intent") -> DataFrame:
     """Add the intent profile of every note as a struct column. Empty notes give unknowns and confidence 0."""
     lex = lexicon or load_lexicon()
+    at = _Places(lex)
     least = float(lex.settings["min_signal_confidence"])
     kept = [F.col(c) for c in df.columns if c != name]
     raw = F.coalesce(F.col("_raw"), F.lit(""))
@@ -192,16 +216,19 @@ def extract_intent(df: DataFrame, notes: str = "notes", title_level: str | None
     step = df.select(*kept, F.coalesce(F.col(notes).cast("string"), F.lit("")).alias("_raw"), level.alias("_level"))
     step = step.withColumn("_norm", normalise(F.col("_raw")))
     step = step.withColumn("_clauses", split_clauses(F.col("_norm")))
-    step = step.withColumn("_signals", signals(F.col("_clauses"), raw, lex))
+    step = step.withColumn("_found", _finder(at.clauses, at.notes)(F.col("_norm"), F.transform("_clauses", lambda c: c["text"])))
+    step = step.withColumn("_signals", signals(F.col("_clauses"), F.col("_found")["rules"], raw, lex))
+    found = F.col("_found")["notes"]
     step = step.select(
         *step.columns,
-        *(resolve(F.col("_signals"), d, least).alias(f"_{d}") for d in LADDERS),
-        intent_type(F.col("_norm"), raw, F.col("_clauses"), lex).alias("_type"),
-        problems(F.col("_norm"), raw, lex).alias("_problems"),
-        timeline(F.col("_norm"), lex).alias("_when"),
-        negatives(F.col("_norm"), raw, lex).alias("_negatives"),
+        resolve_all(F.col("_signals"), least).alias("_resolved"),
+        intent_type(found, raw, F.col("_clauses"), at.types).alias("_type"),
+        problems(found, raw, at.problems).alias("_problems"),
+        timeline(found, at.timelines).alias("_when"),
+        negatives(found, raw, at.negatives).alias("_negatives"),
         word_count(F.col("_raw")).alias("_words"),
     )
+    step = step.select(*(c for c in step.columns if c not in ("_found", "_norm", "_resolved")), *(F.get("_resolved", F.lit(k)).alias(f"_{d}") for k, d in enumerate(LADDERS)))
     asked = F.col("_decision_authority")
     titled = F.struct(
         F.col("_level").alias("value"), F.lit(0.55).alias("confidence"), F.lit("(inferred from job title)").alias("evidence"), F.lit("authority.from_title").alias("rule_id"),
@@ -265,6 +292,56 @@ def extract_intent(df: DataFrame, notes: str = "notes", title_level: str | None
     return step.select(*kept, profile.alias(name))
 
 
-def profile_json(profile: Column) -> Column:
-    """The profile as JSON text."""
-    return F.to_json(profile)
+def read_note(spark: SparkSession, note: str | None, title_level: str | None = None, lexicon: Lexicon | None = None) -> Row:
+    """The profile of one note, for looking at by hand; many notes go through ``extract_intent``."""
+    df = spark.createDataFrame([(note, title_level)], "notes string, level string")
+    return extract_intent(df, "notes", "level", lexicon).first()["intent"]
+
+
+def level(profile: Column, dimension: str) -> Column:
+    """Value of a dimension; UNKNOWN where the note says nothing."""
+    return profile[dimension]["value"]
+
+
+def level_place(profile: Column, dimension: str) -> Column:
+    """Place of the value on the dimension's ladder, from 0 for UNKNOWN."""
+    return F.array_position(F.array(*map(F.lit, LADDERS[dimension])), profile[dimension]["value"]).cast("int") - 1
+
+
+def evidence_of(profile: Column, dimension: str) -> Column:
+    return profile[dimension]["evidence"]
+
+
+def confidence_of(profile: Column, dimension: str) -> Column:
+    return profile[dimension]["confidence"]
+
+
+def is_purchase_intent(profile: Column) -> Column:
+    return profile["intent_type"]["type"] == "PURCHASE"
+
+
+def profile_json(profile: Column, **context: Column) -> Column:
+    """The profile as JSON text, grouped for reading, confidences to three digits. ``context`` goes in as it is (lead_id, company, contact, raw_notes)."""
+    p, r3 = profile, lambda x: F.bround(x, 3)
+    value = lambda d: p[d]["value"].alias(d)
+
+    def said(s: Column) -> Column:
+        return F.struct(*(s[k].alias(k) for k in ("dimension", "value")), r3(s["strength"]).alias("strength"), *(s[k].alias(k) for k in ("polarity", "rule_id", "evidence")), F.array(s["start"], s["end"]).alias("span"), *(s[k].alias(k) for k in ("clause", "operative", "negated")), r3(s["confidence"]).alias("confidence"))
+
+    def dimension(d: str) -> Column:
+        x = p[d]
+        supporting = F.filter(p["signals"], lambda s: (s["dimension"] == d) & (s["value"] == x["value"]))
+        span = F.when(x["start"].isNotNull(), F.array(x["start"], x["end"]))
+        return F.struct(x["value"].alias("value"), r3(x["confidence"]).alias("confidence"), x["evidence"].alias("evidence"), x["rule_id"].alias("rule_id"), span.alias("span"), F.transform(supporting, said).alias("supporting"), x["conflict"].alias("conflict"), x["is_unknown"].alias("unknown")).alias(d)
+
+    parts = [
+        F.struct(p["intent_type"]["type"].alias("intent_type"), r3(p["intent_type"]["confidence"]).alias("intent_type_confidence"), p["intent_type"]["evidence"].alias("intent_type_evidence"), value("buying_stage"), p["solution_intent"].alias("solution_intent"), p["commitment"].alias("commitment")).alias("intent"),
+        F.struct(F.transform(p["problems"], lambda x: x["label"]).alias("problems"), p["categories"].alias("problem_categories"), value("problem_recognition"), value("pain_severity")).alias("pain"),
+        F.struct(value("budget_status"), value("urgency"), p["timeline_text"].alias("timeline"), p["timeline_days"].alias("timeline_days"), value("competitive_evaluation")).alias("buying_signals"),
+        F.struct(value("decision_authority")).alias("authority"),
+        F.transform(p["negatives"], lambda n: F.struct(*(n[k].alias(k) for k in ("code", "reason", "evidence", "severity")))).alias("negative_signals"),
+        F.struct(r3(p["confidence"]).alias("confidence"), p["missing"].alias("missing_information"), p["contradictions"].alias("contradictions"), F.struct(*(dimension(d) for d in LADDERS)).alias("per_dimension")).alias("quality"),
+    ]
+    if context:
+        parts.insert(0, F.struct(*(c.alias(k) for k, c in context.items())).alias("context"))
+    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})

@@ -110,7 +110,7 @@ def _fit(spark, d):
 
 
 def _json(spark, d):
-    return _scored(spark, d).select("seq", F.get_json_object(profile_json(F.col("intent")), "$.intent_type.type").alias("intent_type"), F.get_json_object(as_json(F.col("email_result")), "$.code").alias("email_code"))
+    return _scored(spark, d).select("seq", F.get_json_object(profile_json(F.col("intent")), "$.intent.intent_type").alias("intent_type"), F.get_json_object(as_json(F.col("email_result")), "$.code").alias("email_code"))
 
 
 QUERIES = {

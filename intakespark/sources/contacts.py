@@ -4,29 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Canonical fields with the header names that are taken for them, and marks of test rows.
-FIELDS = {
-    "lead_id": ("lead_id", "id", "lead id", "leadid", "ref"),
-    "created": ("created", "created_at", "date", "submitted", "timestamp"),
-    "name": ("name", "contact", "full_name", "contact_name"),
-    "email": ("email", "email_address", "e-mail"),
-    "company": ("company", "organisation", "organization", "account"),
-    "employees": ("employees", "headcount", "company_size", "size", "staff"),
-    "website": ("website", "site", "url", "domain", "web"),
-    "title": ("title", "job_title", "role", "position"),
-    "source": ("source", "channel", "lead_source", "utm_source"),
-    "monthly_budget": ("monthly_budget", "budget", "spend", "monthly budget"),
-    "notes": ("notes", "note", "message", "comments", "enquiry", "description"),
-}
-DROP = {"lead_id": ("header", "testrow", "asdf", "test"), "source": ("test", "source")}
-
+from .settings import DROP, FIELDS
 
 def is_path_like(source: str) -> bool:
     """Whether a string can be a path: short and of one line."""
@@ -141,16 +125,3 @@ def write_csv(df: DataFrame, path: str, leave_out: tuple[str, ...] = ("row",)) -
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
-
-def load_settings(path: str | None = None, data: dict | None = None) -> dict:
-    """Settings from JSON or YAML: any of the sections amount, date, email, lead_id, website, fields, drop."""
-    if data is None and path:
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
-        if path.endswith(".json"):
-            data = json.loads(text)
-        else:
-            import yaml
-
-            data = yaml.safe_load(text)
-    return data or {}

@@ -160,3 +160,24 @@ def snippet(raw: Column, start: Column, end: Column, pad: int = 24) -> Column:
     low, high = F.greatest(start - pad, F.lit(0)), F.least(end + pad, F.length(raw))
     body = F.replace(F.regexp_replace(F.substring(raw, low + 1, high - low), r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
     return F.concat(F.when(low > 0, "…").otherwise(""), body, F.when(high < F.length(raw), "…").otherwise(""))
+
+
+def highlight(raw: Column, spans: Column) -> Column:
+    """The note as HTML with its evidence marked. ``spans`` are array<struct<s, e, kind>>; those that overlap are put together, kind "neg" is marked as such."""
+    kind = "array<struct<s:int,back:int,e:int,kind:string>>"
+    safe = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+    fits = F.filter(spans, lambda x: (x["s"] >= 0) & (x["e"] <= F.length(raw)) & (x["e"] > x["s"]))
+    ordered = F.array_sort(F.transform(fits, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), x["e"].alias("e"), x["kind"].alias("kind")))).cast(kind)
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        merged = F.struct(last["s"].alias("s"), last["back"].alias("back"), F.greatest(last["e"], x["e"]).alias("e"), F.coalesce(F.nullif(last["kind"], F.lit("")), x["kind"]).alias("kind"))
+        return F.when((F.size(out) > 0) & (x["s"] < last["e"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(merged))).otherwise(F.concat(out, F.array(x)))
+
+    def shown(m: Column) -> Column:
+        cut = lambda a, b: safe(F.substring(raw, a + 1, b - a))
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(m, i - 1)["e"])
+        marked = lambda x, i: F.concat(cut(before(i), x["s"]), F.when(x["kind"] == "neg", '<mark class="neg">').otherwise("<mark>"), cut(x["s"], x["e"]), F.lit("</mark>"))
+        return F.concat(F.array_join(F.transform(m, marked), ""), cut(F.coalesce(F.try_element_at(m, F.lit(-1))["e"], F.lit(0)), F.length(raw)))
+
+    return let(F.aggregate(ordered, F.array().cast(kind), step), shown)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import AmountConfig, parse_amount
-from ..functions.contacts import EmailConfig, LeadIdConfig, WebsiteConfig, domains_match, parse_email, parse_lead_id, parse_website
-from ..functions.dates import DateConfig, parse_date, with_order_policy
+from ..functions.amounts import parse_amount
+from ..functions.contacts import LeadIdConfig, domains_match, parse_email, parse_lead_id, parse_website
+from ..functions.dates import infer_order_policy, parse_date
 from ..functions.fit import employees_of, in_profile, is_non_buyer, size_band, source_quality, title_authority
 from ..functions.results import has
 from ..sources.contacts import drop_test_rows
+from ..sources.settings import Settings
 
 FIELD_RESULTS = ("id_result", "created_result", "email_result", "website_result", "budget_result")
 
@@ -18,11 +19,15 @@ FIELD_RESULTS = ("id_result", "created_result", "email_result", "website_result"
 def mark_duplicates(df: DataFrame, result: str = "id_result", order: str = "seq", name: str = "is_duplicate") -> DataFrame:
     """Mark the second and later rows of an identifier number, in file order; rows without a valid one are never marked.
 
-    The first row of each number is a partial minimum, joined back: no number needs its rows in one task.
+    Only numbers that occur twice meet the rows again: their first rows come from partial minima, and rows without a
+    number get join keys of their own, so neither those nor a frequent number needs its rows in one task (the join
+    keeps one row a number on the right, which adaptive execution splits on the left).
     """
-    number = F.col(result)["value"]["number"]
-    firsts = df.where(F.col(result)["ok"]).groupBy(number.alias("_number")).agg(F.min(order).alias("_first"))
-    marked = df.withColumn("_number", number).join(firsts, "_number", "left")
+    r = F.col(result)
+    number = F.when(r["ok"], r["value"]["number"].cast("string"))
+    firsts = df.select(number.alias("_number"), F.col(order).alias("_order")).where(F.col("_number").isNotNull()).groupBy("_number").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    marked = df.withColumn("_number", F.coalesce(number, F.concat(F.lit("?"), F.col(order).cast("string"))))
+    marked = marked.join(firsts.where(F.col("_n") > 1).drop("_n"), "_number", "left")
     return marked.withColumn(name, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_number", "_first")
 
 
@@ -32,31 +37,40 @@ def rank_duplicates(df: DataFrame, result: str = "id_result", order: str = "seq"
     return df.where(F.col(result)["ok"]).withColumn("occurrence", F.row_number().over(w))
 
 
-def clean_contacts(df: DataFrame, amount: AmountConfig | None = None, date: DateConfig | None = None, email: EmailConfig | None = None, lead_id: LeadIdConfig | None = None, website: WebsiteConfig | None = None, infer_order: bool = True, as_of: Column | None = None) -> DataFrame:
-    """Add the parse results and derived facts of every kept row. Needs seq and the canonical fields."""
-    kept = drop_test_rows(df)
-    policy = F.lit(None).cast("map<string,string>")
-    if infer_order:
-        kept = with_order_policy(kept, "created", "date_policy")
-        policy = F.col("date_policy")
-    parsed = kept.select(
-        *(c for c in kept.columns if c != "date_policy"),
-        parse_lead_id(F.col("lead_id"), lead_id).alias("id_result"),
-        parse_date(F.col("created"), date, policy if infer_order else None, as_of).alias("created_result"),
-        parse_email(F.col("email"), email).alias("email_result"),
-        parse_website(F.col("website"), website).alias("website_result"),
-        parse_amount(F.col("monthly_budget"), amount).alias("budget_result"),
+def clean_contacts(df: DataFrame, settings: Settings | None = None, as_of: Column | None = None) -> DataFrame:
+    """Add the parse results and derived facts of every kept row. Needs seq and the canonical fields.
+
+    Duplicates and the order of dates are learnt from one narrow column each, before the wide parse.
+    """
+    s = settings or Settings()
+    kept = drop_test_rows(df, s.drop)
+    policy = None
+    marked = mark_duplicates(kept.withColumn("id_result", parse_lead_id(F.col("lead_id"), s.lead_id)))
+    if s.infer_order:
+        evidence = infer_order_policy(kept.select("created"), "created").agg(F.map_from_entries(F.collect_list(F.struct("separator", "order"))).alias("date_policy"))
+        marked, policy = marked.join(F.broadcast(evidence), F.lit(True)), F.col("date_policy")
+    parsed = marked.select(
+        *kept.columns,
+        "id_result",
+        "is_duplicate",
+        parse_date(F.col("created"), s.date, policy, as_of).alias("created_result"),
+        parse_email(F.col("email"), s.email).alias("email_result"),
+        parse_website(F.col("website"), s.website).alias("website_result"),
+        parse_amount(F.col("monthly_budget"), s.amount).alias("budget_result"),
         employees_of(F.col("employees")).alias("head_count"),
-        title_authority(F.col("title")).alias("title_level"),
-        is_non_buyer(F.col("title")).alias("is_non_buyer_title"),
-        in_profile(F.col("company"), F.col("notes")).alias("is_icp"),
-        source_quality(F.trim("source")).alias("source_quality"),
+        title_authority(F.col("title"), s.titles).alias("title_level"),
+        is_non_buyer(F.col("title"), s.non_buyers).alias("is_non_buyer_title"),
+        in_profile(F.col("company"), F.col("notes"), s.profile).alias("is_icp"),
+        source_quality(F.trim("source"), s.quality).alias("source_quality"),
     )
-    facts = parsed.withColumn("employee_band", size_band(F.col("head_count"))).withColumn(
-        "domain_match", domains_match(F.col("website_result"), F.when(F.col("email_result")["ok"], F.col("email_result")["value"]["domain"]))
+    mail_domain = F.when(F.col("email_result")["ok"], F.col("email_result")["value"]["domain"])
+    budget = F.col("budget_result")["value"]
+    return parsed.select(
+        "*",
+        size_band(F.col("head_count"), s.size_bands).alias("employee_band"),
+        domains_match(F.col("website_result"), mail_domain).alias("domain_match"),
+        F.coalesce(budget["monthly"], budget["value"]).alias("budget_monthly"),
     )
-    facts = facts.withColumn("budget_monthly", F.coalesce(F.col("budget_result")["value"]["monthly"], F.col("budget_result")["value"]["value"]))
-    return mark_duplicates(facts)
 
 
 def id_display(result: Column, raw_id: Column, row: Column) -> Column:
@@ -92,3 +106,26 @@ def sort_contacts(df: DataFrame, reverse: bool = False, invalid_last: bool = Tru
     if "is_duplicate" not in df.columns:
         df = mark_duplicates(df)
     return df.orderBy(*sort_columns(reverse=reverse, invalid_last=invalid_last))
+
+
+def with_place(df: DataFrame, order: list[Column], coarse: list[Column], name: str = "place") -> DataFrame:
+    """Add the 1-based place of every row in an order, without one task that sees all rows.
+
+    ``coarse`` are ascending keys that never contradict ``order``: rows are ranked within a coarse group and shifted by
+    the sizes of the groups before it. Only the group sizes, one row each, meet in one task, so choose keys with far
+    fewer values than rows and no very large group.
+    """
+    keyed = df.withColumn("_coarse", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(coarse))))
+    sizes = keyed.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_coarse", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_coarse").orderBy(*order)))
+    return ranked.join(shift, "_coarse").withColumn(name, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_coarse", "_rank", "_shift")
+
+
+def place_contacts(df: DataFrame, lead_id: LeadIdConfig | None = None, run: int = 4096) -> DataFrame:
+    """Add ``place``, the 1-based place of every contact by its identifier: valid ones by number, the others last by their text."""
+    df = df.withColumn("id_result", parse_lead_id(F.col("lead_id"), lead_id))
+    r = F.col("id_result")
+    coarse = [F.when(r["ok"], 0).otherwise(1), F.when(r["ok"], F.floor(r["value"]["number"] / run)), F.when(~r["ok"], F.substring("lead_id", 1, 8))]
+    return with_place(df, sort_columns(), coarse)

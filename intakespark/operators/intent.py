@@ -47,16 +47,17 @@ def _compiled(patterns: tuple[str, ...]) -> tuple[tuple[str, re.Pattern], ...]:
 
 
 def _finder(of_clauses: list[tuple[int, int, str]], of_notes: list[tuple[str, int | None]]):
-    """An Arrow function of (note, clause texts): all places of the clause patterns, and the first of every note pattern that occurs."""
+    """An Arrow function of (note, starts of its clauses, their ends): all places of the clause patterns, and the first of every note pattern that occurs."""
     clause_patterns, note_patterns = tuple(p for *_, p in of_clauses), tuple(p for p, _ in of_notes)
 
     @F.arrow_udf(_FOUND)
-    def find(notes: pa.Array, clauses: pa.Array) -> pa.Array:
+    def find(notes: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         rules = [(k, p, start, x.finditer) for (k, p, _), (start, x) in zip(of_clauses, _compiled(clause_patterns))]
         singles = [(k, group, start, x.search) for k, ((_, group), (start, x)) in enumerate(zip(of_notes, _compiled(note_patterns)))]
         places, firsts = [], []
-        for note, parts in zip(notes.to_pylist(), clauses.to_pylist()):
-            places.append([{"entry": k, "pattern": p, "nth": i, "s": m.start(), "e": m.end(), "clause": c} for c, text in enumerate(parts or ()) for k, p, start, each in rules if start in text for i, m in enumerate(each(text))])
+        for note, begin, end in zip(notes.to_pylist(), starts.to_pylist(), ends.to_pylist()):
+            clauses = enumerate(note[a:b] for a, b in zip(begin, end))
+            places.append([{"entry": k, "pattern": p, "nth": i, "s": m.start(), "e": m.end(), "clause": c} for c, text in clauses for k, p, start, each in rules if start in text for i, m in enumerate(each(text))])
             hits = ((k, group, search(note)) for k, group, start, search in singles if start in note)
             firsts.append([{"k": k, "s": m.start(), "e": m.end(), "number": m.group(group) if group is not None else None} for k, group, m in hits if m])
         return pa.StructArray.from_arrays([pa.array(places, _PLACES), pa.array(firsts, _FIRSTS)], ["rules", "notes"])
@@ -216,7 +217,7 @@ def extract_intent(df: DataFrame, notes: str = "notes", title_level: str | None
     step = df.select(*kept, F.coalesce(F.col(notes).cast("string"), F.lit("")).alias("_raw"), level.alias("_level"))
     step = step.withColumn("_norm", normalise(F.col("_raw")))
     step = step.withColumn("_clauses", split_clauses(F.col("_norm")))
-    step = step.withColumn("_found", _finder(at.clauses, at.notes)(F.col("_norm"), F.transform("_clauses", lambda c: c["text"])))
+    step = step.withColumn("_found", _finder(at.clauses, at.notes)(F.col("_norm"), F.transform("_clauses", lambda c: c["start"]), F.transform("_clauses", lambda c: c["end"])))
     step = step.withColumn("_signals", signals(F.col("_clauses"), F.col("_found")["rules"], raw, lex))
     found = F.col("_found")["notes"]
     step = step.select(

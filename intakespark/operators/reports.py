@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.results import all_codes
-from .cleaning import FIELD_RESULTS
+from .cleaning import FIELD_RESULTS, with_place
 
 BANDS = ("CONTACT_NOW", "CONSIDER", "NURTURE", "DISQUALIFY")
 ACTIVE = ("CONTACT_NOW", "CONSIDER")
@@ -97,6 +97,21 @@ def top_by_score(df: DataFrame, n: int = 10) -> DataFrame:
     return df.orderBy(F.desc("raw_score"), "row").limit(n)
 
 
+def by_display(df: DataFrame) -> DataFrame:
+    """The table of records, the highest display score first."""
+    return df.orderBy(F.desc("score"), "row")
+
+
+def by_raw(df: DataFrame) -> DataFrame:
+    """The list of records, the highest raw score first; ties in file order."""
+    return df.orderBy(F.desc("raw_score"), "row")
+
+
+def placed_by(df: DataFrame, score: str, run: int = 65_536) -> DataFrame:
+    """Add ``place`` in the falling order of a score, ties in file order."""
+    return with_place(df, [F.desc(score), F.col("row")], [-F.col(score), F.floor(F.col("row") / run)])
+
+
 def top_by_issues(df: DataFrame, n: int = 25) -> DataFrame:
     return df.where(F.col("data_issues") > 0).orderBy(F.desc("data_issues"), "row").limit(n)
 

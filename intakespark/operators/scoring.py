@@ -7,7 +7,7 @@ import copy
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.results import let
+from ..sources.settings import read_settings
 from .lexicon import LADDERS
 
 # Points, bands and routes.
@@ -50,6 +50,8 @@ DEFAULT = {
     },
     "display": (-60, 115),
 }
+_BUDGET_KEYS = {"above_floor": "above", "at_floor": "at", "below_floor": "below"}
+_QUALITY_KEYS = {"freemail_email": "freemail", "role_email": "role", "email_domain_matches_website": "domain_match", "duplicate_lead": "duplicate", "missing_lead_id": "bad_id"}
 GROUPS = ("Intent", "Fit", "Data quality", "Negative signal", "Routing")
 LINE = "struct<group:string,label:string,points:double,evidence:string>"
 
@@ -63,6 +65,44 @@ def scoring_config(**changes) -> dict:
     return out | changes
 
 
+def load_scoring(path: str | None = None, data: dict | None = None) -> dict:
+    """A configuration from a file or dict with the sections bands, intent_routing, intent_weights, fit_weights and so on; what is missing keeps its default."""
+    raw = read_settings(path) if data is None and path else data or {}
+    changes: dict = {}
+    if raw.get("bands"):
+        changes["bands"] = [(b["name"], b.get("min_score", -1e9), b.get("label", b["name"].replace("_", " ").title())) for b in raw["bands"]]
+    if raw.get("intent_routing"):
+        changes["routing"] = {t: (r.get("max_band"), r.get("min_band"), r.get("route", "Sales"), float(r.get("multiplier", 1.0))) for t, r in raw["intent_routing"].items()}
+    if raw.get("intent_weights"):
+        changes["intent"] = {d: {str(k): v for k, v in w.items() if v} for d, w in raw["intent_weights"].items()}
+    for name, key in (("problem_identified_bonus", "problem_bonus"), ("confidence_floor", "confidence_floor"), ("negative_signal_penalty", "negative_factor"), ("hard_cap_codes", "placements")):
+        if name in raw:
+            changes[key] = raw[name]
+    if "negative_signals_already_scored" in raw:
+        changes["already_scored"] = tuple(raw["negative_signals_already_scored"] or ())
+    fit, quality = raw.get("fit_weights") or {}, raw.get("quality_weights") or {}
+    if "employee_band" in fit:
+        changes["size"] = {k: v for k, v in fit["employee_band"].items() if v}
+    if "is_icp_agency" in fit:
+        changes["profile"] = {"true": 0, "false": 0} | {str(k).lower(): v for k, v in fit["is_icp_agency"].items() if str(k).lower() in ("true", "false")}
+    if "source_quality_points" in fit:
+        changes["source_points"] = fit["source_quality_points"]
+    if "budget_vs_floor" in fit:
+        changes["budget"] = DEFAULT["budget"] | {_BUDGET_KEYS.get(k, k): v for k, v in fit["budget_vs_floor"].items()}
+    if "non_buyer_title" in fit:
+        changes["non_buyer"] = fit["non_buyer_title"]
+    if quality:
+        changes["quality"] = dict.fromkeys(DEFAULT["quality"], 0) | {_QUALITY_KEYS.get(k, k): v for k, v in quality.items() if _QUALITY_KEYS.get(k, k) in DEFAULT["quality"]}
+    if "display" in raw:
+        changes["display"] = (raw["display"].get("raw_min", -60), raw["display"].get("raw_max", 110))
+    return scoring_config(**changes)
+
+
+def band_meta(name: str, config: dict | None = None) -> dict:
+    """Name, least score and label of a band; {} for an unknown one."""
+    return next(({"name": n, "min_score": least, "label": label} for n, least, label in (config or DEFAULT)["bands"] if n == name), {})
+
+
 def _map(column: Column, table: dict, default=None) -> Column:
     out = F.when(F.lit(False), F.lit(default))
     for k, v in table.items():

@@ -1,46 +1,51 @@
 """Registered queries of the core library, by survey id, and their SQL counterparts.
 
-Most run over the synthetic contact table. Its expensive part (parsing, reading
-notes, scoring) is planned once a session and folder and kept, as reports on
-one load would be.
+Most run over the synthetic contact table. The whole flow (parsing, reading notes, scoring) is computed once a session
+and folder and kept, as reports on one load would be.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.amounts import parse_amount
-from ..functions.contacts import parse_email, parse_lead_id, parse_website, registrable
+from ..functions.amounts import UP_TO, amount_options, parse_amount
+from ..functions.contacts import domains_match, parse_email, parse_lead_id, parse_website, registrable
 from ..functions.dates import infer_order_policy, order_evidence, parse_date_column
 from ..functions.fit import employees_of, in_profile, is_non_buyer, size_band, source_quality, title_authority
 from ..functions.results import all_codes, as_json
 from ..functions.texts import normalise, split_clauses, word_count
 from ..operators import cleaning, reports
 from ..operators.intent import extract_intent, profile_json
+from ..operators.lexicon import LADDERS
+from ..operators.scoring import GROUPS
 from ..sources.contacts import drop_test_rows, load_report, with_row_index
-from ..sources.synthetic import NOTES, contacts, contacts_sql
+from ..sources.settings import FIELDS
+from ..sources.synthetic import contacts
 from .contacts import flat_frame, process
+from .oracles import AS_OF, q, sql
+from .oracles import registrable as registrable_sql
 
-_kept: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
-AS_OF = "2026-01-01"
+_kept: dict[tuple[str, str], DataFrame] = {}
 FLAGSHIP = "A1_leads_per_band"
 
 
-def _load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored contacts, computed by the first query that reads them and kept (spilling to disk) for the reports after it, until ``release``."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        scored = process(contacts(spark, sf_dir), as_of=F.lit(AS_OF).cast("date")).persist()
-        _kept[key] = (scored, flat_frame(scored).persist())
+        _kept[key] = process(contacts(spark, sf_dir, spread=True), as_of=F.lit(AS_OF).cast("date")).persist()
     return _kept[key]
 
 
-def _scored(spark, d):
-    return _load(spark, d)[0]
+def release(spark: SparkSession) -> None:
+    """Give back what this module keeps for a session."""
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        _kept.pop(key).unpersist()
 
 
 def _flat(spark, d):
-    return _load(spark, d)[1]
+    return flat_frame(_scored(spark, d))
 
 
 def _t(spark, d, name):
@@ -61,7 +66,12 @@ def _p1(spark, d):
 
 def _p3(spark, d):
     rows = parse_date_column(contacts(spark, d), "created", "r", as_of=F.lit(AS_OF).cast("date"))
-    return rows.select("seq", F.col("r")["code"].alias("code"), F.col("r")["value"]["date"].cast("string").alias("parsed"))
+    return rows.select("seq", F.col("r")["code"].alias("code"), F.col("r")["value"]["date"].cast("string").alias("parsed"), F.array_join(F.col("r")["warnings"], ",").alias("warnings"))
+
+
+def _p2(spark, d):
+    o = amount_options(F.col("monthly_budget"))
+    return contacts(spark, d).select("seq", o.alias("o")).select("seq", *(F.bround(F.col("o")[k], 2).alias(k) for k in ("min", "max", "avg")))
 
 
 def _p6(spark, d):
@@ -71,7 +81,12 @@ def _p6(spark, d):
 
 def _p8(spark, d):
     v = F.col("r")["value"]
-    return contacts(spark, d).select("seq", parse_website(F.col("website")).alias("r")).select("seq", F.col("r")["code"].alias("code"), v["url"].alias("url"), v["registrable_domain"].alias("registrable"))
+    return contacts(spark, d).select("seq", parse_website(F.col("website")).alias("r")).select("seq", F.col("r")["code"].alias("code"), v["url"].alias("url"), v["registrable_domain"].alias("registrable"), F.array_join(F.col("r")["warnings"], ",").alias("warnings"))
+
+
+def _p10(spark, d):
+    mail = F.when(F.col("m")["ok"], F.col("m")["value"]["domain"])
+    return contacts(spark, d).select("seq", parse_email(F.col("email")).alias("m"), parse_website(F.col("website")).alias("w")).select("seq", domains_match(F.col("w"), mail).alias("same_domain"))
 
 
 def _p9(spark, d):
@@ -79,16 +94,23 @@ def _p9(spark, d):
     return _t(spark, d, "pages").select("page_id", registrable(host)["domain"].alias("registrable")).groupBy("registrable").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def _notes(spark, d, name):
-    i = F.col("intent")
-    kept = contacts(spark, d).select("seq", "notes")
-    return extract_intent(kept).select("seq", *{"N8": [i["intent_type"]["type"].alias("intent_type")]}.get(name, []))
+def _notes(spark, d, **columns):
+    return extract_intent(contacts(spark, d, spread=True).select("seq", "notes")).select("seq", *(c.alias(n) for n, c in columns.items()))
 
 
 def _resolved(spark, d):
     p = F.col("intent")
-    dims = ("buying_stage", "budget_status", "urgency", "pain_severity", "competitive_evaluation")
-    return extract_intent(contacts(spark, d).select("seq", "notes")).select("seq", p["intent_type"]["type"].alias("intent_type"), *(p[x]["value"].alias(x) for x in dims), p["timeline_days"].alias("timeline_days"), F.array_join(F.transform(p["negatives"], lambda n: n["code"]), ",").alias("negatives"))
+    return _notes(
+        spark, d, intent_type=p["intent_type"]["type"], **{x: p[x]["value"] for x in LADDERS}, timeline_days=p["timeline_days"], timeline=p["timeline_text"],
+        negatives=F.array_join(F.transform(p["negatives"], lambda n: n["code"]), ","), confidence=p["confidence"], type_confidence=p["intent_type"]["confidence"],
+        commitment=p["commitment"], contradictions=F.size(p["contradictions"]).cast("long"), missing=F.size(p["missing"]).cast("long"), words=p["note_length"].cast("long"),
+        **{f"confidence_{x}": F.when(~p[x]["is_unknown"], F.bround(p[x]["confidence"], 6)) for x in LADDERS},
+    )
+
+
+def _problems(spark, d):
+    p = F.col("intent")
+    return _notes(spark, d, problems=F.array_join(F.transform(p["problems"], lambda x: x["label"]), ", "), categories=F.array_join(p["categories"], ", "))
 
 
 def _texts(spark, d):
@@ -97,12 +119,6 @@ def _texts(spark, d):
     return rows.select("conv_id", "turn", F.size("c").cast("long").alias("clauses"), F.col("words").cast("long").alias("words"), F.size(F.filter("c", lambda x: x["operative"])).cast("long").alias("operative"))
 
 
-def _frame_orders(spark, d):
-    """Orders per priority with their share in each status: the lookups and shares of the reports on the order table."""
-    o = _t(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    return o.withColumn("share", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy("o_orderstatus")), 6))
-
-
 def _fit(spark, d):
     size = employees_of(F.col("employees"))
     c = contacts(spark, d)
@@ -110,7 +126,16 @@ def _fit(spark, d):
 
 
 def _json(spark, d):
-    return _scored(spark, d).select("seq", F.get_json_object(profile_json(F.col("intent")), "$.intent.intent_type").alias("intent_type"), F.get_json_object(as_json(F.col("email_result")), "$.code").alias("email_code"))
+    got = lambda path: F.get_json_object("j", path)
+    rows = _scored(spark, d).select("seq", profile_json(F.col("intent"), company=F.col("company")).alias("j"), as_json(F.col("email_result")).alias("m"))
+    return rows.select(
+        "seq", got("$.context.company").alias("company"), got("$.intent.intent_type").alias("intent_type"), got("$.authority.decision_authority").alias("authority"), got("$.quality.confidence").cast("double").alias("confidence"),
+        got("$.quality.per_dimension.urgency.confidence").cast("double").alias("urgency_confidence"), got("$.negative_signals[0].code").alias("first_negative"), F.get_json_object("m", "$.code").alias("email_code"),
+    )
+
+
+def _codes(r: str):
+    return F.array_join(all_codes(F.col(r)), ",")
 
 
 QUERIES = {
@@ -126,163 +151,102 @@ QUERIES = {
     "A10_parse_rates": lambda s, d: reports.parse_rates(_scored(s, d)),
     "A11_code_histogram": lambda s, d: reports.code_histogram(_scored(s, d)),
     "A12_date_evidence": lambda s, d: order_evidence(drop_test_rows(contacts(s, d)), "created"),
-    "A13_duplicate_count": lambda s, d: reports.duplicate_count(_scored(s, d)),
+    "A13_duplicate_count": lambda s, d: reports.duplicate_count(cleaning.mark_duplicates(drop_test_rows(contacts(s, d)).select("seq", parse_lead_id(F.col("lead_id")).alias("id_result")))),
     "A17_ledger_totals": lambda s, d: reports.ledger_totals(_scored(s, d)),
     "A19_ledger_lines": lambda s, d: reports.ledger_lines(_scored(s, d)),
     "F2_filter_leads": lambda s, d: reports.filter_leads(_flat(s, d), bands=["CONTACT_NOW", "CONSIDER"], sources=["referral", "linkedin"], least_confidence=0.5).select("row", "band", "source", "size_band"),
-    "F3_search": lambda s, d: reports.search(_flat(s, d), "agency|dealership").select("row", "company"),
+    "F3_search": lambda s, d: reports.search(_flat(s, d), "agency|dealership|@corp|l-1[0-9]$").select("row", "company"),
     "G_scored_leads": lambda s, d: _flat(s, d).select("row", "raw_score", "score", "band", "route"),
     "N2_N16_intent_profiles": _resolved,
-    "N8_intent_type": lambda s, d: _notes(s, d, "N8"),
+    "N8_intent_type": lambda s, d: _notes(s, d, intent_type=F.col("intent")["intent_type"]["type"]),
+    "N9_problems": _problems,
+    "N13_solution_intent": lambda s, d: _notes(s, d, solution_intent=F.col("intent")["solution_intent"]),
     "P1_amounts": _p1,
+    "P2_amount_options": _p2,
     "P3_dates": _p3,
     "P4_date_policy": lambda s, d: infer_order_policy(drop_test_rows(contacts(s, d)), "created"),
     "P6_emails": _p6,
     "P7_lead_ids": _p7,
     "P8_websites": _p8,
     "P9_page_domains": _p9,
+    "P10_domain_match": _p10,
     "P11_P14_fit": _fit,
-    "P15_result_codes": lambda s, d: _scored(s, d).select("seq", F.array_join(all_codes(F.col("id_result")), ",").alias("codes")),
-    "P16_data_issues": lambda s, d: _flat(s, d).select("row", "data_issues"),
+    "P15_result_codes": lambda s, d: _scored(s, d).select("seq", *(_codes(r).alias(r.replace("_result", "_codes")) for r in cleaning.FIELD_RESULTS)),
+    "P16_data_issues": lambda s, d: _scored(s, d).select("seq", F.array_join(cleaning.data_issues(), "; ").alias("issues")),
     "S5_kept_rows": lambda s, d: drop_test_rows(contacts(s, d)).select("seq", "lead_id", "source"),
     "S6_row_index": lambda s, d: with_row_index(drop_test_rows(contacts(s, d))).select("seq", "row_index"),
     "S10_profile_json": _json,
     "S11_flat_frame": _flat,
     "S12_load_report": lambda s, d: load_report(contacts(s, d)),
-    "T1_sorted_ids": lambda s, d: cleaning.sort_contacts(contacts(s, d)).withColumn("place", F.monotonically_increasing_id()).select("seq", "lead_id"),
+    "T1_sorted_ids": lambda s, d: cleaning.place_contacts(contacts(s, d)).select("seq", "lead_id", "place"),
     "T4_top_scores": lambda s, d: reports.top_by_score(_flat(s, d)).select("row", "raw_score", "band"),
     "T5_top_issues": lambda s, d: reports.top_by_issues(_flat(s, d)).select("row", "data_issues"),
+    "T6_by_display_score": lambda s, d: reports.placed_by(_flat(s, d), "score").select("row", "score", "place"),
+    "T7_by_raw_score": lambda s, d: reports.placed_by(_flat(s, d), "raw_score").select("row", "raw_score", "place"),
     "W1_duplicates": lambda s, d: cleaning.mark_duplicates(drop_test_rows(contacts(s, d)).withColumn("id_result", parse_lead_id(F.col("lead_id")))).select("seq", "is_duplicate"),
-    "W3_order_shares": _frame_orders,
     "X2_conversation_clauses": _texts,
 }
 
-_C = f"WITH c AS ({contacts_sql()}), kept AS (SELECT * FROM c WHERE lower(trim(lead_id)) NOT IN ('header','testrow','asdf','test') AND lower(trim(source)) NOT IN ('test','source'))"
-_ID = """CASE WHEN lead_id = '' THEN 'ID_MISSING' WHEN lower(lead_id) IN ('asdf','test','testrow','header','lead_id','id','n/a','na','none','null','-') THEN 'JUNK'
-  WHEN NOT regexp_matches(lead_id, '[0-9]') THEN 'ID_NO_NUMBER'
-  WHEN NOT regexp_matches(lead_id, '^[A-Za-z]{0,5}[ _-]*[0-9]+([ _-]+[A-Za-z0-9_-]+)?$') THEN 'ID_MALFORMED' END"""
-_NUMBER = "CAST(regexp_extract(lead_id, '^[A-Za-z]{0,5}[ _-]*([0-9]+)', 1) AS BIGINT)"
-_IDS = f"ids AS (SELECT *, {_ID} AS bad, regexp_extract(lead_id, '^[A-Za-z]{{1,5}}') AS px, regexp_extract(lead_id, '[0-9]+[ _-]+([A-Za-z0-9_-]+)$', 1) AS sx FROM "
-
-#: What golden tests say of each note, in the order of the notes.
-_GOLDEN = (
-    ("PURCHASE", "PURCHASE", "APPROVED", "HIGH", "HIGH", "UNKNOWN", 14, ""),
-    ("UNKNOWN", "UNKNOWN", "NOT_LOCKED", "MODERATE", "HIGH", "UNKNOWN", 90, ""),
-    ("UNKNOWN", "UNKNOWN", "NO_BUDGET", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "NO_BUDGET"),
-    ("UNKNOWN", "UNKNOWN", "ALLOCATED", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "OUT_OF_ICP"),
-    ("EMPLOYMENT", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "NOT_A_BUYER,JOB_SEEKER"),
-    ("EDUCATIONAL", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "STUDENT_OR_RESEARCH"),
-    ("SPAM", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "SPAM"),
-    ("PARTNERSHIP", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "PARTNERSHIP_ONLY"),
-    ("RESEARCH", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "STUDENT_OR_RESEARCH"),
-    ("PURCHASE", "EVALUATION", "UNKNOWN", "UNKNOWN", "UNKNOWN", "YES", None, ""),
-    ("PURCHASE", "EXPLORATION", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, ""),
-    ("UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, ""),
-    ("COMPETITIVE", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN", None, "COMPETITOR"),
-)
-_ROUTES = {"PURCHASE": "Sales", "UNKNOWN": "Sales", "PARTNERSHIP": "Partnerships", "RESEARCH": "Marketing", "EDUCATIONAL": "Community", "EMPLOYMENT": "Recruiting"}
-
-
-def _golden(k: int, key: str = "seq") -> str:
-    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
-    return f"CASE {key} % {len(NOTES)} " + " ".join(f"WHEN {i} THEN {lit(g[k])}" for i, g in enumerate(_GOLDEN)) + " END"
-
-
-def _case(n: int, values: dict, key: str = "seq") -> str:
-    return f"CASE {key} % {n} " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + " END"
-
-
-_EMAIL_CODES = ("OK", "OK_REPAIRED", "OK", "OK", "OK_NORMALISED", "EMAIL_MISSING_DOMAIN", "EMAIL_MISSING_LOCAL", "EMAIL_MISSING_TLD", "EMAIL_MULTIPLE_AT", "EMPTY", "JUNK", "EMAIL_NO_AT", "EMAIL_INVALID_CHARS", "EMAIL_INVALID_TLD", "OK", "EMAIL_INVALID_CHARS")
-_SITE_CODES = ("OK_NORMALISED", "OK_NORMALISED", "OK", "OK", "OK_NORMALISED", "WEB_NO_DOT", "WEB_INVALID_TLD", "EMPTY", "JUNK", "WEB_IS_EMAIL", "WEB_INVALID_HOST", "WEB_INVALID_HOST", "OK_NORMALISED")
-#: code, value, monthly, period, currency and warnings of the first 19 budget texts
-_AMOUNTS = (
-    ("OK", 6000, 6000, "month", "USD", "AMOUNT_NO_PERIOD"),
-    ("OK", 12000, 12000, "month", "USD", "AMOUNT_NO_PERIOD"),
-    ("OK_ASSUMED", 7000, 7000, "month", "USD", "AMOUNT_RANGE,AMOUNT_NO_PERIOD"),
-    ("OK_ASSUMED", 7000, 7000, "month", "USD", "AMOUNT_RANGE,AMOUNT_NO_PERIOD"),
-    ("OK_ASSUMED", 6500, 6500, "month", "USD", "AMOUNT_RANGE,AMOUNT_NO_PERIOD"),
-    ("OK", 0, 0, "month", "USD", "AMOUNT_ZERO,AMOUNT_NO_PERIOD"),
-    ("PLACEHOLDER", None, None, None, None, ""),
-    ("OK", 5, None, "hour", "USD", ""),
-    ("OK", 120000, 10000, "year", "USD", "AMOUNT_PERIOD_CONVERTED"),
-    ("EMPTY", None, None, None, None, ""),
-    ("JUNK", None, None, None, None, ""),
-    ("OK", 10000, 10000, "month", "USD", "AMOUNT_OPEN_ENDED,AMOUNT_NO_PERIOD"),
-    ("OK", 10000, 10000, "month", "USD", "AMOUNT_OPEN_ENDED,AMOUNT_NO_PERIOD"),
-    ("OK_ASSUMED", 7000, 7000, "month", "USD", ""),
-    ("OK", 900, 3910.5, "week", "USD", "AMOUNT_PERIOD_CONVERTED"),
-    ("AMOUNT_NO_DIGITS", None, None, None, None, ""),
-    ("OUT_OF_RANGE", None, None, None, None, ""),
-    ("OK_ASSUMED", 7000, 7000, "month", "USD", "AMOUNT_INVERTED_RANGE,AMOUNT_RANGE,AMOUNT_NO_PERIOD"),
-    ("OK", 2500000, None, "one_off", "GBP", ""),
-)
-
-
-#: The twentieth text is a plain number, three times the key: read as it stands, up to the largest plausible amount.
-_PLAIN_AMOUNT = {"code": ("'OK'", "'OUT_OF_RANGE'"), "value": ("CAST(seq * 3 AS DOUBLE)", "NULL"), "monthly": ("CAST(seq * 3 AS DOUBLE)", "NULL"), "period": ("'month'", "NULL"), "currency": ("'USD'", "NULL"), "warnings": ("'AMOUNT_NO_PERIOD'", "''")}
-
-
-def _amount_sql() -> str:
-    def pick(k: int, name: str) -> str:
-        show = lambda v: "NULL" if v is None else f"CAST({v} AS DOUBLE)" if name in ("value", "monthly") else f"'{v}'"
-        good, far = _PLAIN_AMOUNT[name]
-        return _case(20, {i: show(a[k]) for i, a in enumerate(_AMOUNTS)} | {19: f"CASE WHEN seq * 3 <= 5000000 THEN {good} ELSE {far} END"})
-
-    return f"{_C} SELECT seq, " + ", ".join(f"{pick(k, n)} AS {n}" for k, n in enumerate(_PLAIN_AMOUNT)) + " FROM c"
-
-
-_NUMERIC = r"'^([0-9]{1,2})([-/.])([0-9]{1,2})[-/.]([0-9]{2}|[0-9]{4})$'"
-_EVIDENCE = f"""e AS (SELECT regexp_extract(created, {_NUMERIC}, 2) AS separator, CAST(regexp_extract(created, {_NUMERIC}, 1) AS INT) AS a, CAST(regexp_extract(created, {_NUMERIC}, 3) AS INT) AS b
-  FROM kept WHERE regexp_matches(created, {_NUMERIC})),
-v AS (SELECT separator, count(*) FILTER (a > 12 AND b <= 12) AS day_first, count(*) FILTER (b > 12 AND a <= 12) AS month_first FROM e GROUP BY separator)"""
+_DISPLAY = "coalesce(id_canonical, nullif(trim(lead_id), ''), '(row ' || seq || ')')"
+_FLAT = f"""SELECT seq AS "row", {_DISPLAY} AS lead_id, name, company, title, band, band_label, score, raw_score, route, intent_type, buying_stage, budget_status, urgency, decision_authority AS authority, pain_severity AS pain,
+  competitive_evaluation AS competitive, round_even(confidence, 2) AS confidence, timeline, timeline_days, problems, array_to_string(list_filter(cats, lambda x, i: list_position(cats, x) = i), ', ') AS categories, array_to_string(codes, ', ') AS negatives,
+  CAST(n_conflicts AS INT) AS contradictions, source, head_count AS employees, size_band, CASE WHEN icp THEN 'Yes' WHEN NOT icp THEN 'No' ELSE 'Unknown' END AS icp, coalesce(address, email) AS email, email_code AS email_status,
+  coalesce(url, '') AS website, site_code AS website_status, coalesce(parsed, '') AS created, date_code AS created_status, monthly_budget AS budget_raw, budget_monthly, amount_code AS budget_code, CAST(data_issues AS INT) AS data_issues, notes FROM scored"""
+_by_place = lambda score: f'SELECT seq AS "row", {score}, row_number() OVER (ORDER BY {score} DESC, seq) AS place FROM scored'
+_ISSUES = [
+    *((f"{bad}", f"'{name}: ' || {code}") for bad, name, code in (("id_bad", "Lead ID", "id_code"), ("NOT date_ok", "Created", "date_code"), ("NOT email_ok", "Email", "email_code"), ("NOT site_ok", "Website", "site_code"), ("NOT amount_ok", "Budget", "amount_code"))),
+    ("freemail", "'Email: EMAIL_FREEMAIL'"), ("role_address", "'Email: EMAIL_ROLE_ADDRESS'"), ("list_contains(date_warnings, 'DATE_AMBIGUOUS_ORDER')", "'Created: DATE_AMBIGUOUS_ORDER'"), ("list_contains(amount_warnings, 'AMOUNT_RANGE')", "'Budget: AMOUNT_RANGE'"),
+    ("is_duplicate", "'Lead ID: ID_DUPLICATE'"), ("trim(notes) = ''", "'Notes: EMPTY'"),
+]
+_PROFILE = ", ".join(["intent_type", *LADDERS, "timeline_days", "timeline", "array_to_string(codes, ',') AS negatives", "confidence", f"CASE WHEN empty THEN {q(0.0)} ELSE tconf END AS type_confidence", "commitment", "n_conflicts AS contradictions", "CAST(n_missing AS BIGINT) AS missing", "CAST(n_words AS BIGINT) AS words", *(f"round_even(conf_{d}, 6) AS confidence_{d}" for d in LADDERS)])
+_GROUP_PLACE = "list_position([" + ", ".join(q(g) for g in GROUPS) + "], x.g)"
 
 ORACLES = {
-    "A2_stage_by_budget": f"{_C} SELECT {_golden(1)} AS buying_stage, {_golden(2)} AS budget_status, count(*) AS leads FROM kept GROUP BY 1, 2",
-    "A3_top_enquiry_types": f"{_C} SELECT {_golden(0)} AS value, count(*) AS leads FROM kept GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
-    "A9_route_counts": f"{_C} SELECT {_case(len(NOTES), {i: repr(_ROUTES.get(g[0], 'None')) for i, g in enumerate(_GOLDEN)})} AS route, count(*) AS leads FROM kept GROUP BY 1",
-    "A12_date_evidence": f"{_C}, {_EVIDENCE} SELECT * FROM v",
-    "A13_duplicate_count": f"{_C}, {_IDS} kept), n AS (SELECT {_NUMBER} AS num, count(*) AS k FROM ids WHERE bad IS NULL GROUP BY 1) SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicates FROM n",
-    "N2_N16_intent_profiles": f"{_C} SELECT seq, " + ", ".join(f"{_golden(k)} AS {n}" for k, n in enumerate(("intent_type", "buying_stage", "budget_status", "urgency", "pain_severity", "competitive_evaluation", "timeline_days", "negatives"))) + " FROM c",
-    "N8_intent_type": f"{_C} SELECT seq, {_golden(0)} AS intent_type FROM c",
-    "P1_amounts": _amount_sql(),
-    "P4_date_policy": f"""{_C}, {_EVIDENCE} SELECT separator, CASE WHEN day_first > month_first THEN 'day_first' ELSE 'month_first' END AS "order" FROM v WHERE day_first <> month_first""",
-    "P3_dates": f"""{_C} SELECT seq,
-  {_case(16, {0: "CASE WHEN seq % 28 + 1 > 12 THEN 'OK' ELSE 'OK_ASSUMED' END", 1: "CASE WHEN seq % 28 + 1 > 12 THEN 'OK' ELSE 'OK_ASSUMED' END", 2: "'OK'", 3: "'OK'", 4: "CASE WHEN seq % 31 + 1 = 31 THEN 'DATE_IMPOSSIBLE' ELSE 'OK' END", 5: "'OK'", 6: "'OK'", 7: "'OK_ASSUMED'", 8: "'OK_ASSUMED'", 9: "'DATE_IMPOSSIBLE'", 10: "'DATE_IMPOSSIBLE'", 11: "'DATE_UNKNOWN_FORMAT'", 12: "'EMPTY'", 13: "'JUNK'", 14: "'OUT_OF_RANGE'", 15: "'OK_ASSUMED'"})} AS code,
-  {_case(16, {
-      0: "'2024-' || lpad(CAST(seq % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(seq % 28 + 1 AS VARCHAR), 2, '0')",
-      1: "'2024-' || lpad(CAST(seq % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(seq % 28 + 1 AS VARCHAR), 2, '0')",
-      2: "'2024-' || lpad(CAST(seq % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(seq % 28 + 1 AS VARCHAR), 2, '0')",
-      3: "'2024-06-' || lpad(CAST(seq % 30 + 1 AS VARCHAR), 2, '0')",
-      4: "CASE WHEN seq % 31 + 1 < 31 THEN '2024-06-' || lpad(CAST(seq % 31 + 1 AS VARCHAR), 2, '0') END",
-      5: "'2024-' || lpad(CAST(seq % 12 + 1 AS VARCHAR), 2, '0') || '-07'",
-      6: "'2024-06-08'", 7: "'2023-06-01'", 8: "'2023-11-01'", 15: "'2024-03-04'"})} AS parsed FROM c""",
-    "P6_emails": f"""{_C} SELECT seq, {_case(16, {k: repr(v) for k, v in enumerate(_EMAIL_CODES)})} AS code,
-  {_case(16, {0: "'user' || seq || '@firm' || seq % 40 || '.com'", 1: "'kunle@meridian' || seq % 7 || '.com'", 2: "'blessing@proton.me'", 3: "'info@acme.com'", 4: "'jane@acme.com'", 14: "'tmp@yopmail.com'"})} AS address,
-  CASE seq % 16 WHEN 2 THEN 'EMAIL_FREEMAIL' WHEN 3 THEN 'EMAIL_ROLE_ADDRESS' WHEN 14 THEN 'EMAIL_DISPOSABLE' ELSE '' END AS warnings FROM c""",
-    "P7_lead_ids": f"""{_C}, {_IDS} c) SELECT seq, coalesce(bad, CASE WHEN px <> '' AND sx = '' THEN 'OK' ELSE 'OK_NORMALISED' END) AS code,
-  CASE WHEN bad IS NULL THEN CASE WHEN px = '' THEN 'L' ELSE upper(px) END || '-' || {_NUMBER} || CASE WHEN sx <> '' THEN '-' || sx ELSE '' END END AS canonical,
-  CASE WHEN bad IS NULL THEN {_NUMBER} END AS number, CASE WHEN bad IS NULL AND sx <> '' THEN 'ID_HAS_SUFFIX' ELSE '' END AS warnings FROM ids""",
-    "P8_websites": f"""{_C} SELECT seq, {_case(13, {k: repr(v) for k, v in enumerate(_SITE_CODES)})} AS code,
-  {_case(13, {0: "'https://firm' || seq % 40 || '.com'", 1: "'https://apexsend.co'", 2: "'http://upshiftloop.agency'", 3: "'https://x.co.uk'", 4: "'https://sub.foo.com.ng'", 12: "'https://firm.com'"})} AS url,
-  {_case(13, {0: "'firm' || seq % 40 || '.com'", 1: "'apexsend.co'", 2: "'upshiftloop.agency'", 3: "'x.co.uk'", 4: "'foo.com.ng'", 12: "'firm.com'"})} AS registrable FROM c""",
-    "P9_page_domains": """WITH h AS (SELECT string_split(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '.') AS l FROM pages)
-SELECT CASE WHEN len(l) >= 3 AND array_to_string(l[-2:], '.') IN ('co.uk','org.uk','ac.uk','gov.uk','co.za','com.au','net.au','org.au','co.nz','com.ng','org.ng','co.ke','com.br','co.in','com.sg','co.jp','com.mx','com.tr','co.il','com.gh')
-  THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS registrable, count(*) AS pages FROM h GROUP BY 1""",
-    "P11_P14_fit": f"""{_C}, n AS (SELECT *, list_transform(regexp_extract_all(employees, '[0-9]+'), lambda x: CAST(x AS BIGINT)) AS l, lower(title) AS t, lower(company || ' ' || notes) AS said FROM c),
-h AS (SELECT *, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) > 1 THEN CAST(round_even(list_sum(l) / len(l), 0) AS BIGINT) END AS head_count FROM n)
-SELECT seq, head_count, CASE WHEN head_count BETWEEN 1 AND 1 THEN 'solo' WHEN head_count BETWEEN 2 AND 9 THEN 'micro' WHEN head_count BETWEEN 10 AND 24 THEN 'small' WHEN head_count BETWEEN 25 AND 74 THEN 'mid' WHEN head_count BETWEEN 75 AND 999999 THEN 'large' ELSE 'unknown' END AS band,
-  CASE t WHEN 'founder' THEN 'LIKELY' WHEN 'ceo' THEN 'LIKELY' WHEN 'director of sales' THEN 'LIKELY' WHEN 'head of ops' THEN 'INFLUENCER' WHEN 'marketing manager' THEN 'INFLUENCER' WHEN 'student' THEN 'NONE' WHEN 'recruiter' THEN 'NONE' END AS level,
-  t IN ('student', 'recruiter') AS non_buyer,
-  CASE WHEN regexp_matches(said, 'not an agency|small local business|car dealership') THEN false
-    WHEN regexp_matches(said, 'we''?re an? .{{0,40}}agency|\\bour (clients|accounts)\\b|agency owner') OR regexp_matches(lower(company), 'agency|marketing|growth|media|gtm|seo|ppc|demand gen|outbound|performance|lead gen|appointment.setting') THEN true END AS icp,
-  CAST(CASE lower(source) WHEN 'referral' THEN 1.0 WHEN 'linkedin' THEN 0.8 WHEN 'event' THEN 0.7 WHEN 'cold reply' THEN 0.6 WHEN 'webform' THEN 0.5 ELSE 0.4 END AS DOUBLE) AS quality FROM h""",
-    "S5_kept_rows": f"{_C} SELECT seq, lead_id, source FROM kept",
-    "S6_row_index": f"{_C} SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS row_index FROM kept",
-    "S10_profile_json": f"{_C} SELECT seq, {_golden(0)} AS intent_type, {_case(16, {k: repr(v) for k, v in enumerate(_EMAIL_CODES)})} AS email_code FROM kept",
-    "S12_load_report": f"""{_C}, x AS (SELECT seq, lead_id FROM c WHERE seq NOT IN (SELECT seq FROM kept) ORDER BY seq LIMIT 5)
-SELECT (SELECT count(*) FROM c) AS rows_in_file, (SELECT count(*) FROM kept) AS rows_loaded, (SELECT count(*) FROM c) - (SELECT count(*) FROM kept) AS rows_dropped, (SELECT string_agg(lead_id, ',' ORDER BY seq) FROM x) AS dropped_examples""",
-    "T1_sorted_ids": f"{_C} SELECT seq, lead_id FROM c",
-    "F3_search": f"{_C} SELECT seq AS row, company FROM kept WHERE regexp_matches(lower(company || ' ' || name || ' ' || notes), 'agency|dealership')",
-    "W1_duplicates": f"{_C}, {_IDS} kept), n AS (SELECT {_NUMBER} AS num, min(seq) AS first FROM ids WHERE bad IS NULL GROUP BY 1) SELECT seq, bad IS NULL AND seq > first AS is_duplicate FROM ids LEFT JOIN n ON bad IS NULL AND num = CASE WHEN bad IS NULL THEN {_NUMBER} END",
-    "W3_order_shares": "SELECT o_orderstatus, o_orderpriority, n, round(n / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS share FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)",
+    "A1_leads_per_band": sql("scored", "SELECT band, band_label, count(*) AS leads FROM scored GROUP BY ALL"),
+    "A2_stage_by_budget": sql("scored", "SELECT buying_stage, budget_status, count(*) AS leads FROM scored GROUP BY ALL"),
+    "A3_top_enquiry_types": sql("scored", "SELECT intent_type AS value, count(*) AS leads FROM scored GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"),
+    "A4_source_by_band": sql("scored", "SELECT source, band, count(*) AS leads, count(*) / sum(count(*)) OVER (PARTITION BY source) AS share FROM scored GROUP BY source, band"),
+    "A5_problem_counts": sql("scored", "SELECT label AS problem, count(*) AS leads FROM scored s JOIN no1 n ON n.note = s.notes JOIN pr ON regexp_matches(n.norm, pr.pattern) GROUP BY 1"),
+    "A6_score_histogram": sql("scored", "SELECT CAST(floor(score / 5) * 5 AS INT) AS bin, count(*) AS leads FROM scored GROUP BY 1"),
+    "A7_pipeline_value": sql("scored", "SELECT round_even(coalesce(sum(budget_monthly), 0), 2) AS pipeline_value, count(*) AS leads FROM scored WHERE band IN ('CONTACT_NOW', 'CONSIDER')"),
+    "A8_kpis": sql("scored", "SELECT count(*) AS leads, " + ", ".join(f"count(*) FILTER (band = '{b}') AS n_{b.lower()}" for b in reports.BANDS) + ", round_even(100 * count(*) FILTER (band = 'CONTACT_NOW') / count(*), 1) AS contact_now_percent, round_even(avg(round_even(confidence, 2)), 4) AS mean_confidence, count(*) FILTER (data_issues > 0) AS with_issues FROM scored"),
+    "A9_route_counts": sql("scored", "SELECT route, count(*) AS leads FROM scored GROUP BY 1"),
+    "A10_parse_rates": sql("fields", "SELECT field, count(*) FILTER (trim(raw) <> '') AS supplied, count(*) FILTER (trim(raw) = '') AS blank, count(*) FILTER (trim(raw) <> '' AND ok) AS read, round_even(count(*) FILTER (trim(raw) <> '' AND ok) / greatest(count(*) FILTER (trim(raw) <> ''), 1), 4) AS rate FROM fields GROUP BY 1"),
+    "A11_code_histogram": sql("fields", "SELECT field, code, count(*) AS n, arg_min(raw, seq) AS example FROM (SELECT seq, field, raw, unnest(codes) AS code FROM fields) GROUP BY 1, 2"),
+    "A12_date_evidence": sql("evidence", "SELECT * FROM evidence"),
+    "A13_duplicate_count": sql("dups", "SELECT count(*) FILTER (is_duplicate) AS duplicates FROM dups"),
+    "A17_ledger_totals": sql("scored", "SELECT seq, round_even(coalesce(list_sum(list_transform(ledger, lambda x: x.p)), 0), 1) + 0 AS ledger_total, raw_score AS score FROM scored"),
+    "A19_ledger_lines": sql("scored", f"SELECT seq, CAST({_GROUP_PLACE} AS INT) AS group_place, CAST(k - 1 AS INT) AS pos, x.g AS line_group, round_even(x.p, 1) + 0 AS points FROM (SELECT seq, k, ledger[k] AS x FROM (SELECT seq, ledger, unnest(range(1, len(ledger) + 1)) AS k FROM scored))"),
+    "F2_filter_leads": sql("scored", "SELECT seq AS \"row\", band, source, size_band FROM scored WHERE band IN ('CONTACT_NOW', 'CONSIDER') AND source IN ('referral', 'linkedin') AND round_even(confidence, 2) >= 0.5"),
+    "F3_search": sql("kept ids emails", f"SELECT k.seq AS \"row\", company FROM kept k JOIN (SELECT * EXCLUDE (lead_id) FROM ids) i USING (seq) JOIN emails e USING (seq) WHERE " + " OR ".join(f"regexp_matches(lower({x}), 'agency|dealership|@corp|l-1[0-9]$')" for x in ("company", "name", "notes", "coalesce(address, email)", _DISPLAY.replace("seq", "k.seq")))),
+    "G_scored_leads": sql("scored", 'SELECT seq AS "row", raw_score, score, band, route FROM scored'),
+    "N2_N16_intent_profiles": sql("note_profiles", f"SELECT seq, {_PROFILE} FROM profiles"),
+    "N8_intent_type": sql("note_profiles", "SELECT seq, intent_type FROM profiles"),
+    "N9_problems": sql("notes", "SELECT seq, problems, array_to_string(list_filter(cats, lambda x, i: list_position(cats, x) = i), ', ') AS categories FROM c JOIN notes n ON n.note = c.notes"),
+    "N13_solution_intent": sql("note_profiles", "SELECT seq, CASE buying_stage WHEN 'AWARENESS' THEN 'GENERAL_INTEREST' WHEN 'EXPLORATION' THEN 'EXPLORATION' WHEN 'EVALUATION' THEN 'EVALUATION' WHEN 'DECISION' THEN 'EVALUATION' WHEN 'PURCHASE' THEN 'IMPLEMENTATION' ELSE 'UNKNOWN' END AS solution_intent FROM profiles"),
+    "P1_amounts": sql("amounts", "SELECT seq, amount_code AS code, round_even(value, 2) AS value, round_even(monthly, 2) AS monthly, period, currency, array_to_string(amount_warnings, ',') AS warnings FROM amounts"),
+    "P2_amount_options": sql("amounts", "SELECT a.seq, CASE WHEN amount_ok THEN round_even(CASE WHEN is_range THEN least(v[1], v[2]) WHEN is_open AND regexp_matches(s, " + q(UP_TO) + ") THEN 0 ELSE v[1] END, 2) END AS min, CASE WHEN amount_ok THEN round_even(CASE WHEN is_range THEN greatest(v[1], v[2]) ELSE v[1] END, 2) END AS max, CASE WHEN amount_ok THEN round_even(chosen, 2) END AS avg FROM amounts a JOIN am6 USING (seq)"),
+    "P3_dates": sql("dates", "SELECT seq, date_code AS code, parsed, array_to_string(date_warnings, ',') AS warnings FROM dts"),
+    "P4_date_policy": sql("policy", 'SELECT separator, ord AS "order" FROM policy'),
+    "P6_emails": sql("emails", "SELECT seq, email_code AS code, address, array_to_string(email_warnings, ',') AS warnings FROM emails"),
+    "P7_lead_ids": sql("ids", "SELECT seq, id_code AS code, id_canonical AS canonical, id_number AS number, array_to_string(id_warnings, ',') AS warnings FROM ids"),
+    "P8_websites": sql("sites", "SELECT seq, site_code AS code, url, site_domain AS registrable, array_to_string(site_warnings, ',') AS warnings FROM sites"),
+    "P9_page_domains": f"WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages) SELECT {registrable_sql('host')} AS registrable, count(*) AS pages FROM h GROUP BY 1",
+    "P10_domain_match": sql("emails sites", f"SELECT e.seq, CASE WHEN email_domain <> '' THEN {registrable_sql('email_domain')} = site_domain END AS same_domain FROM emails e JOIN sites s USING (seq)"),
+    "P11_P14_fit": sql("fit", "SELECT seq, head_count, band, level, non_buyer, icp, quality FROM fit"),
+    "P15_result_codes": sql("scored", "SELECT seq, array_to_string(list_concat([id_code], id_warnings), ',') AS id_codes, array_to_string(list_concat([date_code], date_warnings), ',') AS created_codes, array_to_string(list_concat([email_code], email_warnings), ',') AS email_codes, array_to_string(list_concat([site_code], site_warnings), ',') AS website_codes, array_to_string(list_concat([amount_code], amount_warnings), ',') AS budget_codes FROM scored"),
+    "P16_data_issues": sql("scored", "SELECT seq, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {text} END" for cond, text in _ISSUES) + "], lambda x: x IS NOT NULL), '; ') AS issues FROM scored"),
+    "S5_kept_rows": sql("kept", "SELECT seq, lead_id, source FROM kept"),
+    "S6_row_index": sql("kept", "SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS row_index FROM kept"),
+    "S10_profile_json": sql("scored", "SELECT seq, company, intent_type, decision_authority AS authority, confidence, coalesce(round_even(conf_urgency, 3), 0) AS urgency_confidence, codes[1] AS first_negative, email_code FROM scored"),
+    "S11_flat_frame": sql("scored", _FLAT),
+    "S12_load_report": sql("kept policy dups", f"""SELECT (SELECT count(*) FROM c) AS rows_in_file, (SELECT count(*) FROM kept) AS rows_loaded, (SELECT count(*) FROM c) - (SELECT count(*) FROM kept) AS rows_dropped,
+  (SELECT string_agg(lead_id, ',' ORDER BY seq) FROM (SELECT seq, lead_id FROM c WHERE seq NOT IN (SELECT seq FROM kept) ORDER BY seq LIMIT 5)) AS dropped_examples, '{",".join(FIELDS)}' AS headers, '{",".join(f"{f}={f}" for f in FIELDS)}' AS column_map, '' AS unmapped_fields,
+  (SELECT coalesce(string_agg(separator || '=' || ord, ',' ORDER BY separator), '') FROM policy) AS date_order_policy, (SELECT count(*) FILTER (is_duplicate) FROM dups) AS duplicate_ids"""),
+    "T1_sorted_ids": sql("ids", "SELECT seq, lead_id, row_number() OVER (ORDER BY bad IS NOT NULL, id_number, CASE WHEN bad IS NULL THEN id_suffix ELSE lead_id END, id_prefix, seq) AS place FROM ids"),
+    "T4_top_scores": sql("scored", 'SELECT seq AS "row", raw_score, band FROM scored ORDER BY raw_score DESC, seq LIMIT 10'),
+    "T5_top_issues": sql("scored", 'SELECT seq AS "row", CAST(data_issues AS INT) AS data_issues FROM scored WHERE data_issues > 0 ORDER BY data_issues DESC, seq LIMIT 25'),
+    "T6_by_display_score": sql("scored", _by_place("score")),
+    "T7_by_raw_score": sql("scored", _by_place("raw_score")),
+    "W1_duplicates": sql("dups", "SELECT seq, is_duplicate FROM dups"),
 }

@@ -9,11 +9,16 @@ from ..operators.cleaning import clean_contacts, data_issues, id_display
 from ..operators.intent import extract_intent
 from ..operators.lexicon import Lexicon
 from ..operators.scoring import score
+from ..sources.settings import Settings
 
 
-def process(df: DataFrame, lexicon: Lexicon | None = None, scoring: dict | None = None, as_of: Column | None = None, **parsing) -> DataFrame:
-    """Scored records of raw contacts (seq and the canonical fields)."""
-    clean = clean_contacts(df, as_of=as_of, **parsing)
+def process(df: DataFrame, lexicon: Lexicon | None = None, scoring: dict | None = None, as_of: Column | None = None, settings: Settings | None = None) -> DataFrame:
+    """Scored records of raw contacts (seq and the canonical fields).
+
+    The plan is one wide projection over a scan. Write the result, or persist it, before filtering and joining it: the
+    optimiser derives constraints from all that lies below a filter, which takes it minutes on expressions of this size.
+    """
+    clean = clean_contacts(df, settings, as_of)
     return score(extract_intent(clean, "notes", "title_level", lexicon), scoring)
 
 

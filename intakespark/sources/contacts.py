@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.contacts import LeadIdConfig, parse_lead_id
+from ..functions.dates import infer_order_policy
 from .settings import DROP, FIELDS
 
 def is_path_like(source: str) -> bool:
@@ -32,29 +34,29 @@ def resolve_columns(headers: list[str], fields: dict = FIELDS) -> dict[str, int]
     return out
 
 
-def _header(line: str) -> list[str]:
-    return next(csv.reader(io.StringIO(line.lstrip("﻿"))), [])
-
-
 def bind_columns(df: DataFrame, headers: list[str], fields: dict = FIELDS) -> DataFrame:
     """Select the canonical fields (missing ones empty) and ``raw``, a map of all headers, from columns in header order."""
     found = resolve_columns(headers, fields)
-    cols = df.columns
+    cols = [c for c in df.columns if c != "seq"]
     own = [F.coalesce(F.col(f"`{cols[found[f]]}`"), F.lit("")).alias(f) if f in found else F.lit("").alias(f) for f in fields]
     last = {h: k for k, h in enumerate(headers)}
     raw = F.create_map(*(x for h, k in last.items() for x in (F.lit(h), F.col(f"`{cols[k]}`")))) if last else F.create_map().cast("map<string,string>")
-    keep = [F.col(c) for c in ("seq",) if c in cols]
+    keep = [F.col("seq")] if "seq" in df.columns else []
     return df.select(*keep, *own, raw.alias("raw"))
 
 
-def read_contacts(spark: SparkSession, path: str, fields: dict = FIELDS) -> DataFrame:
-    """Contacts of a CSV file: seq (file order), the canonical fields as strings, and raw.
+def read_contacts(spark: SparkSession, path: str, fields: dict = FIELDS, multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:
+    """Contacts of CSV files: seq, the canonical fields as strings, and raw.
 
-    Only the header line is looked at on the driver. Quoted line feeds are read; short rows give nulls.
+    Only the header is looked at on the driver, by the CSV reader itself. Short rows give nulls. ``multi_line`` reads
+    quoted line feeds, at the price of one task a file; without it a file of any size is split. ``seq`` is the file order
+    of one file; over several files it follows the order in which Spark takes them.
     """
-    headers = _header(spark.read.text(path).first()[0])
+    options = {"escape": '"', "multiLine": multi_line, "encoding": encoding}
+    top = spark.read.csv(path, header=False, inferSchema=False, **options).limit(1).first()
+    headers = [(h or "").lstrip("\ufeff") for h in top] if top else []
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(headers))])
-    rows = spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', enforceSchema=True)
+    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **options)
     return bind_columns(rows.withColumn("seq", F.monotonically_increasing_id()), headers, fields)
 
 
@@ -65,15 +67,7 @@ def contacts_from_text(spark: SparkSession, text: str, fields: dict = FIELDS) ->
     schema = T.StructType([T.StructField("seq", T.LongType()), *(T.StructField(f"c{k}", T.StringType()) for k in range(len(headers)))])
     data = [(k, *(r[j] if j < len(r) else None for j in range(len(headers)))) for k, r in enumerate(r for r in rows[1:] if r)]
     df = spark.createDataFrame(data, schema)
-    body = df.select("seq", *(f"c{k}" for k in range(len(headers))))
-    return bind_columns(body.drop("seq"), headers, fields) if not headers else _bind_after_seq(body, headers, fields)
-
-
-def _bind_after_seq(df: DataFrame, headers: list[str], fields: dict) -> DataFrame:
-    found = resolve_columns(headers, fields)
-    own = [F.coalesce(F.col(f"c{found[f]}"), F.lit("")).alias(f) if f in found else F.lit("").alias(f) for f in fields]
-    last = {h: k for k, h in enumerate(headers)}
-    return df.select("seq", *own, F.create_map(*(x for h, k in last.items() for x in (F.lit(h), F.col(f"c{k}")))).alias("raw"))
+    return bind_columns(df, headers, fields)
 
 
 def load_contacts(spark: SparkSession, source: str, fields: dict = FIELDS) -> DataFrame:
@@ -93,13 +87,34 @@ def drop_test_rows(df: DataFrame, drop: dict = DROP) -> DataFrame:
     return df.where(~is_test_row(drop))
 
 
-def load_report(df: DataFrame, drop: dict = DROP) -> DataFrame:
-    """One row: rows_in_file, rows_loaded, rows_dropped and the first five dropped identifiers. One pass, partial sums."""
+def load_report(df: DataFrame, drop: dict = DROP, headers: list[str] | None = None, fields: dict = FIELDS, lead_id: LeadIdConfig | None = None) -> DataFrame:
+    """One row about a load: rows_in_file, rows_loaded, rows_dropped, the first five dropped identifiers, headers, column_map (field=header), unmapped_fields, date_order_policy (separator=order) and duplicate_ids.
+
+    ``headers`` are those of the file; where they are not given, the canonical columns of ``df`` stand for them.
+    """
+    names = headers if headers is not None else [f for f in fields if f in df.columns]
+    found = resolve_columns(names, fields)
     bad = is_test_row(drop)
     lead = df.select(bad.alias("bad"), "seq", "lead_id")
     examples = lead.where("bad").orderBy("seq").limit(5).agg(F.array_sort(F.collect_list(F.struct("seq", "lead_id"))).alias("x"))
     counts = lead.agg(F.count(F.lit(1)).alias("rows_in_file"), F.count_if(~F.col("bad")).alias("rows_loaded"), F.count_if("bad").alias("rows_dropped"))
-    return counts.join(F.broadcast(examples), F.lit(True)).select("rows_in_file", "rows_loaded", "rows_dropped", F.array_join(F.transform("x", lambda r: F.coalesce(r["lead_id"], F.lit(""))), ",").alias("dropped_examples"))
+    order = infer_order_policy(drop_test_rows(df, drop).select("created"), "created").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "separator", "order"))), ",").alias("date_order_policy"))
+    ids = drop_test_rows(df, drop).select(parse_lead_id(F.col("lead_id"), lead_id).alias("r")).where(F.col("r")["ok"])
+    twice = ids.groupBy(F.col("r")["value"]["number"].alias("number")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_ids"))
+    # Four single rows.
+    one = counts.join(F.broadcast(examples), F.lit(True)).join(F.broadcast(order), F.lit(True)).join(F.broadcast(twice), F.lit(True))
+    text = lambda values: F.lit(",".join(values))
+    return one.select(
+        "rows_in_file",
+        "rows_loaded",
+        "rows_dropped",
+        F.array_join(F.transform("x", lambda r: F.coalesce(r["lead_id"], F.lit(""))), ",").alias("dropped_examples"),
+        text(names).alias("headers"),
+        text(f"{f}={names[k]}" for f, k in found.items()).alias("column_map"),
+        text(f for f in fields if f not in found).alias("unmapped_fields"),
+        "date_order_policy",
+        "duplicate_ids",
+    )
 
 
 def with_row_index(df: DataFrame, order: str = "seq", name: str = "row_index") -> DataFrame:

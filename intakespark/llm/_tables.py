@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir. A temporary one only where that is unset and driver and executors are one process; elsewhere that raises."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="intakespark-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage, so a lost executor costs at most a re-read."""
+    """Tables written to the shared folder. They cut lineage, so a lost executor costs at most a re-read.
+
+    A table that a result still reads stays until the folder's owner clears it; ``drop`` deletes the others.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and return the written table."""
@@ -36,16 +44,37 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
+        back._scratch_path = path
         return back
 
-    def drop(self, table: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        path = self.paths.pop(id(table), None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            path = getattr(t, "_scratch_path", None)
+            if path and path.startswith(self.root + "/"):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key is dealt out over several tasks from this many rows on, and from this part of all rows.
+HOT_ROWS, HOT_PART = 512, 2048
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join of left with a written table that has each key once, no frequent key in one task.
+
+    ``rows`` is the column of ``right`` that counts the left rows of a key (or more). Keys above a HOT_PART-th of all
+    rows, fewer than HOT_PART, are broadcast; their left rows are dealt out by hash over as many tasks as their count
+    asks for, and their right row goes to each of these. All other keys meet as in a plain join.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, total // HOT_PART)
+    parts = F.greatest(F.ceil(F.col(rows) / limit), F.lit(1)).cast("int")
+    hot = right.where(F.col(rows) > limit).select(*keys, parts.alias("_parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > limit, parts - 1).otherwise(0)))
+    return dealt.join(right.withColumn("_salt", copies), [*keys, "_salt"]).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

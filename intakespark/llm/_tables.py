@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -56,26 +55,5 @@ class Scratch:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: A key is dealt out over several tasks from this many rows on, and from this part of all rows.
-HOT_ROWS, HOT_PART = 512, 2048
-
-
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
-    """Inner join of left with a written table that has each key once, no frequent key in one task.
-
-    ``rows`` is the column of ``right`` that counts the left rows of a key (or more). Keys above a HOT_PART-th of all
-    rows, fewer than HOT_PART, are broadcast; their left rows are dealt out by hash over as many tasks as their count
-    asks for, and their right row goes to each of these. All other keys meet as in a plain join.
-    """
-    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
-    limit = max(HOT_ROWS, total // HOT_PART)
-    parts = F.greatest(F.ceil(F.col(rows) / limit), F.lit(1)).cast("int")
-    hot = right.where(F.col(rows) > limit).select(*keys, parts.alias("_parts"))
-    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0)).cast("int")
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
-    copies = F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > limit, parts - 1).otherwise(0)))
-    return dealt.join(right.withColumn("_salt", copies), [*keys, "_salt"]).drop("_salt")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -70,7 +70,10 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
     if top < 1 << 63:
         return q @ v.T
-    return (q.astype(object) @ v.T.astype(object)).astype(np.int64)
+    exact = q.astype(object) @ v.T.astype(object)
+    if np.abs(exact).max(initial=0) >= 1 << 63:
+        raise OverflowError("inner products of these vectors do not fit 64 bits")
+    return exact.astype(np.int64)
 
 
 def search(q: np.ndarray, skip: np.ndarray, start: np.ndarray, ids: np.ndarray, v: np.ndarray, nodes: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +181,10 @@ def _pack(every: int, id_at: int = 0):
                 if fine.any():
                     got = wait.setdefault(dim, ([], []))
                     got[0].append(ids.take(pa.array(at[fine])).to_numpy(zero_copy_only=False).astype(np.int64))
-                    got[1].append(np.floor(SCALE * x[fine]).astype(np.int64))
+                    units = np.floor(SCALE * x[fine])
+                    if np.abs(units).max(initial=0) >= 2.0**63:
+                        raise OverflowError("a component times 64 does not fit 64 bits")
+                    got[1].append(units.astype(np.int64))
                     if sum(map(len, got[0])) >= 2 * SHARD_ROWS:
                         yield rows(shard(dim))
         for dim in list(wait):
@@ -229,7 +235,8 @@ _FOUND = "uid long, query_id long, home long, place long, vec_id long, score lon
 def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id divides by ``every``, the k best other rows.
 
-    Components x count as floor(64 * x); scores are integer inner products and fit a long; ties go to the smaller id.
+    Components x count as floor(64 * x); scores are integer inner products, ties go to the smaller id. A component or a
+    score beyond 64 bits has no right answer in these columns and raises OverflowError.
     Rows with a null id, a null vector, or a null or non-finite component take no part. Vectors are compared with those of
     their own dimension. Rows that repeat an id are rows of their own: each is a candidate, each asks, and only the asking
     row itself is left out. Fewer than k candidates are all returned; an empty table gives an empty result.

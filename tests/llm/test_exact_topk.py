@@ -49,3 +49,10 @@ def test_many_shards(spark, monkeypatch):
     best, name = exact_topk.search(own[skip], skip, start, ids, own, nodes, 5)
     got = sorted((int(ids[s]), n + 1, int(name[a, n]), int(best[a, n])) for a, s in enumerate(skip) for n in range(5))
     assert batch.num_rows == 400 and got == brute(rows, 5, 20)
+
+
+def test_what_does_not_fit_raises(spark):
+    for big in (1e300, 1e12):
+        df = spark.createDataFrame([(0, [big, 1.0]), (20, [big, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="do(es)? not fit 64 bits"):
+            exact_topk.exact_top_k(df).collect()

@@ -6,7 +6,7 @@ and folder and kept, as reports on one load would be.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import UP_TO, amount_options, parse_amount
@@ -119,6 +119,12 @@ def _texts(spark, d):
     return rows.select("conv_id", "turn", F.size("c").cast("long").alias("clauses"), F.col("words").cast("long").alias("words"), F.size(F.filter("c", lambda x: x["operative"])).cast("long").alias("operative"))
 
 
+def _frame_orders(spark, d):
+    """Orders per priority with their share in each status: the shares of the reports on a table of their own."""
+    o = _t(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return o.withColumn("share", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy("o_orderstatus")), 6))
+
+
 def _fit(spark, d):
     size = employees_of(F.col("employees"))
     c = contacts(spark, d)
@@ -184,6 +190,7 @@ QUERIES = {
     "T6_by_display_score": lambda s, d: reports.placed_by(_flat(s, d), "score").select("row", "score", "place"),
     "T7_by_raw_score": lambda s, d: reports.placed_by(_flat(s, d), "raw_score").select("row", "raw_score", "place"),
     "W1_duplicates": lambda s, d: cleaning.mark_duplicates(drop_test_rows(contacts(s, d)).withColumn("id_result", parse_lead_id(F.col("lead_id")))).select("seq", "is_duplicate"),
+    "W3_order_shares": _frame_orders,
     "X2_conversation_clauses": _texts,
 }
 
@@ -249,4 +256,5 @@ ORACLES = {
     "T6_by_display_score": sql("scored", _by_place("score")),
     "T7_by_raw_score": sql("scored", _by_place("raw_score")),
     "W1_duplicates": sql("dups", "SELECT seq, is_duplicate FROM dups"),
+    "W3_order_shares": "SELECT o_orderstatus, o_orderpriority, n, round(n / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS share FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)",
 }

@@ -284,11 +284,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     hopeful = F.col("shared") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= F.ceil(percent * (F.col("n") + F.col("m")) / F.lit(100 + percent))
     late = scratch.keep(verify(pairs.where(hopeful).select("u", "v"), docs, words, percent))
     bridged = late.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-    bridged = bridged.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    final = scratch.keep(connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(bridged), scratch))
+    # Only whole components are still to be joined, so the second pass is over their names.
+    merged = connected_components(bridged.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), scratch)
 
-    named = sets.select("doc_id", "n", "fp1", "fp2").join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"], "left")
-    named = named.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    placed = reps.select("fp1", "fp2", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    placed = placed.join(merged.select(F.col("node").alias("part"), F.col("component").alias("whole")), "part", "left")
+    named = sets.select("doc_id", "n", "fp1", "fp2").join(placed.select("fp1", "fp2", F.coalesce("whole", "part").alias("component")), ["fp1", "fp2"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     documents = named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return Join(documents, tested.unionByName(late), light)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_topk, line_dedup, maglev, mix_sql, mpegts, ngram_jaccard, pii_feistel, quality, source_mix
+from . import bpe, centroids, chat_format, exact_topk, hard_negatives, line_dedup, maglev, merge_replay, mix_sql, mpegts, ngram_jaccard, pii_feistel, quality, source_mix
 from ._tables import table
 
 
@@ -131,12 +131,37 @@ def op10_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_line_dedup, op3_repeated_runs, op4_quality, op5_chat_format, op6_mpegts_media, op7_exact_topk, op8_pii_feistel, op9_maglev_sharding, op10_bpe_forced_boundaries)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine_hard_negatives(moved, F.col("vec_id") % hard_negatives.EVERY == 0)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).vectors
+
+
+def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = merge_replay.encode_decode_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(merge_replay.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_source_mix, op3_line_dedup, op3_repeated_runs, op4_quality, op5_chat_format, op6_mpegts_media, op7_exact_topk, op8_pii_feistel, op9_maglev_sharding, op10_bpe_forced_boundaries, op11_hard_negatives, op12_centroids, op13_merge_replay)}
 
 ORACLES = {
     "op2_source_mix": mix_sql.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_chat_format": OP5_SQL,
     "op7_exact_topk": exact_topk.OP7_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_centroids": centroids.OP12_SQL,
     "op9_maglev_sharding": maglev.assign_shards_sql("documents", "doc_id"),
 }

@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from .bpe import slices
 
-#: Words a process remembers before it starts afresh; bytes of words replayed together; words of a text looked at together.
-CACHE_WORDS, RUN_BYTES, STRETCH = 300_000, 1 << 21, 1 << 18
+#: Words a process learns before it forgets those that it has not met since as many before; bytes of words replayed together; words of a text looked at together.
+CACHE_WORDS, RUN_BYTES, STRETCH = 250_000, 1 << 21, 1 << 18
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -61,8 +61,8 @@ class MergeTable:
         return rank
 
 
-def replay(words: list[bytes], table: MergeTable) -> list[list[int]]:
-    """Ids of each word, from one replay of all merges over all words."""
+def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, one after another; where each word's ids end), from one replay of all merges over all words."""
     raw = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words])
     begins = [0, *ends[:-1].tolist()]
@@ -85,7 +85,7 @@ def replay(words: list[bytes], table: MergeTable) -> list[list[int]]:
     for b, e in zip(begins, ends.tolist()):
         if e > b:
             left[b], right[e - 1] = -1, -1
-    pair = table.pair
+    pair, known, wide = table.pair, table.pairs.get, table.wide
 
     while heap:
         rank = heappop(heap)
@@ -105,7 +105,9 @@ def replay(words: list[bytes], table: MergeTable) -> list[list[int]]:
             made = -1
             if after >= 0:
                 left[after] = p
-                made = pair(rank, token[after])
+                made = known(rank * wide + token[after])
+                if made is None:
+                    made = pair(rank, token[after])
                 if made >= 0:
                     if made in index:
                         index[made].append(p)
@@ -115,7 +117,10 @@ def replay(words: list[bytes], table: MergeTable) -> list[list[int]]:
             rank_at[p] = made
             lower = 0 <= made < rank
             if before >= 0:
-                made = rank_at[before] = pair(token[before], rank)
+                made = known(token[before] * wide + rank)
+                if made is None:
+                    made = pair(token[before], rank)
+                rank_at[before] = made
                 if made >= 0:
                     lower |= made < rank
                     if made in index:
@@ -129,7 +134,9 @@ def replay(words: list[bytes], table: MergeTable) -> list[list[int]]:
         if later:
             index[rank] = later
             heappush(heap, rank)
-    return [[t for t in token[b:e] if t >= 0] for b, e in zip(begins, ends.tolist())]
+    last = np.array(token, np.int32)
+    alive = last >= 0
+    return last[alive], np.concatenate(([0], np.cumsum(alive)))[ends]
 
 
 class WordEncoder:
@@ -143,6 +150,7 @@ class WordEncoder:
         size = self.table.wide
         self.bytes = pa.array([self.table.token.get(i, b"") for i in range(size)], pa.binary())
         self.ids: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words of a text in order, a stretch at a time where it is very long."""
@@ -156,11 +164,14 @@ class WordEncoder:
     def learn(self, words: set[str]) -> None:
         """Replay and remember the words that are not known yet. A word that is a token itself is that token."""
         if len(self.ids) + len(words) > CACHE_WORDS:
-            self.ids = {}
+            self.ids, self.before = {}, self.ids
         new, size = [], 0
         for word in words:
             if word in self.ids:
                 continue
+            if word in self.before:
+                self.ids[word] = self.before[word]
+                continue
             raw = word.encode()
             whole = self.table.ranks.get(raw)
             if whole is not None:
@@ -175,8 +186,10 @@ class WordEncoder:
             self._replay(new)
 
     def _replay(self, new: list[tuple[str, bytes]]) -> None:
-        for (word, _), ids in zip(new, replay([raw for _, raw in new], self.table)):
-            self.ids[word] = np.array(ids, np.int32).tobytes()
+        values, ends = replay([raw for _, raw in new], self.table)
+        ids, low = values.tobytes(), 0
+        for (word, _), high in zip(new, (4 * ends).tolist()):
+            self.ids[word], low = ids[low:high], high
 
     def encode(self, texts: list[str | None]) -> pa.RecordBatch:
         """Columns ids and decoded of texts: together about as long as the texts themselves."""

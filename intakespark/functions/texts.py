@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .results import let
+from .scan import ClauseReader, Reading, pattern_set, structs
 
 # Signs, markers, cues, terms and windows.
 FOLD_FROM = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u2013\u2014\u2012\u2015\u2212\u00a0\u2007\u202f\t\n\r\u2026"
@@ -37,6 +41,8 @@ BOOSTERS = (
 )
 MODAL_WINDOW = 45
 
+SPANS = T.ArrayType(T.StructType().add("s", T.IntegerType()).add("e", T.IntegerType()))
+
 
 @F.arrow_udf(T.StringType())
 def _compatible(texts: pa.Array) -> pa.Array:
@@ -57,20 +63,16 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
 
 
-def _none(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
-
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<s, e>>: start and end of every match of a pattern; null texts have none."""
 
-def matches(text: Column, pattern: Column | str) -> Column:
-    """array<struct<s, e>>: start and end of every match, found from the texts between and of the matches."""
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    @F.arrow_udf(SPANS)
+    def places(texts: pa.Array) -> pa.Array:
+        found = [[m.span() for m in re.finditer(pattern, t)] for t in texts.to_pylist()]
+        ends = [0, *accumulate(map(len, found))]
+        return structs({"s": ([s for own in found for s, _ in own], pa.int32()), "e": ([e for own in found for _, e in own], pa.int32())}, ends)
 
-    def place(x: Column) -> Column:
-        total = lambda a: F.aggregate(a, F.lit(0), lambda s, y: s + F.length(y))
-        one = lambda m, i: let(total(F.slice(x["gaps"], F.lit(1), i + 1)) + total(F.slice(x["found"], F.lit(1), i)), lambda s: F.struct(s.alias("s"), (s + F.length(m)).alias("e")))
-        return F.transform(x["found"], one)
-
-    return let(F.struct(F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, p, F.lit(0)).alias("found")), place)
+    return places(F.coalesce(text, F.lit("")))
 
 
 def merge_spans(spans: Column) -> Column:
@@ -85,61 +87,40 @@ def merge_spans(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans).cast(kind), F.array().cast(kind), step)
 
 
+@lru_cache(maxsize=1)
+def clause_reader() -> ClauseReader:
+    return ClauseReader(SENTENCE_END, CONTRAST_AT, SUBCLAUSE, NEGATION, NOT_NEGATION, SCOPE_STOP, SCOPE)
+
+
+@F.arrow_udf(SPANS)
+def _scopes(clauses: pa.Array) -> pa.Array:
+    found = [clause_reader().scopes(t) for t in clauses.to_pylist()]
+    return structs({"s": ([s for own in found for s, _ in own], pa.int32()), "e": ([e for own in found for _, e in own], pa.int32())}, [0, *accumulate(map(len, found))])
+
+
 def negation_spans(clause: Column) -> Column:
     """array<struct<s, e>>: stretches of a clause under negation."""
+    return _scopes(F.coalesce(clause, F.lit("")))
 
-    def scoped(blocked: Column) -> Column:
-        cues = F.filter(matches(clause, "|".join(NEGATION)), lambda m: ~F.exists(blocked, lambda b: (b["s"] <= m["s"]) & (m["s"] < b["e"])))
 
-        def scope(m: Column) -> Column:
-            rest = F.substring(clause, m["e"] + 1, F.length(clause))
-            stop = F.length(F.get(F.split(rest, SCOPE_STOP, 2), F.lit(0)))
-            return F.struct(m["e"].alias("s"), (m["e"] + F.least(stop, F.lit(SCOPE))).alias("e"))
+CLAUSES = T.ArrayType(T.StructType().add("text", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()).add("operative", T.BooleanType()).add("marker", T.StringType()).add("neg", SPANS))
 
-        return F.filter(F.transform(cues, scope), lambda x: x["e"] > x["s"])
 
-    found = let(matches(clause, "|".join(NOT_NEGATION)), scoped)
-    return F.when(clause.rlike("|".join(NEGATION)), merge_spans(found)).otherwise(_none("struct<s:int,e:int>"))
+@F.arrow_udf(CLAUSES)
+def _clauses(texts: pa.Array) -> pa.Array:
+    reading = Reading(clause_reader(), pattern_set(()), pattern_set(()), [])
+    for text in texts.to_pylist():
+        reading.add(text)
+    return reading.clause_array()
 
 
 def split_clauses(norm: Column) -> Column:
-    """array<struct<text, start, end, operative, marker, neg>> of a normalised note.
+    """array<struct<text, start, end, operative, marker, neg>> of a normalised note; a null note has none.
 
-    Sentences are cut before contrast markers (the clause from there is operative) and after commas that open a subordinate clause.
+    Sentences are cut before contrast markers (the clause from there is operative) and after commas that open a
+    subordinate clause. Time and size grow with the note.
     """
-    return let(norm, _clauses_of)
-
-
-def _clauses_of(norm: Column) -> Column:
-    n = F.length(norm)
-
-    def sentences(ends: Column) -> Column:
-        spans = F.transform(
-            F.sequence(F.lit(0), F.size(ends)),
-            lambda i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)["e"]).alias("s"), F.when(i == F.size(ends), n).otherwise(F.get(ends, i)["s"]).alias("e")),
-        )
-        return F.filter(spans, lambda x: x["e"] > x["s"])
-
-    def cut(sentence: Column) -> Column:
-        def with_text(seg: Column) -> Column:
-            none = F.lit("")
-            marks = F.transform(matches(seg, CONTRAST_AT), lambda m: F.struct(m["s"].alias("at"), F.substring(seg, m["s"] + 1, m["e"] - m["s"]).alias("marker")))
-            subs = F.transform(matches(seg, SUBCLAUSE), lambda m: F.struct(m["e"].alias("at"), none.alias("marker")))
-            cuts = F.array_sort(F.concat(F.array(F.struct(F.lit(0).alias("at"), none.alias("marker"))), marks, subs))
-            return let(cuts, lambda cs: F.transform(cs, lambda c, i: part(seg, cs, c, i)))
-
-        def part(seg: Column, cs: Column, c: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(cs, i + 1)["at"], F.length(seg))
-            body = F.substring(seg, c["at"] + 1, end - c["at"])
-            lead = F.length(body) - F.length(F.regexp_replace(body, "^[ ,]+", ""))
-            text = F.regexp_replace(F.substring(body, lead + 1, F.length(body)), r"\s+$", "")
-            start = sentence["s"] + c["at"] + lead
-            return F.struct(text.alias("text"), start.alias("start"), (start + F.length(text)).alias("end"), (c["marker"] != "").alias("operative"), c["marker"].alias("marker"))
-
-        return let(F.substring(norm, sentence["s"] + 1, sentence["e"] - sentence["s"]), with_text)
-
-    parts = F.filter(F.flatten(F.transform(let(matches(norm, SENTENCE_END), sentences), cut)), lambda c: c["text"] != "")
-    return F.transform(parts, lambda c: F.struct(c["text"].alias("text"), c["start"].alias("start"), c["end"].alias("end"), c["operative"].alias("operative"), c["marker"].alias("marker"), negation_spans(c["text"]).alias("neg")))
+    return _clauses(F.coalesce(norm, F.lit("")))
 
 
 def negated_at(neg: Column, at: Column) -> Column:

@@ -1,76 +1,48 @@
 """Reading intent from notes: signals, resolutions, enquiry type, problems, horizon, negatives and confidence.
 
-A note is split into clauses by Spark expressions. One Arrow function then says where the lexicon's patterns occur
-(its several hundred patterns are compiled once a worker; as column expressions they would be compiled again for
-every clause). All that follows from the places, such as negation, modality, the strongest signal of each dimension
-and the confidences, is expressions of the same row again: no explode and no shuffle, so it scales with the scan.
+One Arrow function cuts a note into clauses and says where the lexicon's patterns occur and whether they are negated there
+(``functions.scan``: one pass of an automaton over the note). All that follows from the places, such as modality,
+the strongest signal of each dimension and the confidences, is expressions of the same row: no explode
+and no shuffle, so it scales with the scan.
 """
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.results import let, table
-from ..functions.texts import modality, negated_at, normalise, snippet, split_clauses, word_count
+from ..functions.scan import Reading, pattern_set
+from ..functions.texts import CLAUSES, clause_reader, modality, normalise, snippet, word_count
 from .lexicon import LADDERS, Lexicon, load_lexicon
 
 # What a buyer's note is expected to say, and how it is called.
 EXPECTED = {"budget_status": "budget", "urgency": "timeline / urgency", "decision_authority": "decision authority", "buying_stage": "buying stage", "pain_severity": "pain severity"}
 SOLUTION = {"UNKNOWN": "UNKNOWN", "AWARENESS": "GENERAL_INTEREST", "EXPLORATION": "EXPLORATION", "EVALUATION": "EVALUATION", "DECISION": "EVALUATION", "PURCHASE": "IMPLEMENTATION"}
 SIGNAL = "struct<operative:boolean,strength:double,specificity:double,confidence:double,back:int,order:array<int>,dimension:string,value:string,polarity:string,rule_id:string,evidence:string,start:int,end:int,clause:int,negated:boolean>"
-_PLACES = pa.list_(pa.struct([("entry", pa.int32()), ("pattern", pa.int32()), ("nth", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("clause", pa.int32())]))
-_FIRSTS = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("number", pa.string())]))
-_FOUND = "struct<rules:array<struct<entry:int,pattern:int,nth:int,s:int,e:int,clause:int>>,notes:array<struct<k:int,s:int,e:int,number:string>>>"
-
-
-def literal_start(pattern: str) -> str:
-    """Letters and blanks that every match of a pattern begins with; empty where there is no telling."""
-    depth = 0
-    for sign in re.sub(r"\\.|\[[^]]*\]", "", pattern):
-        depth += (sign == "(") - (sign == ")")
-        if sign == "|" and depth == 0:
-            return ""
-    start = re.match(r"[a-z' ]*", pattern)[0]
-    return start[:-1] if pattern[len(start) : len(start) + 1] in ("?", "*", "{") else start
-
-
-@lru_cache(maxsize=8)
-def _compiled(patterns: tuple[str, ...]) -> tuple[tuple[str, re.Pattern], ...]:
-    """(literal start, pattern) of each. Notes are in lower case, so only a pattern with capitals needs to ignore it."""
-    capitals = lambda p: re.search("[A-Z]", re.sub(r"\\.", "", p)) is not None
-    return tuple((literal_start(p), re.compile(p, re.IGNORECASE if capitals(p) else 0)) for p in patterns)
+_FOUND = f"struct<clauses:{CLAUSES.simpleString()},rules:array<struct<pattern:int,nth:int,s:int,e:int,clause:int,negated:boolean>>,notes:array<struct<pattern:int,s:int,e:int,number:string,negated:boolean>>>"
 
 
-def _finder(of_clauses: list[tuple[int, int, str]], of_notes: list[tuple[str, int | None]]):
-    """An Arrow function of (note, starts of its clauses, their ends): all places of the clause patterns, and the first of every note pattern that occurs."""
-    clause_patterns, note_patterns = tuple(p for *_, p in of_clauses), tuple(p for p, _ in of_notes)
+def _reader(of_clauses: tuple[str, ...], of_notes: tuple[str, ...], groups: list[int | None]):
+    """An Arrow function of a normalised note: its clauses, all places of the clause patterns, and the first of every note pattern that occurs."""
 
     @F.arrow_udf(_FOUND)
-    def find(notes: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        rules = [(k, p, start, x.finditer) for (k, p, _), (start, x) in zip(of_clauses, _compiled(clause_patterns))]
-        singles = [(k, group, start, x.search) for k, ((_, group), (start, x)) in enumerate(zip(of_notes, _compiled(note_patterns)))]
-        places, firsts = [], []
-        for note, begin, end in zip(notes.to_pylist(), starts.to_pylist(), ends.to_pylist()):
-            clauses = enumerate(note[a:b] for a, b in zip(begin, end))
-            places.append([{"entry": k, "pattern": p, "nth": i, "s": m.start(), "e": m.end(), "clause": c} for c, text in clauses for k, p, start, each in rules if start in text for i, m in enumerate(each(text))])
-            hits = ((k, group, search(note)) for k, group, start, search in singles if start in note)
-            firsts.append([{"k": k, "s": m.start(), "e": m.end(), "number": m.group(group) if group is not None else None} for k, group, m in hits if m])
-        return pa.StructArray.from_arrays([pa.array(places, _PLACES), pa.array(firsts, _FIRSTS)], ["rules", "notes"])
+    def read(notes: pa.Array) -> pa.Array:
+        reading = Reading(clause_reader(), pattern_set(of_clauses), pattern_set(of_notes), groups)
+        for note in notes.to_pylist():
+            reading.add(note)
+        return pa.StructArray.from_arrays([reading.clause_array(), reading.place_array(), reading.first_array()], ["clauses", "rules", "notes"])
 
     # Marked so that the optimiser keeps it in a step of its own; inside the lambdas that read its answer Spark could not run it.
-    return find.asNondeterministic()
+    return read.asNondeterministic()
 
 
 class _Places:
     """Which note pattern stands at which place of the finder's answer."""
 
     def __init__(self, lexicon: Lexicon):
-        self.clauses = [(k, i, p) for k, r in enumerate(lexicon.rules) for i, p in enumerate(r["patterns"])]
+        self.clauses = [{"pattern": p, "entry": k, "nth": i} for k, r in enumerate(lexicon.rules) for i, p in enumerate(r["patterns"])]
         self.notes: list[tuple[str, int | None]] = []
         self.types = [self._add([p]) | {"type": t["type"], "confidence": t["confidence"]} for t in lexicon.intent_types for p in t["patterns"]]
         self.problems = [self._add(p["patterns"]) | {"label": p["label"], "category": p["category"]} for p in lexicon.problems]
@@ -85,15 +57,16 @@ class _Places:
 
 def _first(found: Column, row: Column) -> Column:
     """The place of the first of an entry's patterns that occurs, or null."""
-    return F.get(F.filter(found, lambda m: (m["k"] >= row["at"]) & (m["k"] < row["at"] + row["n"])), F.lit(0))
+    return F.get(F.filter(found, lambda m: (m["pattern"] >= row["at"]) & (m["pattern"] < row["at"] + row["n"])), F.lit(0))
 
 
-def signals(clauses: Column, places: Column, raw: Column, lexicon: Lexicon) -> Column:
-    """array of all signals of a note, in the order of clauses, rules, patterns and places."""
-    rules = table([{k: r[k] for k in ("id", "dimension", "value", "negated_value", "strength", "specificity")} for r in lexicon.rules], "id:string,dimension:string,value:string,negated_value:string,strength:double,specificity:double")
+def signals(clauses: Column, places: Column, raw: Column, lexicon: Lexicon, patterns: list[dict]) -> Column:
+    """array of all signals of a note, in the order of clauses, rules, patterns and places. ``patterns`` says which rule's each clause pattern is."""
+    entries = [{k: lexicon.rules[p["entry"]][k] for k in ("id", "dimension", "value", "negated_value", "strength", "specificity")} | {"entry": p["entry"], "nth": p["nth"]} for p in patterns]
+    rules = table(entries, "id:string,dimension:string,value:string,negated_value:string,strength:double,specificity:double,entry:int,nth:int")
 
     def signal(h: Column) -> Column:
-        return let(F.struct(F.get(clauses, h["clause"]).alias("c"), F.get(rules, h["entry"]).alias("r")), lambda x: let(negated_at(x["c"]["neg"], h["s"]), lambda neg: made(h, x["c"], x["r"], neg)))
+        return let(F.struct(F.get(clauses, h["clause"]).alias("c"), F.get(rules, h["pattern"]).alias("r")), lambda x: made(h, x["c"], x["r"], h["negated"]))
 
     def made(h: Column, c: Column, r: Column, neg: Column) -> Column:
         confidence = F.least(F.lit(1.0), r["specificity"] * modality(c["text"], h["s"])) * F.when(neg, 0.9).otherwise(1.0)
@@ -103,7 +76,7 @@ def signals(clauses: Column, places: Column, raw: Column, lexicon: Lexicon) -> C
             r["specificity"].alias("specificity"),
             confidence.alias("confidence"),
             (-(c["start"] + h["s"])).alias("back"),
-            F.array(-h["clause"], -h["entry"], -h["pattern"], -h["nth"]).alias("order"),
+            F.array(-h["clause"], -r["entry"], -r["nth"], -h["nth"]).alias("order"),
             r["dimension"].alias("dimension"),
             F.when(neg, r["negated_value"]).otherwise(r["value"]).alias("value"),
             F.when(neg, "NEGATIVE").otherwise("POSITIVE").alias("polarity"),
@@ -161,14 +134,12 @@ def resolve_all(all_signals: Column, least: float) -> Column:
     return F.transform(dimensions, resolve)
 
 
-def intent_type(found: Column, raw: Column, clauses: Column, rows: list[dict]) -> Column:
+def intent_type(found: Column, raw: Column, rows: list[dict]) -> Column:
     """struct<type, confidence, evidence>: the first pattern, by priority, whose first match is not negated."""
     entries = table(rows, "at:int,n:int,type:string,confidence:double")
-    inside = lambda m: F.get(F.filter(clauses, lambda c: (c["start"] <= m["s"]) & (m["s"] < c["end"])), F.lit(0))
 
     def tried(t: Column) -> Column:
-        fits = lambda m: m.isNotNull() & ~F.coalesce(let(inside(m), lambda c: negated_at(c["neg"], m["s"] - c["start"])), F.lit(False))
-        return let(_first(found, t), lambda m: F.when(fits(m), F.struct(t["type"].alias("type"), t["confidence"].alias("confidence"), snippet(raw, m["s"], m["e"]).alias("evidence"))))
+        return let(_first(found, t), lambda m: F.when(m.isNotNull() & ~m["negated"], F.struct(t["type"].alias("type"), t["confidence"].alias("confidence"), snippet(raw, m["s"], m["e"]).alias("evidence"))))
 
     unknown = F.struct(F.lit("UNKNOWN").alias("type"), F.lit(0.3).alias("confidence"), F.lit("").alias("evidence"))
     return F.coalesce(F.get(F.filter(F.transform(entries, tried), lambda x: x.isNotNull()), F.lit(0)), unknown)
@@ -216,14 +187,14 @@ def extract_intent(df: DataFrame, notes: str = "notes", title_level: str | None
 
     step = df.select(*kept, F.coalesce(F.col(notes).cast("string"), F.lit("")).alias("_raw"), level.alias("_level"))
     step = step.withColumn("_norm", normalise(F.col("_raw")))
-    step = step.withColumn("_clauses", split_clauses(F.col("_norm")))
-    step = step.withColumn("_found", _finder(at.clauses, at.notes)(F.col("_norm"), F.transform("_clauses", lambda c: c["start"]), F.transform("_clauses", lambda c: c["end"])))
-    step = step.withColumn("_signals", signals(F.col("_clauses"), F.col("_found")["rules"], raw, lex))
+    read = _reader(tuple(p["pattern"] for p in at.clauses), tuple(p for p, _ in at.notes), [group for _, group in at.notes])
+    step = step.withColumn("_found", read(F.col("_norm"))).withColumn("_clauses", F.col("_found")["clauses"])
+    step = step.withColumn("_signals", signals(F.col("_clauses"), F.col("_found")["rules"], raw, lex, at.clauses))
     found = F.col("_found")["notes"]
     step = step.select(
         *step.columns,
         resolve_all(F.col("_signals"), least).alias("_resolved"),
-        intent_type(found, raw, F.col("_clauses"), at.types).alias("_type"),
+        intent_type(found, raw, at.types).alias("_type"),
         problems(found, raw, at.problems).alias("_problems"),
         timeline(found, at.timelines).alias("_when"),
         negatives(found, raw, at.negatives).alias("_negatives"),

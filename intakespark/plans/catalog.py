@@ -255,6 +255,7 @@ ORACLES = {
     "T5_top_issues": sql("scored", 'SELECT seq AS "row", CAST(data_issues AS INT) AS data_issues FROM scored WHERE data_issues > 0 ORDER BY data_issues DESC, seq LIMIT 25'),
     "T6_by_display_score": sql("scored", _by_place("score")),
     "T7_by_raw_score": sql("scored", _by_place("raw_score")),
+    "X2_conversation_clauses": sql("turns", "SELECT conv_id, turn, clauses, words, operative FROM turns"),
     "W1_duplicates": sql("dups", "SELECT seq, is_duplicate FROM dups"),
     "W3_order_shares": "SELECT o_orderstatus, o_orderpriority, n, round(n / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS share FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)",
 }

@@ -184,6 +184,12 @@ no10 AS (SELECT *, {places("ng", "nf")} AS cues, {places("bg", "bf")} AS blocked
 clauses AS (SELECT note, row_number() OVER (PARTITION BY note ORDER BY sn, k) AS ci, op, c_at, text, list_transform(list_filter(cues, lambda m: len(list_filter(blocked, lambda b: b.s <= m.s AND m.s < b.e)) = 0),
   lambda m: {{'s': m.e, 'e': m.e + least({texts.SCOPE}, CASE WHEN regexp_matches(substr(text, CAST(m.e + 1 AS BIGINT)), {q(texts.SCOPE_STOP)}) THEN length(regexp_extract(substr(text, CAST(m.e + 1 AS BIGINT)), {_stop}, 1)) ELSE length(text) - m.e END)}}) AS neg FROM no10)"""
 
+# Turns of conversations, cut like notes. They hold letters beyond ASCII, which this dialect's word borders do not know.
+_WORD_ENDS = r"(?:[^\pL\pN_]|$)"
+S["turns"] = "c AS (SELECT coalesce(text, '') AS notes FROM conversations), " + S["clauses"].replace(_SUB, _SUB.replace(r"\b", _WORD_ENDS)) + """,
+turns AS (SELECT conv_id, turn, coalesce(n, 0) AS clauses, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS words, coalesce(m, 0) AS operative
+  FROM conversations t LEFT JOIN (SELECT note, count(*) AS n, count(*) FILTER (op) AS m FROM clauses GROUP BY note) x ON x.note = coalesce(t.text, ''))"""
+
 # Notes: rules and what they say.
 S["signals"] = rf"""{rows("pat", "r, p, pattern, dim, val, negated, strength, spec", [(k, i, _plain(p), r["dimension"], r["value"], r["negated_value"], r["strength"], r["specificity"]) for k, r in enumerate(_LEX.rules) for i, p in enumerate(r["patterns"])])},
 si0 AS (SELECT c.*, p.*, regexp_split_to_array(text, pattern) AS gaps, regexp_extract_all(text, pattern) AS found FROM clauses c JOIN pat p ON regexp_matches(c.text, p.pattern)),

@@ -19,8 +19,9 @@ from ..operators import cleaning, reports
 from ..operators.intent import extract_intent, profile_json
 from ..operators.lexicon import LADDERS
 from ..operators.scoring import GROUPS
-from ..sources.contacts import drop_test_rows, load_report, with_row_index
+from ..sources.contacts import drop_test_rows, load_report, read_contacts, with_row_index
 from ..sources.settings import FIELDS
+from ..sources.shared import shared_path
 from ..sources.synthetic import contacts
 from .contacts import flat_frame, process
 from .oracles import AS_OF, q, sql
@@ -140,6 +141,19 @@ def _json(spark, d):
     )
 
 
+#: What is added to every third note, so that cells of the written files hold line feeds, quotes and commas.
+_SAID = '\n"said", and\n\nmore'
+
+
+def _csv_scan(spark, d):
+    """The contact table written as CSV files and read back: quoted line feeds, rows numbered over all files."""
+    path = shared_path(spark, "contacts")
+    rows = contacts(spark, d).withColumn("notes", F.when(F.col("seq") % 3 == 0, F.concat("notes", F.lit(_SAID))).otherwise(F.col("notes")))
+    dealt = rows.repartitionByRange(4, "seq").sortWithinPartitions("seq").drop("seq")
+    dealt.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_contacts(spark, path).drop("raw")
+
+
 def _codes(r: str):
     return F.array_join(all_codes(F.col(r)), ",")
 
@@ -179,6 +193,7 @@ QUERIES = {
     "P11_P14_fit": _fit,
     "P15_result_codes": lambda s, d: _scored(s, d).select("seq", *(_codes(r).alias(r.replace("_result", "_codes")) for r in cleaning.FIELD_RESULTS)),
     "P16_data_issues": lambda s, d: _scored(s, d).select("seq", F.array_join(cleaning.data_issues(), "; ").alias("issues")),
+    "S1_S6_csv_scan": _csv_scan,
     "S5_kept_rows": lambda s, d: drop_test_rows(contacts(s, d)).select("seq", "lead_id", "source"),
     "S6_row_index": lambda s, d: with_row_index(drop_test_rows(contacts(s, d))).select("seq", "row_index"),
     "S10_profile_json": _json,
@@ -243,6 +258,7 @@ ORACLES = {
     "P11_P14_fit": sql("fit", "SELECT seq, head_count, band, level, non_buyer, icp, quality FROM fit"),
     "P15_result_codes": sql("scored", "SELECT seq, array_to_string(list_concat([id_code], id_warnings), ',') AS id_codes, array_to_string(list_concat([date_code], date_warnings), ',') AS created_codes, array_to_string(list_concat([email_code], email_warnings), ',') AS email_codes, array_to_string(list_concat([site_code], site_warnings), ',') AS website_codes, array_to_string(list_concat([amount_code], amount_warnings), ',') AS budget_codes FROM scored"),
     "P16_data_issues": sql("scored", "SELECT seq, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {text} END" for cond, text in _ISSUES) + "], lambda x: x IS NOT NULL), '; ') AS issues FROM scored"),
+    "S1_S6_csv_scan": sql("c", "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, * EXCLUDE (seq, notes), notes || CASE WHEN seq % 3 = 0 THEN " + q(_SAID) + " ELSE '' END AS notes FROM c"),
     "S5_kept_rows": sql("kept", "SELECT seq, lead_id, source FROM kept"),
     "S6_row_index": sql("kept", "SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS row_index FROM kept"),
     "S10_profile_json": sql("scored", "SELECT seq, company, intent_type, decision_authority AS authority, confidence, coalesce(round_even(conf_urgency, 3), 0) AS urgency_confidence, codes[1] AS first_negative, email_code FROM scored"),

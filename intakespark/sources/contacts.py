@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.contacts import LeadIdConfig, parse_lead_id
 from ..functions.dates import infer_order_policy
-from .settings import DROP, FIELDS
+from .records import read_header, read_records
+from .settings import DROP, FIELDS, Settings
+
 
 def is_path_like(source: str) -> bool:
     """Whether a string can be a path: short and of one line."""
@@ -40,19 +42,28 @@ def bind_columns(df: DataFrame, headers: list[str], fields: dict = FIELDS) -> Da
     cols = [c for c in df.columns if c != "seq"]
     own = [F.coalesce(F.col(f"`{cols[found[f]]}`"), F.lit("")).alias(f) if f in found else F.lit("").alias(f) for f in fields]
     last = {h: k for k, h in enumerate(headers)}
-    raw = F.create_map(*(x for h, k in last.items() for x in (F.lit(h), F.col(f"`{cols[k]}`")))) if last else F.create_map().cast("map<string,string>")
+    raw = F.create_map(*(x for h, k in last.items() for x in (F.lit(h), F.coalesce(F.col(f"`{cols[k]}`"), F.lit(""))))) if last else F.create_map().cast("map<string,string>")
     keep = [F.col("seq")] if "seq" in df.columns else []
     return df.select(*keep, *own, raw.alias("raw"))
 
 
-def read_contacts(spark: SparkSession, path: str, fields: dict = FIELDS, multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:
+def read_contacts(spark: SparkSession, path: str, fields: dict = FIELDS, multi_line: bool = True, encoding: str = "UTF-8", settings: Settings | None = None) -> DataFrame:
     """Contacts of CSV files: seq, the canonical fields as strings, and raw.
 
-    Only the header is looked at on the driver, by the CSV reader itself. Short rows give nulls. ``multi_line`` reads
-    quoted line feeds, at the price of one task a file; without it a file of any size is split. ``seq`` is the file order
-    of one file; over several files it follows the order in which Spark takes them.
+    ``seq`` counts the rows from 0 by file name and place, however files are split and packed. Cells may hold line feeds
+    (``read_records``); with ``multi_line`` false they may not, Spark's own CSV reader takes the files line by line, and ``seq``
+    only follows the order in which Spark takes them. Of equal headers the last one counts, cells that a short row lacks
+    are empty, cells beyond the header are left out, and undecodable bytes become the replacement sign. Files need the
+    columns of the first one. ``settings`` give fields and encoding in place of the arguments.
     """
-    options = {"escape": '"', "multiLine": multi_line, "encoding": encoding}
+    if settings is not None:
+        fields, encoding = settings.fields, settings.encoding
+    if multi_line:
+        headers = read_header(spark, path, encoding)
+        records = read_records(spark, path, encoding)
+        rows = records.select("seq", *(F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(len(headers))))
+        return bind_columns(rows, headers, fields)
+    options = {"escape": '"', "encoding": encoding}
     top = spark.read.csv(path, header=False, inferSchema=False, **options).limit(1).first()
     headers = [(h or "").lstrip("\ufeff") for h in top] if top else []
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(headers))])
@@ -70,9 +81,13 @@ def contacts_from_text(spark: SparkSession, text: str, fields: dict = FIELDS) ->
     return bind_columns(df, headers, fields)
 
 
-def load_contacts(spark: SparkSession, source: str, fields: dict = FIELDS) -> DataFrame:
-    """Contacts of a path or of CSV text."""
-    return read_contacts(spark, source, fields) if is_path_like(source) else contacts_from_text(spark, source, fields)
+def load_contacts(spark: SparkSession, source: str | bytes, fields: dict = FIELDS, settings: Settings | None = None) -> DataFrame:
+    """Contacts of a path, or of CSV held in memory as text or UTF-8 bytes. ``settings`` give fields and encoding."""
+    if settings is not None:
+        fields = settings.fields
+    if isinstance(source, bytes):
+        return contacts_from_text(spark, source.decode("utf-8", "replace"), fields)
+    return read_contacts(spark, source, fields, settings=settings) if is_path_like(source) else contacts_from_text(spark, source, fields)
 
 
 def is_test_row(drop: dict = DROP):

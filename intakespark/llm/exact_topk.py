@@ -92,8 +92,9 @@ def search(q: np.ndarray, skip: np.ndarray, start: np.ndarray, ids: np.ndarray,
 
     def bound(node: int, who: np.ndarray) -> np.ndarray:
         centre, radius = nodes[node][:2]
-        high = wide[who] @ centre + length[who] * radius
-        return high + np.abs(high) * 1e-9 + 1e-6
+        # The sum may cancel, so its error is that of its terms: of centre, radius and product, each a few roundings a dimension.
+        slack = (len(centre) + 16) * 2.0**-49 * (float(np.sqrt(centre @ centre)) + radius)
+        return wide[who] @ centre + length[who] * (radius + slack) + 1e-6
 
     heap = [(0.0, 0, 0, np.arange(len(q)), bound(0, np.arange(len(q))))]
     made = 1

@@ -56,3 +56,30 @@ def test_what_does_not_fit_raises(spark):
         df = spark.createDataFrame([(0, [big, 1.0]), (20, [big, 2.0])], "vec_id long, embedding array<double>")
         with pytest.raises(Exception, match="do(es)? not fit 64 bits"):
             exact_topk.exact_top_k(df).collect()
+
+
+@pytest.mark.parametrize("size, dim", [(1e8, 16), (1e6, 64), (1e3, 5)])
+def test_bound_holds_where_products_cancel(size, dim):
+    """One-row shards of large vectors with small products, and a start that equals the row's own score: the row must still be found."""
+    rng = np.random.default_rng(int(size))
+    kept = 0
+    for _ in range(3_000):
+        q = np.rint(size * rng.normal(size=dim)).astype(np.int64)
+        v = np.rint(size * rng.normal(size=dim)).astype(np.int64)
+        k = int(np.argmax(np.abs(q)))
+        v[k] = 0
+        v[k] = -(int(q @ v) // int(q[k]))
+        score = int(q.astype(object) @ v.astype(object))
+        _, nodes = exact_topk.build_tree(v[None])
+        best, name = exact_topk.search(q[None], np.array([-1]), np.array([score]), np.array([7]), v[None], nodes, 1)
+        kept += (int(best[0, 0]), int(name[0, 0])) == (score, 7)
+    assert kept == 3_000
+
+
+@pytest.mark.parametrize("size", [1e8, 1e5])
+def test_large_components_equal_brute_force(spark, size):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=(4, 8))
+    rows = [(k, [float(x) for x in np.rint(size * (hot[k % 4] + 1e-6 * rng.normal(size=8))) / 64]) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, exact_topk.exact_top_k(df, k=5, every=20).collect())) == brute(rows, 5, 20)

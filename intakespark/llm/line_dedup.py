@@ -97,10 +97,10 @@ def remove_repeated_chunks(docs: DataFrame, modulus: int = MODULUS, least_lines:
 
 
 def _line_keys(text: Column) -> Column:
-    """The key of line i at place 2i and that of lines i and i + 1 together at place 2i + 1 (null after the last): 128 bits of SHA-256."""
+    """The key of line i at place 2i (null where it has no word: no rule is about such a line alone) and that of lines i and i + 1 together at place 2i + 1 (null after the last): 128 bits of SHA-256."""
     key = lambda t: F.unhex(F.substring(F.sha2(t.cast("binary"), 256), 1, 32))
     both = lambda lines, x, i: F.when(i < F.size(lines) - 1, key(F.concat_ws("\n", x, F.get(lines, i + 1))))
-    return _bind(F.split(text, "\n", -1), lambda lines: F.flatten(F.transform(lines, lambda x, i: F.array(key(x), both(lines, x, i)))))
+    return _bind(F.split(text, "\n", -1), lambda lines: F.flatten(F.transform(lines, lambda x, i: F.array(F.when(x.rlike(_WORD), key(x)), both(lines, x, i)))))
 
 
 def _lines_gone(lines: Column, pairs: Column, singles: Column, elsewhere: Column, least_chars: int, long_words: int) -> Column:

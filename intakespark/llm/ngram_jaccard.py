@@ -217,7 +217,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     texts = docs.select("doc_id", "text")
     first = pairs.join(texts.withColumnsRenamed({"doc_id": "u", "text": "a"}), "u")
     both = first.join(texts.withColumnsRenamed({"doc_id": "v", "text": "b"}), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u long, v long").distinct()
+    return both.mapInArrow(run, "u long, v long")
 
 
 @dataclass
@@ -246,9 +246,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     reps = scratch.keep(known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), *firsts))
 
     # Rows of one doc_id with different sets hang together.
-    placed = known.join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep").distinct()
-    lowest = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(F.col("low") < F.col("high"))
-    twins = placed.join(lowest, "doc_id").where(F.col("rep") != F.col("low")).select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct()
+    print_ = F.struct("fp1", "fp2")
+    several = scratch.keep(known.groupBy("doc_id").agg(F.min(print_).alias("a"), F.max(print_).alias("b")).where(F.col("a") < F.col("b")).select("doc_id"))
+    twins = None
+    if not several.isEmpty():
+        placed = known.join(several, "doc_id").join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep").distinct()
+        lowest = placed.groupBy("doc_id").agg(F.min("rep").alias("low"))
+        twins = placed.join(lowest, "doc_id").where(F.col("rep") != F.col("low")).select(F.col("rep").alias("u"), F.col("low").alias("v"))
 
     counted = reps.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.sum("scan").alias("s")).collect()
     light = choose_boundary({r.n: (r.k, r.s) for r in counted}, percent)
@@ -263,13 +267,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     stars = listed.groupBy("key", "band").agg(F.min(F.struct("rep", "n")).alias("hub"))
     near = listed.join(stars, ["key", "band"]).where(F.col("rep") != F.col("hub.rep"))
     near = near.where(_may_link(F.col("n"), F.col("hub.n"), percent)).select(F.col("rep").alias("u"), F.col("hub.rep").alias("v")).distinct()
-    tested = scratch.keep(verify(near, docs, words, percent).unionByName(easy).unionByName(twins))
+    tested = verify(near, docs, words, percent).unionByName(easy)
+    tested = scratch.keep(tested if twins is None else tested.unionByName(twins))
     first = scratch.keep(connected_components(tested, scratch))
 
     # What is left: lists that still hold several components.
     labelled = listed.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = scratch.keep(labelled.drop("band"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key")
+    ends = F.min("component").alias("low"), F.max("component").alias("high")
+    open_keys = scratch.keep(labelled.groupBy("key").agg(*ends).where(F.col("low") < F.col("high")).select("key"))
+    scratch.drop(listed, several)
+    placed = reps.select("fp1", "fp2", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    if open_keys.isEmpty():
+        return Join(_named(sets, placed.select("fp1", "fp2", F.col("part").alias("component"))), tested.distinct(), light)
     rest = labelled.join(open_keys, "key")
     a, b = rest.alias("a"), rest.alias("b")
     i, j, n, m = F.col("a.at"), F.col("b.at"), F.col("a.n"), F.col("b.n")
@@ -287,9 +297,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # Only whole components are still to be joined, so the second pass is over their names.
     merged = connected_components(bridged.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), scratch)
 
-    placed = reps.select("fp1", "fp2", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    scratch.drop(labelled, open_keys)
     placed = placed.join(merged.select(F.col("node").alias("part"), F.col("component").alias("whole")), "part", "left")
-    named = sets.select("doc_id", "n", "fp1", "fp2").join(placed.select("fp1", "fp2", F.coalesce("whole", "part").alias("component")), ["fp1", "fp2"], "left")
+    return Join(_named(sets, placed.select("fp1", "fp2", F.coalesce("whole", "part").alias("component"))), tested.unionByName(late).distinct(), light)
+
+
+def _named(sets: DataFrame, components: DataFrame) -> DataFrame:
+    named = sets.select("doc_id", "n", "fp1", "fp2").join(components, ["fp1", "fp2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    documents = named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
-    return Join(documents, tested.unionByName(late), light)
+    return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -58,6 +58,42 @@ def route_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("route").agg(F.count(F.lit(1)).alias("leads"))
 
 
+#: Reports that ``all_reports`` counts, with the columns each is grouped by.
+REPORTS = {"bands": ("band", "band_label"), "stages": ("buying_stage", "budget_status"), "types": ("intent_type",), "sources": ("source", "band"), "problems": ("problem",), "scores": ("bin",), "routes": ("route",), "all": ()}
+
+
+def all_reports(df: DataFrame, step: int = 5) -> DataFrame:
+    """All counts of the pipeline page from one pass and one shuffle: report, key, subkey, leads, active and pipeline_value.
+
+    The grouping sets of ``REPORTS`` share a scan of the records and one partial aggregation, so only a few rows a task
+    are shuffled, whatever the number of records. A record that names several problems counts once in every other report. ``active`` are
+    records of the upper bands; pipeline_value is given for all records together. An empty frame gives no rows.
+    """
+    named = F.filter(F.split("problems", ", "), lambda x: x != "")
+    columns = list(dict.fromkeys(c for own in REPORTS.values() for c in own))
+    bins = (F.floor(F.col("score") / step) * step).cast("int").alias("bin")
+    rows = df.select(*(c for c in columns if c not in ("problem", "bin")), bins, "budget_monthly", F.posexplode_outer(named).alias("nth", "problem"))
+    first = F.coalesce(F.col("nth") == 0, F.lit(True))
+    active = first & F.col("band").isin(*ACTIVE)
+    sets = rows.withColumns({"is_first": first, "is_active": active}).groupingSets([[F.col(c) for c in own] for own in REPORTS.values()], *map(F.col, columns))
+    counted = sets.agg(
+        F.grouping_id(*columns).alias("without"),
+        F.count_if("is_first").alias("records"),
+        F.count("problem").alias("mentions"),
+        F.count_if("is_active").alias("actives"),
+        F.bround(F.coalesce(F.sum(F.when(F.col("is_active"), F.col("budget_monthly"))), F.lit(0.0)), 2).alias("value"),
+    )
+    # One bit a column, the first the highest, set where the column is left out.
+    fits = {name: F.col("without") == sum(1 << len(columns) - 1 - k for k, c in enumerate(columns) if c not in own) for name, own in REPORTS.items()}
+    pick = lambda place: F.coalesce(*(F.when(fits[n], F.col(own[place]).cast("string")) for n, own in REPORTS.items() if len(own) > place))
+    report = F.coalesce(*(F.when(cond, n) for n, cond in fits.items()))
+    is_problem = fits["problems"]
+    shown = counted.where(~is_problem | F.col("problem").isNotNull())
+    return shown.select(
+        report.alias("report"), pick(0).alias("key"), pick(1).alias("subkey"), F.when(is_problem, F.col("mentions")).otherwise(F.col("records")).alias("leads"), F.when(~is_problem, F.col("actives")).alias("active"), F.when(report == "all", F.col("value")).alias("pipeline_value")
+    )
+
+
 def _unpivot(df: DataFrame) -> DataFrame:
     kinds = [F.struct(F.lit(RAW[c]).alias("field"), F.col(c)["ok"].alias("ok"), F.col(c)["raw"].alias("raw"), all_codes(F.col(c)).alias("codes")) for c in FIELD_RESULTS]
     return df.select("seq", F.explode(F.array(*kinds)).alias("x")).select("seq", "x.*")

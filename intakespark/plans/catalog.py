@@ -160,6 +160,7 @@ def _codes(r: str):
 
 QUERIES = {
     "A1_leads_per_band": lambda s, d: reports.leads_per_band(_scored(s, d)),
+    "A1_A9_all_reports": lambda s, d: reports.all_reports(_flat(s, d)),
     "A2_stage_by_budget": lambda s, d: reports.stage_by_budget(_flat(s, d)),
     "A3_top_enquiry_types": lambda s, d: reports.top_values(_flat(s, d), "intent_type"),
     "A4_source_by_band": lambda s, d: reports.source_by_band(_flat(s, d)),
@@ -223,7 +224,15 @@ _ISSUES = [
 _PROFILE = ", ".join(["intent_type", *LADDERS, "timeline_days", "timeline", "array_to_string(codes, ',') AS negatives", "confidence", f"CASE WHEN empty THEN {q(0.0)} ELSE tconf END AS type_confidence", "commitment", "n_conflicts AS contradictions", "CAST(n_missing AS BIGINT) AS missing", "CAST(n_words AS BIGINT) AS words", *(f"round_even(conf_{d}, 6) AS confidence_{d}" for d in LADDERS)])
 _GROUP_PLACE = "list_position([" + ", ".join(q(g) for g in GROUPS) + "], x.g)"
 
+_count = lambda report, key, subkey: f"SELECT '{report}' AS report, CAST({key} AS VARCHAR) AS \"key\", CAST({subkey} AS VARCHAR) AS subkey, count(*) AS leads, count(*) FILTER (band IN ('CONTACT_NOW', 'CONSIDER')) AS active, NULL AS pipeline_value FROM scored GROUP BY 2, 3"
+_ALL_REPORTS = " UNION ALL ".join([
+    *(_count(*x) for x in (("bands", "band", "band_label"), ("stages", "buying_stage", "budget_status"), ("types", "intent_type", "NULL"), ("sources", "source", "band"), ("scores", "CAST(floor(score / 5) * 5 AS INT)", "NULL"), ("routes", "route", "NULL"))),
+    "SELECT 'problems', label, NULL, count(*), NULL, NULL FROM scored s JOIN no1 n ON n.note = s.notes JOIN pr ON regexp_matches(n.norm, pr.pattern) GROUP BY 2",
+    "SELECT 'all', NULL, NULL, count(*), count(*) FILTER (band IN ('CONTACT_NOW', 'CONSIDER')), round_even(coalesce(sum(budget_monthly) FILTER (band IN ('CONTACT_NOW', 'CONSIDER')), 0), 2) FROM scored",
+])
+
 ORACLES = {
+    "A1_A9_all_reports": sql("scored", _ALL_REPORTS),
     "A1_leads_per_band": sql("scored", "SELECT band, band_label, count(*) AS leads FROM scored GROUP BY ALL"),
     "A2_stage_by_budget": sql("scored", "SELECT buying_stage, budget_status, count(*) AS leads FROM scored GROUP BY ALL"),
     "A3_top_enquiry_types": sql("scored", "SELECT intent_type AS value, count(*) AS leads FROM scored GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"),

@@ -13,6 +13,7 @@ from .results import first_of, let, outcome, strip, warned
 JUNK = ("asdf", "test", "lead_id", "created", "date", "n/a", "na", "tbd", "-", "none", "null")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+SEPARATORS = ("-", "/", ".")
 NUMERIC = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{2}|\d{4})$"
 #: (kind, pattern, group of year, month, day)
 NOTATIONS = (
@@ -39,12 +40,18 @@ class DateConfig:
     reject_future: bool = False
 
 
+def numeric_order(text: Column) -> tuple[Column, Column, Column]:
+    """(separator, whether it proves the day first, the month first) of a date in numbers; the separator of other texts is empty."""
+    s = strip(F.coalesce(text.cast("string"), F.lit("")))
+    separator, a, b = F.regexp_extract(s, NUMERIC, 2), F.regexp_extract(s, NUMERIC, 1).try_cast("int"), F.regexp_extract(s, NUMERIC, 3).try_cast("int")
+    return separator, F.coalesce((a > 12) & (b <= 12), F.lit(False)), F.coalesce((b > 12) & (a <= 12), F.lit(False))
+
+
 def order_evidence(df: DataFrame, column: str) -> DataFrame:
     """(separator, day_first, month_first): how many values prove each order."""
-    s = strip(F.coalesce(F.col(column).cast("string"), F.lit("")))
-    parts = df.select(*(F.regexp_extract(s, NUMERIC, g).alias(n) for g, n in ((2, "separator"), (1, "a"), (3, "b")))).where(F.col("separator") != "")
-    a, b = F.col("a").cast("int"), F.col("b").cast("int")
-    return parts.groupBy("separator").agg(F.count_if((a > 12) & (b <= 12)).alias("day_first"), F.count_if((b > 12) & (a <= 12)).alias("month_first"))
+    separator, day, month = numeric_order(F.col(column))
+    parts = df.select(separator.alias("separator"), day.alias("day"), month.alias("month")).where(F.col("separator") != "")
+    return parts.groupBy("separator").agg(F.count_if("day").alias("day_first"), F.count_if("month").alias("month_first"))
 
 
 def infer_order_policy(df: DataFrame, column: str) -> DataFrame:

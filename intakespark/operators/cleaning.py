@@ -12,6 +12,7 @@ from ..functions.fit import employees_of, in_profile, is_non_buyer, size_band, s
 from ..functions.results import has
 from ..sources.contacts import drop_test_rows
 from ..sources.settings import Settings
+from .places import with_place
 
 FIELD_RESULTS = ("id_result", "created_result", "email_result", "website_result", "budget_result")
 
@@ -87,16 +88,22 @@ def data_issues() -> Column:
     return F.array_compact(F.array(*out))
 
 
-def sort_columns(result: str = "id_result", raw: str = "lead_id", order: str = "seq", reverse: bool = False, invalid_last: bool = True) -> list[Column]:
+def sort_keys(result: str = "id_result", raw: str = "lead_id", order: str = "seq", invalid_last: bool = True) -> list[Column]:
     """Sort key of identifiers: valid ones by number, suffix and prefix, the others by their text; ties in file order."""
     r = F.col(result)
-    keys = [
+    return [
         F.when(r["ok"], 0).otherwise(1 if invalid_last else -1),
         F.when(r["ok"], r["value"]["number"]).otherwise(0),
         F.when(r["ok"], r["value"]["suffix"]).otherwise(F.coalesce(F.col(raw), F.lit(""))),
         F.when(r["ok"], r["value"]["prefix"]).otherwise(""),
+        F.col(order),
     ]
-    return [*(k.desc() if reverse else k.asc() for k in keys), F.col(order).asc()]
+
+
+def sort_columns(result: str = "id_result", raw: str = "lead_id", order: str = "seq", reverse: bool = False, invalid_last: bool = True) -> list[Column]:
+    """The sort key as an order; reversed, ties stay in file order."""
+    *keys, last = sort_keys(result, raw, order, invalid_last)
+    return [*(k.desc() if reverse else k.asc() for k in keys), last.asc()]
 
 
 def sort_contacts(df: DataFrame, reverse: bool = False, invalid_last: bool = True, lead_id: LeadIdConfig | None = None) -> DataFrame:
@@ -108,24 +115,7 @@ def sort_contacts(df: DataFrame, reverse: bool = False, invalid_last: bool = Tru
     return df.orderBy(*sort_columns(reverse=reverse, invalid_last=invalid_last))
 
 
-def with_place(df: DataFrame, order: list[Column], coarse: list[Column], name: str = "place") -> DataFrame:
-    """Add the 1-based place of every row in an order, without one task that sees all rows.
-
-    ``coarse`` are ascending keys that never contradict ``order``: rows are ranked within a coarse group and shifted by
-    the sizes of the groups before it. Only the group sizes, one row each, meet in one task, so choose keys with far
-    fewer values than rows and no very large group.
-    """
-    keyed = df.withColumn("_coarse", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(coarse))))
-    sizes = keyed.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_coarse", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_coarse").orderBy(*order)))
-    return ranked.join(shift, "_coarse").withColumn(name, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_coarse", "_rank", "_shift")
-
-
-def place_contacts(df: DataFrame, lead_id: LeadIdConfig | None = None, run: int = 4096) -> DataFrame:
+def place_contacts(df: DataFrame, lead_id: LeadIdConfig | None = None, parts: int | None = None) -> DataFrame:
     """Add ``place``, the 1-based place of every contact by its identifier: valid ones by number, the others last by their text."""
     df = df.withColumn("id_result", parse_lead_id(F.col("lead_id"), lead_id))
-    r = F.col("id_result")
-    coarse = [F.when(r["ok"], 0).otherwise(1), F.when(r["ok"], F.floor(r["value"]["number"] / run)), F.when(~r["ok"], F.substring("lead_id", 1, 8))]
-    return with_place(df, sort_columns(), coarse)
+    return with_place(df, sort_keys(), parts=parts)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.results import all_codes
-from .cleaning import FIELD_RESULTS, with_place
+from .cleaning import FIELD_RESULTS
+from .places import with_place
 
 BANDS = ("CONTACT_NOW", "CONSIDER", "NURTURE", "DISQUALIFY")
 ACTIVE = ("CONTACT_NOW", "CONSIDER")
@@ -143,9 +144,9 @@ def by_raw(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("raw_score"), "row")
 
 
-def placed_by(df: DataFrame, score: str, run: int = 65_536) -> DataFrame:
-    """Add ``place`` in the falling order of a score, ties in file order."""
-    return with_place(df, [F.desc(score), F.col("row")], [-F.col(score), F.floor(F.col("row") / run)])
+def placed_by(df: DataFrame, score: str, parts: int | None = None) -> DataFrame:
+    """Add ``place`` in the falling order of a score, ties in file order, records without a score last."""
+    return with_place(df, [F.col(score).isNull(), -F.col(score), F.col("row")], parts=parts)
 
 
 def top_by_issues(df: DataFrame, n: int = 25) -> DataFrame:

@@ -6,12 +6,12 @@ import csv
 import io
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.contacts import LeadIdConfig, parse_lead_id
-from ..functions.dates import infer_order_policy
+from ..functions.dates import SEPARATORS, numeric_order
 from .records import read_header, read_records
 from .settings import DROP, FIELDS, Settings
 
@@ -102,34 +102,49 @@ def drop_test_rows(df: DataFrame, drop: dict = DROP) -> DataFrame:
     return df.where(~is_test_row(drop))
 
 
+_REPORT = "rows_in_file long, rows_loaded long, rows_dropped long, dropped_examples string, headers string, column_map string, unmapped_fields string, date_order_policy string, duplicate_ids long"
+
+
+def _counted(df: DataFrame, drop: dict, lead_id: LeadIdConfig | None, seen: Observation) -> DataFrame:
+    """The first five dropped rows of a load; while they are sought, ``seen`` takes down all counts.
+
+    Rows meet by identifier number after partial counts, and each dropped row stands for itself. The counts are taken
+    behind that only shuffle, in the tasks that give the result: these count once even if an executor is lost.
+    """
+    bad = is_test_row(drop)
+    separator, day_first, month_first = numeric_order(F.col("created"))
+    parsed = df.select("seq", "lead_id", bad.alias("bad"), separator.alias("separator"), day_first.alias("day"), month_first.alias("month"), parse_lead_id(F.col("lead_id"), lead_id).alias("r"))
+    number = F.when(~F.col("bad") & F.col("r")["ok"], F.col("r")["value"]["number"])
+    proofs = {f"{order}_{k}": F.count_if(~F.col("bad") & F.col(order) & (F.col("separator") == s)) for k, s in enumerate(SEPARATORS) for order in ("day", "month")}
+    met = parsed.groupBy(number.alias("number"), F.when(F.col("bad"), F.col("seq")).alias("dropped")).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("bad"), F.coalesce("lead_id", F.lit("")))).alias("lead_id"), *(c.alias(n) for n, c in proofs.items()))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counted = met.observe(
+        seen,
+        total("n").alias("rows"),
+        total(F.when(F.col("dropped").isNotNull(), F.col("n"))).alias("dropped"),
+        total(F.when(F.col("number").isNotNull(), F.col("n") - 1)).alias("twice"),
+        *(total(n).alias(n) for n in proofs),
+    )
+    return counted.orderBy(F.asc_nulls_last("dropped")).limit(5).select("dropped", "lead_id")
+
+
 def load_report(df: DataFrame, drop: dict = DROP, headers: list[str] | None = None, fields: dict = FIELDS, lead_id: LeadIdConfig | None = None) -> DataFrame:
     """One row about a load: rows_in_file, rows_loaded, rows_dropped, the first five dropped identifiers, headers, column_map (field=header), unmapped_fields, date_order_policy (separator=order) and duplicate_ids.
 
-    ``headers`` are those of the file; where they are not given, the canonical columns of ``df`` stand for them.
+    ``headers`` are those of the file; where they are not given, the canonical columns of ``df`` stand for them. The
+    table is read once, when this is called: the counts are observed metrics of the search for the dropped rows. An
+    empty table gives zeros and empty texts.
     """
     names = headers if headers is not None else [f for f in fields if f in df.columns]
     found = resolve_columns(names, fields)
-    bad = is_test_row(drop)
-    lead = df.select(bad.alias("bad"), "seq", "lead_id")
-    examples = lead.where("bad").orderBy("seq").limit(5).agg(F.array_sort(F.collect_list(F.struct("seq", "lead_id"))).alias("x"))
-    counts = lead.agg(F.count(F.lit(1)).alias("rows_in_file"), F.count_if(~F.col("bad")).alias("rows_loaded"), F.count_if("bad").alias("rows_dropped"))
-    order = infer_order_policy(drop_test_rows(df, drop).select("created"), "created").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "separator", "order"))), ",").alias("date_order_policy"))
-    ids = drop_test_rows(df, drop).select(parse_lead_id(F.col("lead_id"), lead_id).alias("r")).where(F.col("r")["ok"])
-    twice = ids.groupBy(F.col("r")["value"]["number"].alias("number")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_ids"))
-    # Four single rows.
-    one = counts.join(F.broadcast(examples), F.lit(True)).join(F.broadcast(order), F.lit(True)).join(F.broadcast(twice), F.lit(True))
-    text = lambda values: F.lit(",".join(values))
-    return one.select(
-        "rows_in_file",
-        "rows_loaded",
-        "rows_dropped",
-        F.array_join(F.transform("x", lambda r: F.coalesce(r["lead_id"], F.lit(""))), ",").alias("dropped_examples"),
-        text(names).alias("headers"),
-        text(f"{f}={names[k]}" for f, k in found.items()).alias("column_map"),
-        text(f for f in fields if f not in found).alias("unmapped_fields"),
-        "date_order_policy",
-        "duplicate_ids",
-    )
+    seen = Observation()
+    first = [r["lead_id"] for r in _counted(df, drop, lead_id, seen).collect() if r["dropped"] is not None]
+    n = seen.get
+    proved = {s: (n[f"day_{k}"], n[f"month_{k}"]) for k, s in enumerate(SEPARATORS)}
+    policy = sorted(f"{s}={'day_first' if d > m else 'month_first'}" for s, (d, m) in proved.items() if d != m)
+    columns = ",".join(f"{f}={names[k]}" for f, k in found.items())
+    row = (n["rows"], n["rows"] - n["dropped"], n["dropped"], ",".join(first), ",".join(names), columns, ",".join(f for f in fields if f not in found), ",".join(policy), n["twice"])
+    return df.sparkSession.createDataFrame([row], _REPORT)
 
 
 def with_row_index(df: DataFrame, order: str = "seq", name: str = "row_index") -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.results import let, table
 from ..functions.scan import Reading, pattern_set
@@ -292,8 +293,8 @@ def is_purchase_intent(profile: Column) -> Column:
     return profile["intent_type"]["type"] == "PURCHASE"
 
 
-def profile_json(profile: Column, **context: Column) -> Column:
-    """The profile as JSON text, grouped for reading, confidences to three digits. ``context`` goes in as it is (lead_id, company, contact, raw_notes)."""
+def profile_record(profile: Column, **context: Column) -> Column:
+    """The profile grouped for reading, confidences to three digits. ``context`` goes in as it is (lead_id, company, contact, raw_notes)."""
     p, r3 = profile, lambda x: F.bround(x, 3)
     value = lambda d: p[d]["value"].alias(d)
 
@@ -316,4 +317,19 @@ def profile_json(profile: Column, **context: Column) -> Column:
     ]
     if context:
         parts.insert(0, F.struct(*(c.alias(k) for k, c in context.items())).alias("context"))
-    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+    return F.struct(*parts)
+
+
+def profile_json(profile: Column, **context: Column) -> Column:
+    """``profile_record`` as JSON text."""
+    return F.to_json(profile_record(profile, **context), {"ignoreNullFields": "false"})
+
+
+def profile_variant(profile: Column, **context: Column) -> Column:
+    """``profile_record`` as a variant, which keeps the types of all its fields and is read by path without parsing text."""
+    return F.to_variant_object(profile_record(profile, **context))
+
+
+def read_variant(stored: Column, like: T.DataType) -> Column:
+    """A stored record as typed columns again; ``like`` is the type of the record (``profile_record`` of any profile)."""
+    return F.variant_get(stored, "$", like.simpleString())

@@ -162,10 +162,14 @@ def filter_leads(df: DataFrame, bands=None, intent_types=None, sources=None, siz
     return df.where(cond)
 
 
-def search(df: DataFrame, query: str) -> DataFrame:
+#: The columns of the flat export in which records are searched.
+SEARCHED = ("company", "name", "email", "notes", "lead_id")
+
+
+def search(df: DataFrame, query: str, columns: tuple[str, ...] = SEARCHED) -> DataFrame:
     """Rows in which the pattern occurs in company, name, e-mail, notes or identifier, whatever its case."""
     hit = F.lit(False)
-    for column in ("company", "name", "email", "notes", "lead_id"):
+    for column in columns:
         hit = hit | F.coalesce(F.lower(column).rlike(query.lower()), F.lit(False))
     return df.where(hit)
 

@@ -16,9 +16,10 @@ from ..functions.fit import employees_of, in_profile, is_non_buyer, size_band, s
 from ..functions.results import all_codes, as_json
 from ..functions.texts import normalise, split_clauses, word_count
 from ..operators import cleaning, reports
-from ..operators.intent import extract_intent, profile_json
+from ..operators.intent import extract_intent, profile_json, profile_record, profile_variant, read_variant
 from ..operators.lexicon import LADDERS
 from ..operators.scoring import GROUPS
+from ..operators.search import indexed_search, write_search_index
 from ..sources.contacts import drop_test_rows, load_report, read_contacts, with_row_index
 from ..sources.settings import FIELDS
 from ..sources.shared import shared_path
@@ -141,6 +142,29 @@ def _json(spark, d):
     )
 
 
+def _profile_store(spark, d):
+    """All profiles stored as variants and read back with the types of their fields."""
+    path = shared_path(spark, "profiles")
+    rows = _scored(spark, d)
+    like = rows.select(profile_record(F.col("intent"), company=F.col("company")).alias("v")).schema["v"].dataType
+    rows.select("seq", profile_variant(F.col("intent"), company=F.col("company")).alias("v")).write.parquet(path)
+    p = F.col("p")
+    return spark.read.parquet(path).select("seq", read_variant(F.col("v"), like).alias("p"), F.variant_get("v", "$.negative_signals[0].code", "string").alias("first_negative")).select(
+        "seq", "first_negative", p["context"]["company"].alias("company"), p["intent"]["intent_type"].alias("intent_type"), p["intent"]["buying_stage"].alias("buying_stage"), p["buying_signals"]["timeline"].alias("timeline"), p["buying_signals"]["timeline_days"].alias("timeline_days"),
+        F.array_join(p["pain"]["problems"], ", ").alias("problems"), F.array_join(F.transform(p["negative_signals"], lambda n: n["code"]), ",").alias("negatives"), p["quality"]["confidence"].alias("confidence"),
+        F.size(p["quality"]["contradictions"]).cast("long").alias("contradictions"), p["quality"]["per_dimension"]["urgency"]["confidence"].alias("urgency_confidence"),
+    )
+
+
+_SEARCHED_FOR = "agency|dealership|@corp|l-1[0-9]$"
+
+
+def _indexed_search(spark, d):
+    path = shared_path(spark, "search")
+    write_search_index(_flat(spark, d), path)
+    return indexed_search(spark, path, _SEARCHED_FOR).select("row", "company")
+
+
 #: What is added to every third note, so that cells of the written files hold line feeds, quotes and commas.
 _SAID = '\n"said", and\n\nmore'
 
@@ -176,7 +200,8 @@ QUERIES = {
     "A17_ledger_totals": lambda s, d: reports.ledger_totals(_scored(s, d)),
     "A19_ledger_lines": lambda s, d: reports.ledger_lines(_scored(s, d)),
     "F2_filter_leads": lambda s, d: reports.filter_leads(_flat(s, d), bands=["CONTACT_NOW", "CONSIDER"], sources=["referral", "linkedin"], least_confidence=0.5).select("row", "band", "source", "size_band"),
-    "F3_search": lambda s, d: reports.search(_flat(s, d), "agency|dealership|@corp|l-1[0-9]$").select("row", "company"),
+    "F3_search": lambda s, d: reports.search(_flat(s, d), _SEARCHED_FOR).select("row", "company"),
+    "F3_indexed_search": _indexed_search,
     "G_scored_leads": lambda s, d: _flat(s, d).select("row", "raw_score", "score", "band", "route"),
     "N2_N16_intent_profiles": _resolved,
     "N8_intent_type": lambda s, d: _notes(s, d, intent_type=F.col("intent")["intent_type"]["type"]),
@@ -198,6 +223,7 @@ QUERIES = {
     "S5_kept_rows": lambda s, d: drop_test_rows(contacts(s, d)).select("seq", "lead_id", "source"),
     "S6_row_index": lambda s, d: with_row_index(drop_test_rows(contacts(s, d))).select("seq", "row_index"),
     "S10_profile_json": _json,
+    "S10_profile_store": _profile_store,
     "S11_flat_frame": _flat,
     "S12_load_report": lambda s, d: load_report(contacts(s, d)),
     "T1_sorted_ids": lambda s, d: cleaning.place_contacts(contacts(s, d)).select("seq", "lead_id", "place"),
@@ -271,6 +297,7 @@ ORACLES = {
     "S5_kept_rows": sql("kept", "SELECT seq, lead_id, source FROM kept"),
     "S6_row_index": sql("kept", "SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS row_index FROM kept"),
     "S10_profile_json": sql("scored", "SELECT seq, company, intent_type, decision_authority AS authority, confidence, coalesce(round_even(conf_urgency, 3), 0) AS urgency_confidence, codes[1] AS first_negative, email_code FROM scored"),
+    "S10_profile_store": sql("scored", "SELECT seq, codes[1] AS first_negative, company, intent_type, buying_stage, timeline, timeline_days, problems, array_to_string(codes, ',') AS negatives, confidence, CAST(n_conflicts AS BIGINT) AS contradictions, coalesce(round_even(conf_urgency, 3), 0) AS urgency_confidence FROM scored"),
     "S11_flat_frame": sql("scored", _FLAT),
     "S12_load_report": sql("kept policy dups", f"""SELECT (SELECT count(*) FROM c) AS rows_in_file, (SELECT count(*) FROM kept) AS rows_loaded, (SELECT count(*) FROM c) - (SELECT count(*) FROM kept) AS rows_dropped,
   (SELECT string_agg(lead_id, ',' ORDER BY seq) FROM (SELECT seq, lead_id FROM c WHERE seq NOT IN (SELECT seq FROM kept) ORDER BY seq LIMIT 5)) AS dropped_examples, '{",".join(FIELDS)}' AS headers, '{",".join(f"{f}={f}" for f in FIELDS)}' AS column_map, '' AS unmapped_fields,
@@ -284,3 +311,4 @@ ORACLES = {
     "W1_duplicates": sql("dups", "SELECT seq, is_duplicate FROM dups"),
     "W3_order_shares": "SELECT o_orderstatus, o_orderpriority, n, round(n / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS share FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)",
 }
+ORACLES["F3_indexed_search"] = ORACLES["F3_search"]

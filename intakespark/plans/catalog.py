@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import UP_TO, amount_options, parse_amount
+from ..functions.amounts import ABOUT, UP_TO, AmountConfig, amount_options, parse_amount
 from ..functions.contacts import domains_match, parse_email, parse_lead_id, parse_website, registrable
-from ..functions.dates import infer_order_policy, order_evidence, parse_date_column
+from ..functions.dates import DateConfig, infer_order_policy, order_evidence, parse_date_column
 from ..functions.fit import employees_of, in_profile, is_non_buyer, size_band, source_quality, title_authority
 from ..functions.results import all_codes, as_json
 from ..functions.texts import normalise, split_clauses, word_count
@@ -71,6 +71,23 @@ def _p3(spark, d):
     return rows.select("seq", F.col("r")["code"].alias("code"), F.col("r")["value"]["date"].cast("string").alias("parsed"), F.array_join(F.col("r")["warnings"], ",").alias("warnings"))
 
 
+def _p1d(spark, d):
+    """Amounts with each end of a range for its value."""
+    rows = contacts(spark, d).select("seq", *(parse_amount(F.col("monthly_budget"), range_policy=k).alias(k) for k in ("min", "max")))
+    columns = lambda k: (F.col(k)["code"].alias(f"{k}_code"), F.bround(F.col(k)["value"]["value"], 2).alias(f"{k}_value"), F.bround(F.col(k)["value"]["monthly"], 2).alias(f"{k}_monthly"))
+    return rows.select("seq", *columns("min"), *columns("max"))
+
+
+#: Dates outside are marked; those after the day of reading are refused.
+_WINDOW = DateConfig(plausible_from="2024-02-01", plausible_to="2024-05-31", reject_future=True)
+_READ_ON = "2024-06-15"
+
+
+def _p3c(spark, d):
+    rows = parse_date_column(contacts(spark, d), "created", "r", _WINDOW, F.lit(_READ_ON).cast("date"))
+    return rows.select("seq", F.col("r")["code"].alias("code"), F.col("r")["value"]["date"].cast("string").alias("parsed"), F.array_join(F.col("r")["warnings"], ",").alias("warnings"))
+
+
 def _p2(spark, d):
     o = amount_options(F.col("monthly_budget"))
     return contacts(spark, d).select("seq", o.alias("o")).select("seq", *(F.bround(F.col("o")[k], 2).alias(k) for k in ("min", "max", "avg")))
@@ -208,8 +225,10 @@ QUERIES = {
     "N9_problems": _problems,
     "N13_solution_intent": lambda s, d: _notes(s, d, solution_intent=F.col("intent")["solution_intent"]),
     "P1_amounts": _p1,
+    "P1d_amount_policies": _p1d,
     "P2_amount_options": _p2,
     "P3_dates": _p3,
+    "P3c_date_window": _p3c,
     "P4_date_policy": lambda s, d: infer_order_policy(drop_test_rows(contacts(s, d)), "created"),
     "P6_emails": _p6,
     "P7_lead_ids": _p7,
@@ -227,6 +246,7 @@ QUERIES = {
     "S11_flat_frame": _flat,
     "S12_load_report": lambda s, d: load_report(contacts(s, d)),
     "T1_sorted_ids": lambda s, d: cleaning.place_contacts(contacts(s, d)).select("seq", "lead_id", "place"),
+    "T3_invalid_first": lambda s, d: cleaning.place_contacts(contacts(s, d), invalid_last=False).select("seq", "lead_id", "place"),
     "T4_top_scores": lambda s, d: reports.top_by_score(_flat(s, d)).select("row", "raw_score", "band"),
     "T5_top_issues": lambda s, d: reports.top_by_issues(_flat(s, d)).select("row", "data_issues"),
     "T6_by_display_score": lambda s, d: reports.placed_by(_flat(s, d), "score").select("row", "score", "place"),
@@ -257,6 +277,16 @@ _ALL_REPORTS = " UNION ALL ".join([
     "SELECT 'all', NULL, NULL, count(*), count(*) FILTER (band IN ('CONTACT_NOW', 'CONSIDER')), round_even(coalesce(sum(budget_monthly) FILTER (band IN ('CONTACT_NOW', 'CONSIDER')), 0), 2) FROM scored",
 ])
 
+_CHOSEN = {"min": "CASE WHEN is_range THEN least(v[1], v[2]) ELSE v[1] END", "max": "CASE WHEN is_range THEN greatest(v[1], v[2]) ELSE v[1] END"}
+_PLAUSIBLE = f"BETWEEN {q(float(AmountConfig.min_plausible))} AND {q(float(AmountConfig.max_plausible))}"
+_policy_code = lambda x: f"CASE WHEN bad <> 'OUT_OF_RANGE' THEN bad WHEN {x} <> 0 AND NOT {x} {_PLAUSIBLE} THEN 'OUT_OF_RANGE' WHEN is_range OR regexp_matches(s, {q(ABOUT)}) THEN 'OK_ASSUMED' ELSE 'OK' END"
+_POLICIES = f"""SELECT seq, min_code, CASE WHEN min_code LIKE 'OK%' THEN round_even(x_min, 2) END AS min_value, CASE WHEN min_code LIKE 'OK%' THEN round_even(x_min * factor, 2) END AS min_monthly,
+  max_code, CASE WHEN max_code LIKE 'OK%' THEN round_even(x_max, 2) END AS max_value, CASE WHEN max_code LIKE 'OK%' THEN round_even(x_max * factor, 2) END AS max_monthly
+  FROM (SELECT *, {_policy_code("x_min")} AS min_code, {_policy_code("x_max")} AS max_code FROM (SELECT *, {_CHOSEN["min"]} AS x_min, {_CHOSEN["max"]} AS x_max FROM am6))"""
+_WINDOWED = f"""SELECT seq, code, CASE WHEN code LIKE 'OK%' THEN CAST(day AS VARCHAR) END AS parsed,
+  CASE WHEN code LIKE 'OK%' THEN concat_ws(',', CASE WHEN short THEN 'DATE_TWO_DIGIT_YEAR' END, CASE WHEN unclear THEN 'DATE_AMBIGUOUS_ORDER' END, CASE WHEN day NOT BETWEEN DATE '2024-02-01' AND DATE '2024-05-31' THEN 'DATE_OUT_OF_WINDOW' END) ELSE '' END AS warnings
+  FROM (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN day > DATE '2024-06-15' THEN 'DATE_FUTURE' WHEN unclear OR kind IN ('my', 'ym') THEN 'OK_ASSUMED' ELSE 'OK' END AS code FROM dt7)"""
+
 ORACLES = {
     "A1_A9_all_reports": sql("scored", _ALL_REPORTS),
     "A1_leads_per_band": sql("scored", "SELECT band, band_label, count(*) AS leads FROM scored GROUP BY ALL"),
@@ -282,8 +312,10 @@ ORACLES = {
     "N9_problems": sql("notes", "SELECT seq, problems, array_to_string(list_filter(cats, lambda x, i: list_position(cats, x) = i), ', ') AS categories FROM c JOIN notes n ON n.note = c.notes"),
     "N13_solution_intent": sql("note_profiles", "SELECT seq, CASE buying_stage WHEN 'AWARENESS' THEN 'GENERAL_INTEREST' WHEN 'EXPLORATION' THEN 'EXPLORATION' WHEN 'EVALUATION' THEN 'EVALUATION' WHEN 'DECISION' THEN 'EVALUATION' WHEN 'PURCHASE' THEN 'IMPLEMENTATION' ELSE 'UNKNOWN' END AS solution_intent FROM profiles"),
     "P1_amounts": sql("amounts", "SELECT seq, amount_code AS code, round_even(value, 2) AS value, round_even(monthly, 2) AS monthly, period, currency, array_to_string(amount_warnings, ',') AS warnings FROM amounts"),
+    "P1d_amount_policies": sql("amounts", _POLICIES),
     "P2_amount_options": sql("amounts", "SELECT a.seq, CASE WHEN amount_ok THEN round_even(CASE WHEN is_range THEN least(v[1], v[2]) WHEN is_open AND regexp_matches(s, " + q(UP_TO) + ") THEN 0 ELSE v[1] END, 2) END AS min, CASE WHEN amount_ok THEN round_even(CASE WHEN is_range THEN greatest(v[1], v[2]) ELSE v[1] END, 2) END AS max, CASE WHEN amount_ok THEN round_even(chosen, 2) END AS avg FROM amounts a JOIN am6 USING (seq)"),
     "P3_dates": sql("dates", "SELECT seq, date_code AS code, parsed, array_to_string(date_warnings, ',') AS warnings FROM dts"),
+    "P3c_date_window": sql("dates", _WINDOWED),
     "P4_date_policy": sql("policy", 'SELECT separator, ord AS "order" FROM policy'),
     "P6_emails": sql("emails", "SELECT seq, email_code AS code, address, array_to_string(email_warnings, ',') AS warnings FROM emails"),
     "P7_lead_ids": sql("ids", "SELECT seq, id_code AS code, id_canonical AS canonical, id_number AS number, array_to_string(id_warnings, ',') AS warnings FROM ids"),
@@ -303,6 +335,7 @@ ORACLES = {
   (SELECT string_agg(lead_id, ',' ORDER BY seq) FROM (SELECT seq, lead_id FROM c WHERE seq NOT IN (SELECT seq FROM kept) ORDER BY seq LIMIT 5)) AS dropped_examples, '{",".join(FIELDS)}' AS headers, '{",".join(f"{f}={f}" for f in FIELDS)}' AS column_map, '' AS unmapped_fields,
   (SELECT coalesce(string_agg(separator || '=' || ord, ',' ORDER BY separator), '') FROM policy) AS date_order_policy, (SELECT count(*) FILTER (is_duplicate) FROM dups) AS duplicate_ids"""),
     "T1_sorted_ids": sql("ids", "SELECT seq, lead_id, row_number() OVER (ORDER BY bad IS NOT NULL, id_number, CASE WHEN bad IS NULL THEN id_suffix ELSE lead_id END, id_prefix, seq) AS place FROM ids"),
+    "T3_invalid_first": sql("ids", "SELECT seq, lead_id, row_number() OVER (ORDER BY bad IS NULL, id_number, CASE WHEN bad IS NULL THEN id_suffix ELSE lead_id END, id_prefix, seq) AS place FROM ids"),
     "T4_top_scores": sql("scored", 'SELECT seq AS "row", raw_score, band FROM scored ORDER BY raw_score DESC, seq LIMIT 10'),
     "T5_top_issues": sql("scored", 'SELECT seq AS "row", CAST(data_issues AS INT) AS data_issues FROM scored WHERE data_issues > 0 ORDER BY data_issues DESC, seq LIMIT 25'),
     "T6_by_display_score": sql("scored", _by_place("score")),

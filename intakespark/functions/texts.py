@@ -144,15 +144,15 @@ def snippet(raw: Column, start: Column, end: Column, pad: int = 24) -> Column:
 
 
 def highlight(raw: Column, spans: Column) -> Column:
-    """The note as HTML with its evidence marked. ``spans`` are array<struct<s, e, kind>>; those that overlap are put together, kind "neg" is marked as such."""
-    kind = "array<struct<s:int,back:int,e:int,kind:string>>"
+    """The note as HTML with its evidence marked. ``spans`` are array<struct<s, e, kind>>; those that overlap are put together and have the kind of the first, of equal ones the first given; kind "neg" is marked as such."""
+    kind = "array<struct<s:int,back:int,nth:int,e:int,kind:string>>"
     safe = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
     fits = F.filter(spans, lambda x: (x["s"] >= 0) & (x["e"] <= F.length(raw)) & (x["e"] > x["s"]))
-    ordered = F.array_sort(F.transform(fits, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), x["e"].alias("e"), x["kind"].alias("kind")))).cast(kind)
+    ordered = F.array_sort(F.transform(fits, lambda x, i: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), i.alias("nth"), x["e"].alias("e"), x["kind"].alias("kind")))).cast(kind)
 
     def step(out: Column, x: Column) -> Column:
         last = F.try_element_at(out, F.lit(-1))
-        merged = F.struct(last["s"].alias("s"), last["back"].alias("back"), F.greatest(last["e"], x["e"]).alias("e"), F.coalesce(F.nullif(last["kind"], F.lit("")), x["kind"]).alias("kind"))
+        merged = F.struct(last["s"].alias("s"), last["back"].alias("back"), last["nth"].alias("nth"), F.greatest(last["e"], x["e"]).alias("e"), F.coalesce(F.nullif(last["kind"], F.lit("")), x["kind"]).alias("kind"))
         return F.when((F.size(out) > 0) & (x["s"] < last["e"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(merged))).otherwise(F.concat(out, F.array(x)))
 
     def shown(m: Column) -> Column:

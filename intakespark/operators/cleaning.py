@@ -115,7 +115,11 @@ def sort_contacts(df: DataFrame, reverse: bool = False, invalid_last: bool = Tru
     return df.orderBy(*sort_columns(reverse=reverse, invalid_last=invalid_last))
 
 
-def place_contacts(df: DataFrame, lead_id: LeadIdConfig | None = None, parts: int | None = None, invalid_last: bool = True) -> DataFrame:
-    """Add ``place``, the 1-based place of every contact by its identifier: valid ones by number, the others last, or first, by their text."""
+def place_contacts(df: DataFrame, lead_id: LeadIdConfig | None = None, parts: int | None = None, invalid_last: bool = True, reverse: bool = False) -> DataFrame:
+    """Add ``place``, the 1-based place of every contact by its identifier: valid ones by number, the others last, or first, by their text.
+
+    Reversed, the whole order is turned round, and ties stay in file order.
+    """
     df = df.withColumn("id_result", parse_lead_id(F.col("lead_id"), lead_id))
-    return with_place(df, sort_keys(invalid_last=invalid_last), parts=parts)
+    *keys, last = sort_keys(invalid_last=invalid_last)
+    return with_place(df, [*keys, -last if reverse else last], parts=parts, reverse=reverse)

@@ -43,8 +43,8 @@ def dealt_by_range(df: DataFrame, keys: list[Column], parts: int | None = None,
     return keyed.join(F.broadcast(bounds), F.lit(True)).withColumn("_part", _part(F.col("_key"), F.col("_bounds"), parts)).drop("_bounds")
 
 
-def with_place(df: DataFrame, keys: list[Column], name: str = "place", parts: int | None = None, per_part: int = 64) -> DataFrame:
-    """Add the 1-based place of every row in the rising order of ``keys``, which are unique together.
+def with_place(df: DataFrame, keys: list[Column], name: str = "place", parts: int | None = None, per_part: int = 64, reverse: bool = False) -> DataFrame:
+    """Add the 1-based place of every row in the rising order of ``keys``, which are unique together; reversed, counted from the end.
 
     The table is read for the sample, for the sizes of the parts and for the places; only the last one shuffles whole
     rows, to as many parts as asked for (by default as the session's shuffle partitions), each ranked on its own and
@@ -56,7 +56,8 @@ def with_place(df: DataFrame, keys: list[Column], name: str = "place", parts: in
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a part.
-    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     # One task a part: hashing the numbers of parts would put several into one task.
     ranked = dealt.repartitionById(parts, "_part").withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
-    return ranked.join(F.broadcast(shift), "_part").withColumn(name, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_part", "_key", "_rank", "_shift")
+    place = F.col("_rank") + F.col("_shift")
+    return ranked.join(F.broadcast(shift), "_part").withColumn(name, (F.col("_all") + 1 - place if reverse else place).cast("long")).drop("_part", "_key", "_rank", "_shift", "_all")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.results import all_codes
+from ..functions.texts import highlight, merge_spans
 from .cleaning import FIELD_RESULTS
+from .lexicon import LADDERS
 from .places import with_place
 
 BANDS = ("CONTACT_NOW", "CONSIDER", "NURTURE", "DISQUALIFY")
@@ -126,6 +128,30 @@ def ledger_lines(df: DataFrame) -> DataFrame:
     return lines.select("seq", place.alias("group_place"), F.col("pos").cast("int").alias("pos"), F.col("line")["group"].alias("line_group"), F.bround(F.col("line")["points"], 1).alias("points"))
 
 
+def ledger_texts(df: DataFrame) -> DataFrame:
+    """What every ledger line of every record says, and the evidence it rests on, in the order they are shown."""
+    lines = df.select("seq", F.posexplode("ledger").alias("pos", "line"))
+    return lines.select("seq", F.col("pos").cast("int").alias("pos"), F.col("line")["label"].alias("label"), F.col("line")["evidence"].alias("evidence"))
+
+
+def contradictions(df: DataFrame, intent: str = "intent") -> DataFrame:
+    """One row for every dimension in which a note says two things: what was kept, what was not, by which rule, and both quotes."""
+    rows = df.select("seq", F.explode(F.col(intent)["contradictions"]).alias("c"))
+    return rows.select("seq", *(F.col("c")[k].alias(k) for k in ("dimension", "kept", "rejected", "rule", "evidence_kept", "evidence_rejected")))
+
+
+def highlighted_notes(df: DataFrame, intent: str = "intent", notes: str = "notes") -> DataFrame:
+    """Every note as HTML with its evidence marked (the place of each dimension's reading, then the negative signals), and these places put together where they meet."""
+    p = F.col(intent)
+    raw = F.coalesce(F.col(notes), F.lit(""))
+    mark = lambda x, kind: F.struct(x["start"].alias("s"), x["end"].alias("e"), F.lit(kind).alias("kind"))
+    read = F.filter(F.array(*(mark(p[d], "pos") for d in LADDERS)), lambda m: m["s"].isNotNull())
+    marks = F.concat(read, F.transform(p["negatives"], lambda n: mark(n, "neg")))
+    merged = merge_spans(F.transform(marks, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))))
+    shown = F.array_join(F.transform(merged, lambda x: F.concat(x["s"].cast("string"), F.lit("-"), x["e"].cast("string"))), ",")
+    return df.select("seq", highlight(raw, marks).alias("html"), shown.alias("spans"))
+
+
 def ledger_totals(df: DataFrame) -> DataFrame:
     return df.select("seq", F.bround(F.aggregate("ledger", F.lit(0.0), lambda s, x: s + x["points"]), 1).alias("ledger_total"), "score")
 

@@ -6,6 +6,8 @@ and folder and kept, as reports on one load would be.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..functions.results import all_codes, as_json
 from ..functions.texts import normalise, split_clauses, word_count
 from ..operators import cleaning, reports
 from ..operators.intent import extract_intent, profile_json, profile_record, profile_variant, read_variant
-from ..operators.lexicon import LADDERS
+from ..operators.lexicon import LADDERS, load_lexicon
 from ..operators.scoring import GROUPS
 from ..operators.search import indexed_search, write_search_index
 from ..sources.contacts import drop_test_rows, load_report, read_contacts, with_row_index
@@ -127,6 +129,22 @@ def _resolved(spark, d):
     )
 
 
+def _of_notes(spark, d, report):
+    return report(extract_intent(contacts(spark, d, spread=True).select("seq", "notes")))
+
+
+#: A signal has to be this sure to count.
+_SURE = 0.82
+
+
+def _surer(spark, d):
+    """Readings of the notes where only sure signals count."""
+    lexicon = load_lexicon()
+    p = F.col("intent")
+    rows = extract_intent(contacts(spark, d, spread=True).select("seq", "notes"), lexicon=replace(lexicon, settings=lexicon.settings | {"min_signal_confidence": _SURE}))
+    return rows.select("seq", *(p[x]["value"].alias(x) for x in LADDERS), F.size(p["contradictions"]).cast("long").alias("contradictions"))
+
+
 def _problems(spark, d):
     p = F.col("intent")
     return _notes(spark, d, problems=F.array_join(F.transform(p["problems"], lambda x: x["label"]), ", "), categories=F.array_join(p["categories"], ", "))
@@ -219,11 +237,15 @@ QUERIES = {
     "F2_filter_leads": lambda s, d: reports.filter_leads(_flat(s, d), bands=["CONTACT_NOW", "CONSIDER"], sources=["referral", "linkedin"], least_confidence=0.5).select("row", "band", "source", "size_band"),
     "F3_search": lambda s, d: reports.search(_flat(s, d), _SEARCHED_FOR).select("row", "company"),
     "F3_indexed_search": _indexed_search,
+    "F6_surer_signals": _surer,
     "G_scored_leads": lambda s, d: _flat(s, d).select("row", "raw_score", "score", "band", "route"),
+    "G11_ledger_texts": lambda s, d: reports.ledger_texts(_scored(s, d)),
+    "G11_caps": lambda s, d: _scored(s, d).select("seq", F.array_join("caps", "; ").alias("caps"), "band_label"),
     "N2_N16_intent_profiles": _resolved,
     "N8_intent_type": lambda s, d: _notes(s, d, intent_type=F.col("intent")["intent_type"]["type"]),
     "N9_problems": _problems,
     "N13_solution_intent": lambda s, d: _notes(s, d, solution_intent=F.col("intent")["solution_intent"]),
+    "N14_contradictions": lambda s, d: _of_notes(s, d, reports.contradictions),
     "P1_amounts": _p1,
     "P1d_amount_policies": _p1d,
     "P2_amount_options": _p2,
@@ -246,6 +268,7 @@ QUERIES = {
     "S11_flat_frame": _flat,
     "S12_load_report": lambda s, d: load_report(contacts(s, d)),
     "T1_sorted_ids": lambda s, d: cleaning.place_contacts(contacts(s, d)).select("seq", "lead_id", "place"),
+    "T2_reversed_ids": lambda s, d: cleaning.place_contacts(contacts(s, d), reverse=True).select("seq", "lead_id", "place"),
     "T3_invalid_first": lambda s, d: cleaning.place_contacts(contacts(s, d), invalid_last=False).select("seq", "lead_id", "place"),
     "T4_top_scores": lambda s, d: reports.top_by_score(_flat(s, d)).select("row", "raw_score", "band"),
     "T5_top_issues": lambda s, d: reports.top_by_issues(_flat(s, d)).select("row", "data_issues"),
@@ -253,6 +276,7 @@ QUERIES = {
     "T7_by_raw_score": lambda s, d: reports.placed_by(_flat(s, d), "raw_score").select("row", "raw_score", "place"),
     "W1_duplicates": lambda s, d: cleaning.mark_duplicates(drop_test_rows(contacts(s, d)).withColumn("id_result", parse_lead_id(F.col("lead_id")))).select("seq", "is_duplicate"),
     "W3_order_shares": _frame_orders,
+    "W4_X6_highlighted_notes": lambda s, d: _of_notes(s, d, reports.highlighted_notes),
     "X2_conversation_clauses": _texts,
 }
 
@@ -287,6 +311,13 @@ _WINDOWED = f"""SELECT seq, code, CASE WHEN code LIKE 'OK%' THEN CAST(day AS VAR
   CASE WHEN code LIKE 'OK%' THEN concat_ws(',', CASE WHEN short THEN 'DATE_TWO_DIGIT_YEAR' END, CASE WHEN unclear THEN 'DATE_AMBIGUOUS_ORDER' END, CASE WHEN day NOT BETWEEN DATE '2024-02-01' AND DATE '2024-05-31' THEN 'DATE_OUT_OF_WINDOW' END) ELSE '' END AS warnings
   FROM (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN day > DATE '2024-06-15' THEN 'DATE_FUTURE' WHEN unclear OR kind IN ('my', 'ym') THEN 'OK_ASSUMED' ELSE 'OK' END AS code FROM dt7)"""
 
+# What was done to a band beside the score, in literals, not from the operators' tables. The places of bands are 0 to 3.
+_BAND = lambda k: f"['Contact now', 'Consider', 'Nurture', 'Disqualify'][{k} + 1]"
+_CAPS = f"""SELECT seq, array_to_string(list_filter([CASE WHEN capped <> by_score THEN 'Capped at ' || {_BAND("capped")} END, CASE WHEN placed < capped THEN 'Raised to ' || {_BAND("placed")} WHEN placed > capped THEN 'Held at ' || {_BAND("placed")} END,
+    CASE WHEN killed <> placed THEN 'Capped at ' || {_BAND("killed")} END, CASE WHEN place <> killed THEN 'Raised to ' || {_BAND("place")} END], lambda x: x IS NOT NULL), '; ') AS caps, {_BAND("place")} AS band_label
+  FROM (SELECT *, CASE WHEN list_contains(targets, 3) THEN 3 ELSE placed END AS killed FROM (SELECT *, CASE WHEN len(soft) > 0 THEN list_max(soft) ELSE capped END AS placed FROM scored))"""
+_SURER = sql("note_profiles", f"SELECT seq, {', '.join(LADDERS)}, n_conflicts AS contradictions FROM profiles").replace(f"WHERE conf >= {q(0.15)}", f"WHERE conf >= {q(_SURE)}")
+
 ORACLES = {
     "A1_A9_all_reports": sql("scored", _ALL_REPORTS),
     "A1_leads_per_band": sql("scored", "SELECT band, band_label, count(*) AS leads FROM scored GROUP BY ALL"),
@@ -306,10 +337,14 @@ ORACLES = {
     "A19_ledger_lines": sql("scored", f"SELECT seq, CAST({_GROUP_PLACE} AS INT) AS group_place, CAST(k - 1 AS INT) AS pos, x.g AS line_group, round_even(x.p, 1) + 0 AS points FROM (SELECT seq, k, ledger[k] AS x FROM (SELECT seq, ledger, unnest(range(1, len(ledger) + 1)) AS k FROM scored))"),
     "F2_filter_leads": sql("scored", "SELECT seq AS \"row\", band, source, size_band FROM scored WHERE band IN ('CONTACT_NOW', 'CONSIDER') AND source IN ('referral', 'linkedin') AND round_even(confidence, 2) >= 0.5"),
     "F3_search": sql("kept ids emails", f"SELECT k.seq AS \"row\", company FROM kept k JOIN (SELECT * EXCLUDE (lead_id) FROM ids) i USING (seq) JOIN emails e USING (seq) WHERE " + " OR ".join(f"regexp_matches(lower({x}), 'agency|dealership|@corp|l-1[0-9]$')" for x in ("company", "name", "notes", "coalesce(address, email)", _DISPLAY.replace("seq", "k.seq")))),
+    "F6_surer_signals": _SURER,
+    "G11_ledger_texts": sql("lines", "SELECT seq, CAST(k - 1 AS INT) AS pos, says[k].label AS label, says[k].evidence AS evidence FROM (SELECT seq, says, unnest(range(1, len(says) + 1)) AS k FROM lines)"),
+    "G11_caps": sql("scored", _CAPS),
     "G_scored_leads": sql("scored", 'SELECT seq AS "row", raw_score, score, band, route FROM scored'),
     "N2_N16_intent_profiles": sql("note_profiles", f"SELECT seq, {_PROFILE} FROM profiles"),
     "N8_intent_type": sql("note_profiles", "SELECT seq, intent_type FROM profiles"),
     "N9_problems": sql("notes", "SELECT seq, problems, array_to_string(list_filter(cats, lambda x, i: list_position(cats, x) = i), ', ') AS categories FROM c JOIN notes n ON n.note = c.notes"),
+    "N14_contradictions": sql("contradictions", "SELECT seq, dimension, kept, rejected, rule, evidence_kept, evidence_rejected FROM c JOIN contradictions x ON x.note = c.notes"),
     "N13_solution_intent": sql("note_profiles", "SELECT seq, CASE buying_stage WHEN 'AWARENESS' THEN 'GENERAL_INTEREST' WHEN 'EXPLORATION' THEN 'EXPLORATION' WHEN 'EVALUATION' THEN 'EVALUATION' WHEN 'DECISION' THEN 'EVALUATION' WHEN 'PURCHASE' THEN 'IMPLEMENTATION' ELSE 'UNKNOWN' END AS solution_intent FROM profiles"),
     "P1_amounts": sql("amounts", "SELECT seq, amount_code AS code, round_even(value, 2) AS value, round_even(monthly, 2) AS monthly, period, currency, array_to_string(amount_warnings, ',') AS warnings FROM amounts"),
     "P1d_amount_policies": sql("amounts", _POLICIES),
@@ -335,12 +370,14 @@ ORACLES = {
   (SELECT string_agg(lead_id, ',' ORDER BY seq) FROM (SELECT seq, lead_id FROM c WHERE seq NOT IN (SELECT seq FROM kept) ORDER BY seq LIMIT 5)) AS dropped_examples, '{",".join(FIELDS)}' AS headers, '{",".join(f"{f}={f}" for f in FIELDS)}' AS column_map, '' AS unmapped_fields,
   (SELECT coalesce(string_agg(separator || '=' || ord, ',' ORDER BY separator), '') FROM policy) AS date_order_policy, (SELECT count(*) FILTER (is_duplicate) FROM dups) AS duplicate_ids"""),
     "T1_sorted_ids": sql("ids", "SELECT seq, lead_id, row_number() OVER (ORDER BY bad IS NOT NULL, id_number, CASE WHEN bad IS NULL THEN id_suffix ELSE lead_id END, id_prefix, seq) AS place FROM ids"),
+    "T2_reversed_ids": sql("ids", "SELECT seq, lead_id, row_number() OVER (ORDER BY bad IS NOT NULL DESC, id_number DESC, CASE WHEN bad IS NULL THEN id_suffix ELSE lead_id END DESC, id_prefix DESC, seq) AS place FROM ids"),
     "T3_invalid_first": sql("ids", "SELECT seq, lead_id, row_number() OVER (ORDER BY bad IS NULL, id_number, CASE WHEN bad IS NULL THEN id_suffix ELSE lead_id END, id_prefix, seq) AS place FROM ids"),
     "T4_top_scores": sql("scored", 'SELECT seq AS "row", raw_score, band FROM scored ORDER BY raw_score DESC, seq LIMIT 10'),
     "T5_top_issues": sql("scored", 'SELECT seq AS "row", CAST(data_issues AS INT) AS data_issues FROM scored WHERE data_issues > 0 ORDER BY data_issues DESC, seq LIMIT 25'),
     "T6_by_display_score": sql("scored", _by_place("score")),
     "T7_by_raw_score": sql("scored", _by_place("raw_score")),
     "X2_conversation_clauses": sql("turns", "SELECT conv_id, turn, clauses, words, operative FROM turns"),
+    "W4_X6_highlighted_notes": sql("marked", "SELECT seq, html, spans FROM c JOIN marked m ON m.note = c.notes"),
     "W1_duplicates": sql("dups", "SELECT seq, is_duplicate FROM dups"),
     "W3_order_shares": "SELECT o_orderstatus, o_orderpriority, n, round(n / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS share FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)",
 }

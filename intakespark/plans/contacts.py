@@ -15,13 +15,22 @@ from ..sources.settings import Settings
 def process(df: DataFrame, lexicon: Lexicon | None = None, scoring: dict | None = None, as_of: Column | None = None, settings: Settings | None = None) -> DataFrame:
     """Scored records of raw contacts (seq and the canonical fields).
 
-    The plan is one wide projection over a scan. Write the result, or persist it, before filtering and joining it: the
-    optimiser derives constraints from all that lies below a filter, which takes it minutes on expressions of this size.
+    The plan is one wide projection over a scan. Write the result (``process_to``), or persist it, before filtering and
+    joining it: the optimiser derives constraints from all that lies below a filter, which takes it minutes on expressions of this size.
     """
     clean = clean_contacts(df, settings, as_of)
     return score(extract_intent(clean, "notes", "title_level", lexicon), scoring)
 
 
+def process_to(df: DataFrame, path: str, **options) -> DataFrame:
+    """``process`` written as Parquet under ``path``, which driver and executors share, and read back: the form to filter and join.
+
+    The plan ends at the table, so neither planning nor a lost executor goes back to the parsing of fields and notes.
+    """
+    process(df, **options).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def flat_frame(df: DataFrame) -> DataFrame:
     """The flat export: one row a record, nested results as plain columns."""
     p, r = F.col("intent"), lambda name: F.col(f"{name}_result")

@@ -166,6 +166,7 @@ fit AS (SELECT seq, head_count, CASE {" ".join(f"WHEN head_count BETWEEN {low} A
 # Notes: sentences, clauses, negation.
 _LEX = load_lexicon()
 _plain = lambda p: p.replace("(?=", "(?:")  # noqa: E731  (nothing follows a lookahead in the table)
+_ahead_of = lambda p: "(?:" + p.split("(?=", 1)[1] + "$" if "(?=" in p else ""  # noqa: E731  (what such a match holds too much)
 _END = r"[.!?;]\s+|\s+-\s+"
 _contrast = q(f"^(?:{'|'.join(texts.CONTRAST)})(?:[\\s,]|$)")
 _SUB = r"'^(?:so|because|since|while|which|as)\b'"
@@ -191,16 +192,16 @@ turns AS (SELECT conv_id, turn, coalesce(n, 0) AS clauses, CAST(len(regexp_extra
   FROM conversations t LEFT JOIN (SELECT note, count(*) AS n, count(*) FILTER (op) AS m FROM clauses GROUP BY note) x ON x.note = coalesce(t.text, ''))"""
 
 # Notes: rules and what they say.
-S["signals"] = rf"""{rows("pat", "r, p, pattern, dim, val, negated, strength, spec", [(k, i, _plain(p), r["dimension"], r["value"], r["negated_value"], r["strength"], r["specificity"]) for k, r in enumerate(_LEX.rules) for i, p in enumerate(r["patterns"])])},
+S["signals"] = rf"""{rows("pat", "r, p, pattern, ahead, dim, val, negated, strength, spec", [(k, i, _plain(p), _ahead_of(p), r["dimension"], r["value"], r["negated_value"], r["strength"], r["specificity"]) for k, r in enumerate(_LEX.rules) for i, p in enumerate(r["patterns"])])},
 si0 AS (SELECT c.*, p.*, regexp_split_to_array(text, pattern) AS gaps, regexp_extract_all(text, pattern) AS found FROM clauses c JOIN pat p ON regexp_matches(c.text, p.pattern)),
 si1 AS (SELECT *, unnest({places("gaps", "found")}) AS m FROM si0),
 si2 AS (SELECT *, CAST(m.s AS BIGINT) AS pos, len(list_filter(neg, lambda n: n.s <= m.s AND m.s < n.e)) > 0 AS is_neg FROM si1),
 si3 AS (SELECT *, substr(text, greatest(pos - {texts.MODAL_WINDOW}, 0) + 1, pos + {texts.MODAL_WINDOW} - greatest(pos - {texts.MODAL_WINDOW}, 0)) AS win FROM si2),
 si4 AS (SELECT *, greatest({q(0.4)}, least({q(1.2)}, CASE WHEN regexp_matches(win, {any_of(texts.HEDGES)}) THEN {q(0.75)} ELSE {q(1.0)} END * CASE WHEN regexp_matches(win, {any_of(texts.BOOSTERS)}) THEN {q(1.15)} ELSE {q(1.0)} END)) AS modal FROM si3),
-signals AS (SELECT note, dim, CASE WHEN is_neg THEN negated ELSE val END AS val, op, is_neg, strength * CASE WHEN is_neg THEN {q(0.95)} ELSE {q(1.0)} END AS st, spec, least({q(1.0)}, spec * modal) * CASE WHEN is_neg THEN {q(0.9)} ELSE {q(1.0)} END AS conf, c_at + pos AS start, ci, r, p, pos FROM si4 WHERE NOT is_neg OR negated IS NOT NULL)"""
+signals AS (SELECT note, dim, CASE WHEN is_neg THEN negated ELSE val END AS val, op, is_neg, strength * CASE WHEN is_neg THEN {q(0.95)} ELSE {q(1.0)} END AS st, spec, least({q(1.0)}, spec * modal) * CASE WHEN is_neg THEN {q(0.9)} ELSE {q(1.0)} END AS conf, c_at + pos AS start, c_at + CAST(m.e AS BIGINT) - CASE WHEN ahead <> '' THEN length(regexp_extract(substr(text, pos + 1, CAST(m.e AS BIGINT) - pos), ahead)) ELSE 0 END AS fin, ci, r, p, pos FROM si4 WHERE NOT is_neg OR negated IS NOT NULL)"""
 S["resolved"] = rf"""{rows("ladder", "dim, val, step", [(d, v, k) for d, vs in LADDERS.items() for k, v in enumerate(vs)])},
 re0 AS (SELECT s.*, l.step, row_number() OVER (PARTITION BY note, s.dim ORDER BY op DESC, st DESC, spec DESC, conf DESC, start, ci, r, p, pos) AS place FROM signals s JOIN ladder l ON s.dim = l.dim AND s.val = l.val WHERE conf >= {q(float(_LEX.settings["min_signal_confidence"]))}),
-resolved AS (SELECT w.note, w.dim, w.val, greatest({q(0.05)}, least({q(1.0)}, any_value(w.conf) + least({q(0.15)}, {q(0.05)} * (count(*) FILTER (g.val = w.val) - 1)) - CASE WHEN count(*) FILTER (g.val <> w.val AND (abs(g.step - w.step) >= 2 OR g.is_neg <> w.is_neg)) > 0 THEN {q(0.2)} ELSE {q(0.0)} END)) AS conf,
+resolved AS (SELECT w.note, w.dim, w.val, any_value(w.start) AS start, any_value(w.fin) AS fin, greatest({q(0.05)}, least({q(1.0)}, any_value(w.conf) + least({q(0.15)}, {q(0.05)} * (count(*) FILTER (g.val = w.val) - 1)) - CASE WHEN count(*) FILTER (g.val <> w.val AND (abs(g.step - w.step) >= 2 OR g.is_neg <> w.is_neg)) > 0 THEN {q(0.2)} ELSE {q(0.0)} END)) AS conf,
   count(*) FILTER (g.val <> w.val AND (abs(g.step - w.step) >= 2 OR g.is_neg <> w.is_neg)) > 0 AS conflict FROM re0 w JOIN re0 g ON w.note = g.note AND w.dim = g.dim WHERE w.place = 1 GROUP BY w.note, w.dim, w.val)"""
 _flat = lambda table, *cols: [(k, *(e[c] for c in cols), p) for k, (e, p) in enumerate((e, p) for e in table for p in e["patterns"])]
 S["notes"] = rf"""{rows("tp", "o, type, tconf, pattern", _flat(_LEX.intent_types, "type", "confidence"))}, {rows("pr", "o, label, category, pattern", [(k, e["label"], e["category"], "|".join(f"(?:{p})" for p in e["patterns"])) for k, e in enumerate(_LEX.problems)])},
@@ -219,6 +220,38 @@ notes AS (SELECT n.note, len(regexp_extract_all(n.note, '\S+')) AS n_words, trim
   FROM no1 n LEFT JOIN types t USING (note) LEFT JOIN prob p USING (note) LEFT JOIN negs g USING (note) LEFT JOIN ti1 i ON i.note = n.note AND i.place = 1)"""
 
 
+def quoted(raw: str, start: str, end: str) -> str:
+    """A stretch of a note with 24 signs on both sides, and marks where it was cut."""
+    low, high = f"greatest({start} - 24, 0)", f"least({end} + 24, length({raw}))"
+    body = strip(f"substr({raw}, CAST({low} + 1 AS BIGINT), CAST({high} - {low} AS BIGINT))")
+    return f"CASE WHEN {start} > 24 THEN '…' ELSE '' END || replace({body}, chr(10), ' ') || CASE WHEN {end} + 24 < length({raw}) THEN '…' ELSE '' END"
+
+
+# Quotes of notes: of each dimension's reading, of the problems named and of the negative signals.
+S["found"] = f"""{rows("qp", "kind, o, i, label, severity, pattern", [(kind, k, i, label(e), e.get("severity", 0.0), p) for kind, part, label in (("problem", _LEX.problems, lambda e: e["label"]), ("negative", _LEX.negatives, lambda e: e["code"] + ": " + e["reason"])) for k, e in enumerate(part) for i, p in enumerate(e["patterns"])])},
+qu0 AS (SELECT note, norm, kind, o, any_value(label) AS label, any_value(severity) AS severity, arg_min(pattern, i) AS pattern FROM no1 JOIN qp ON regexp_matches(norm, qp.pattern) GROUP BY ALL),
+found AS (SELECT *, CAST(length(regexp_split_to_array(norm, pattern)[1]) AS BIGINT) AS s, CAST(length(regexp_extract(norm, pattern)) AS BIGINT) AS len FROM qu0)"""
+S["quotes"] = f"""qu2 AS (SELECT note, kind, o, label, severity, {quoted("note", "s", "(s + len)")} AS quote FROM found),
+qu3 AS (SELECT note, coalesce(string_agg(quote, '; ' ORDER BY o) FILTER (kind = 'problem'), '') AS problem_quotes, coalesce(list({{'label': label, 'quote': quote}} ORDER BY severity DESC, o) FILTER (kind = 'negative'), []) AS negative_quotes FROM qu2 GROUP BY note),
+qu4 AS (SELECT note, dim, {quoted("note", "start", "fin")} AS quote FROM resolved),
+quotes AS (SELECT n.note, coalesce(q.problem_quotes, '') AS problem_quotes, coalesce(q.negative_quotes, []) AS negative_quotes, {", ".join(f"(SELECT any_value(quote) FROM qu4 r WHERE r.note = n.note AND dim = {q(d)}) AS said_{d}" for d in LADDERS)} FROM no1 n LEFT JOIN qu3 q USING (note))"""
+S["contradictions"] = f"""co0 AS (SELECT w.note, w.dim, w.val AS kept, g.val AS rejected, w.op AND NOT g.op AS later, w.start AS w_at, w.fin AS w_end, g.start AS g_at, g.fin AS g_end, row_number() OVER (PARTITION BY w.note, w.dim ORDER BY g.st DESC, g.ci, g.r, g.p, g.pos) AS place
+  FROM re0 w JOIN re0 g ON w.note = g.note AND w.dim = g.dim WHERE w.place = 1 AND g.val <> w.val AND (abs(g.step - w.step) >= 2 OR g.is_neg <> w.is_neg)),
+contradictions AS (SELECT note, dim AS dimension, kept, rejected, CASE WHEN later THEN 'post-contrast clause takes precedence' ELSE 'stronger, more specific evidence retained' END AS rule, {quoted("note", "w_at", "w_end")} AS evidence_kept, {quoted("note", "g_at", "g_end")} AS evidence_rejected FROM co0 WHERE place = 1)"""
+
+# Notes as HTML with their evidence marked.
+_safe = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+_islands = lambda name, gap, order: f"""{name}0 AS (SELECT *, coalesce(start {gap} max(fin) OVER (PARTITION BY note ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM spots),
+{name}1 AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY note ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS island FROM {name}0),
+{name}2 AS (SELECT note, island, min(start) AS s, max(fin) AS e, max(neg) FILTER (fresh) AS neg FROM {name}1 GROUP BY note, island)"""
+S["marked"] = f"""spots AS (SELECT DISTINCT note, start, fin, 0 AS neg FROM resolved UNION SELECT note, s, s + len, 1 FROM found WHERE kind = 'negative'),
+{_islands("hi", ">=", "start, fin DESC, neg")}, {_islands("me", ">", "start, fin, neg")},
+hi3 AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY note ORDER BY s), 0) AS before FROM hi2),
+hi4 AS (SELECT note, max(e) AS last, string_agg({_safe("substr(note, before + 1, s - before)")} || CASE WHEN neg = 1 THEN '<mark class="neg">' ELSE '<mark>' END || {_safe("substr(note, s + 1, e - s)")} || '</mark>', '' ORDER BY s) AS shown FROM hi3 GROUP BY note),
+me3 AS (SELECT note, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM me2 GROUP BY note),
+marked AS (SELECT n.note, coalesce(h.shown, '') || {_safe("substr(n.note, coalesce(h.last, 0) + 1)")} AS html, coalesce(m.spans, '') AS spans FROM no1 n LEFT JOIN hi4 h USING (note) LEFT JOIN me3 m USING (note))"""
+
+
 def profiles(source: str, level: str) -> str:
     """Profiles of contacts: what the note says, and the job title where the note names no authority."""
     dims = list(LADDERS)
@@ -268,9 +301,26 @@ S["fields"] = """fields AS (
   SELECT seq, 'Lead ID' AS field, NOT id_bad AS ok, lead_id AS raw, list_concat([id_code], id_warnings) AS codes FROM scored UNION ALL SELECT seq, 'Created', date_ok, created, list_concat([date_code], date_warnings) FROM scored UNION ALL
   SELECT seq, 'Email', email_ok, email, list_concat([email_code], email_warnings) FROM scored UNION ALL SELECT seq, 'Website', site_ok, website, list_concat([site_code], site_warnings) FROM scored UNION ALL SELECT seq, 'Budget', amount_ok, monthly_budget, list_concat([amount_code], amount_warnings) FROM scored)"""
 
+# What the lines of the ledger say. The conditions are those under which a line has points.
+_says = lambda cond, label, evidence: f"CASE WHEN {cond} THEN {{'label': {label}, 'evidence': coalesce({evidence}, '')}} END"
+_dimension_says = lambda d: f"coalesce(said_{d}, '(inferred from job title)')" if d == "decision_authority" else f"said_{d}"
+_quality_says = {
+    "invalid_email": ("'Invalid email (' || email_code || ')'", "email_raw"), "freemail": ("'Personal email domain'", "email_domain"), "role": ("'Role mailbox'", "address"), "missing_website": ("'Website empty'", "site_raw"),
+    "invalid_website": ("'Website ' || lower(replace(site_code, '_', ' '))", "site_raw"), "domain_match": ("'Email domain matches website'", "''"), "missing_notes": ("'No notes'", "''"), "duplicate": ("'Duplicate lead ID'", "lead_id"),
+    "bad_id": ("'Lead ID ' || id_code", "lead_id"),
+}
+S["lines"] = f"""lines AS (SELECT seq, list_filter(list_concat([{", ".join(_says(f"p_{d} <> 0", q(d.replace("_", " ").capitalize() + ": ") + f" || {d}", _dimension_says(d)) for d, _ in _points)},
+    {_says("bonus <> 0", "'Named problem: ' || problems", "problem_quotes")}, {_says("factor < 1 AND said <> 0", "'NLP confidence x' || printf('%.2f', factor)", "n_missing || ' field(s) not stated in the note'")},
+    {_says("size_p <> 0", "'Company size: ' || size_band", "employees")}, {_says("icp_p <> 0", "CASE WHEN icp THEN 'In target profile' ELSE 'Outside target profile' END", "company")},
+    {_says("source_p <> 0", "'Source: ' || coalesce(nullif(trim(source), ''), 'unknown')", "'channel quality ' || printf('%.2f', quality)")},
+    {_says("budget_p <> 0", "'Stated budget ' || CASE WHEN budget_monthly > 5000 THEN 'above floor' WHEN budget_monthly = 5000 THEN 'at floor' ELSE 'below floor' END", "monthly_budget")}, {_says("non_buyer", "'Non-buying role: ' || title", "title")},
+    {", ".join(_says(c, *_quality_says[k]) for c, k in _quality if _Q[k])}],
+    list_transform(negative_quotes, lambda x: {{'label': x.label, 'evidence': x.quote}}), [{_says("times <> 1", "intent_type || ' multiplier x' || times", "''")}]), lambda x: x IS NOT NULL) AS says FROM scored JOIN quotes USING (note))"""
+
 #: Steps that a step needs before it.
 NEEDS = {
     "kept": ["c"], "ids": ["c"], "dups": ["kept", "ids"], "evidence": ["kept"], "policy": ["evidence"], "dates": ["policy"], "emails": ["c"], "sites": ["c"], "amounts": ["c"], "fit": ["c"], "clauses": ["c"], "signals": ["clauses"], "resolved": ["signals"], "notes": ["resolved"],
+    "found": ["clauses"], "quotes": ["resolved", "found"], "contradictions": ["resolved"], "marked": ["resolved", "found"], "lines": ["scored", "quotes"],
     "note_profiles": ["notes"], "profiles": ["notes", "fit"], "scored": ["kept", "dups", "dates", "emails", "sites", "amounts", "profiles"], "fields": ["scored"],
 }
 S["note_profiles"] = profiles("c", "NULL")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from intakespark.operators.cleaning import place_contacts, sort_columns
+from intakespark.operators.cleaning import place_contacts, sort_columns, sort_contacts
 from intakespark.operators.places import dealt_by_range, with_place
 from intakespark.operators.reports import placed_by
 from intakespark.sources.contacts import load_report
@@ -69,3 +69,15 @@ def test_one_scan_in_the_plan(spark, tmp_path, capsys):
     _counted(spark.read.parquet(str(tmp_path / "c")), DROP, None, Observation()).explain()
     plan = capsys.readouterr().out
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_reversed_places(spark):
+    """The whole order turned round, ties in file order, as sorting says; the same for any number of parts."""
+    ids = ["L-7", "L-12", "l 12", "L-0012-dup", "header", "see notes", None, "", "ACM-12", "99"]
+    df = spark.createDataFrame([(k, ids[k * 7 % len(ids)]) for k in range(500)], "seq long, lead_id string").repartition(5)
+    for invalid_last in (True, False):
+        want = [r.seq for r in sort_contacts(df, reverse=True, invalid_last=invalid_last).collect()]
+        for parts in (2, 7, 40):
+            got = place_contacts(df, parts=parts, invalid_last=invalid_last, reverse=True).orderBy("place").collect()
+            assert [r.seq for r in got] == want and [r.place for r in got] == list(range(1, 501))
+    assert place_contacts(df.limit(0), reverse=True).count() == 0

@@ -20,7 +20,7 @@ from ..functions.texts import normalise, split_clauses, word_count
 from ..operators import cleaning, reports
 from ..operators.intent import extract_intent, profile_json, profile_record, profile_variant, read_variant
 from ..operators.lexicon import LADDERS, load_lexicon
-from ..operators.scoring import GROUPS
+from ..operators.scoring import GROUPS, load_scoring, score
 from ..operators.search import indexed_search, write_search_index
 from ..sources.contacts import drop_test_rows, load_report, read_contacts, with_row_index
 from ..sources.settings import FIELDS
@@ -145,6 +145,17 @@ def _surer(spark, d):
     return rows.select("seq", *(p[x]["value"].alias(x) for x in LADDERS), F.size(p["contradictions"]).cast("long").alias("contradictions"))
 
 
+#: Bands so low that readings cap, hold and raise them in every way, as a file of settings would say it.
+_LOW_BANDS = {"CONTACT_NOW": 0, "CONSIDER": -10, "NURTURE": -20, "DISQUALIFY": -999}
+
+
+def _low_bands(spark, d):
+    """The kept contacts scored again with other bands."""
+    config = load_scoring(data={"bands": [{"name": n, "min_score": least, "label": n.replace("_", " ").capitalize()} for n, least in _LOW_BANDS.items()]})
+    again = score(_scored(spark, d).drop("score", "display_score", "band", "band_label", "route", "ledger", "caps"), config)
+    return again.select("seq", F.array_join("caps", "; ").alias("caps"), "band_label", "score")
+
+
 def _problems(spark, d):
     p = F.col("intent")
     return _notes(spark, d, problems=F.array_join(F.transform(p["problems"], lambda x: x["label"]), ", "), categories=F.array_join(p["categories"], ", "))
@@ -241,6 +252,7 @@ QUERIES = {
     "G_scored_leads": lambda s, d: _flat(s, d).select("row", "raw_score", "score", "band", "route"),
     "G11_ledger_texts": lambda s, d: reports.ledger_texts(_scored(s, d)),
     "G11_caps": lambda s, d: _scored(s, d).select("seq", F.array_join("caps", "; ").alias("caps"), "band_label"),
+    "S7_G11_low_bands": _low_bands,
     "N2_N16_intent_profiles": _resolved,
     "N8_intent_type": lambda s, d: _notes(s, d, intent_type=F.col("intent")["intent_type"]["type"]),
     "N9_problems": _problems,
@@ -381,4 +393,8 @@ ORACLES = {
     "W1_duplicates": sql("dups", "SELECT seq, is_duplicate FROM dups"),
     "W3_order_shares": "SELECT o_orderstatus, o_orderpriority, n, round(n / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS share FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)",
 }
+_LOWER = sql("scored", _CAPS.replace("AS band_label", "AS band_label, raw_score AS score"))
+for _least, _low in ((82, 0), (50, -10), (22, -20)):
+    _LOWER = _LOWER.replace(f"total >= {_least} ", f"total >= {_low} ")
+ORACLES["S7_G11_low_bands"] = _LOWER
 ORACLES["F3_indexed_search"] = ORACLES["F3_search"]

@@ -1,7 +1,15 @@
 """What a query costs a row and a task, by plans and partitions: figures that grow with the table only where they must."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from intakespark.functions.amounts import PERIODS, parse_amount
 from intakespark.operators import reports
 from intakespark.operators.intent import extract_intent
+from intakespark.sources import shared
+from intakespark.sources.synthetic import contacts
+
+SF = "/root/testdata/sf0.001"
 
 
 
@@ -21,3 +29,22 @@ def test_contradictions_read_each_note_once(spark):
     assert optimised(found).count("post-contrast clause takes precedence") == 1
     assert {r["seq"] for r in found.collect()} <= {1}
     assert found.where("dimension is null").count() == 0
+
+
+@pytest.mark.parametrize("policy", ["min", "max"])
+def test_amounts_try_each_period_once(spark, policy):
+    rows = spark.createDataFrame([("900 per week",), ("$6k-$8k",), (None,)], "t string")
+    read = rows.select(parse_amount(F.col("t"), range_policy=policy).alias("r"))
+    text = optimised(read)
+    assert all(text.count(f"(?i){pattern}") == 1 for _, pattern in PERIODS)
+    week, span, none = (r["r"] for r in read.collect())
+    assert (week["value"]["period"], week["value"]["monthly"]) == ("week", 900 * 4.345)
+    assert span["value"]["value"] == {"min": 6000.0, "max": 8000.0}[policy] and span["code"] == "OK_ASSUMED"
+    assert (none["ok"], none["code"], none["value"], none["warnings"]) == (False, "EMPTY", None, [])
+
+
+def test_tasks_grow_with_the_contacts(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    n = contacts(spark, SF).count()
+    assert shared.tasks_for(spark, n) == n // 10 and shared.tasks_for(spark, n + 1) == n // 10 + 1
+    assert contacts(spark, SF).rdd.getNumPartitions() == n // 10

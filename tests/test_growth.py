@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from intakespark.functions.amounts import PERIODS, parse_amount
 from intakespark.operators import reports
 from intakespark.operators.intent import extract_intent
+from intakespark.plans import catalog
 from intakespark.sources import shared
 from intakespark.sources.synthetic import contacts
 
 SF = "/root/testdata/sf0.001"
 
 
-
 def optimised(df) -> str:
     """The optimised plan with nothing left out."""
     conf = df.sparkSession.conf
@@ -48,3 +48,10 @@ def test_tasks_grow_with_the_contacts(spark, monkeypatch):
     n = contacts(spark, SF).count()
     assert shared.tasks_for(spark, n) == n // 10 and shared.tasks_for(spark, n + 1) == n // 10 + 1
     assert contacts(spark, SF).rdd.getNumPartitions() == n // 10
+    catalog.release(spark)
+    try:
+        kept = catalog._scored(spark, SF)
+        sizes = [len(p) for p in kept.select("seq").rdd.glom().collect()]
+        assert len(sizes) == n // 10 and max(sizes) <= 20
+    finally:
+        catalog.release(spark)

@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from intakespark.functions.amounts import PERIODS, parse_amount
+from intakespark.functions.contacts import ID_PATTERN, group_numbers, parse_lead_id
 from intakespark.operators import reports
-from intakespark.operators.intent import extract_intent
+from intakespark.operators.cleaning import mark_duplicates
+from intakespark.operators.intent import _firsts, _Places, extract_intent
+from intakespark.operators.lexicon import load_lexicon
 from intakespark.plans import catalog
 from intakespark.sources import shared
 from intakespark.sources.synthetic import contacts
@@ -43,6 +46,14 @@ def test_amounts_try_each_period_once(spark, policy):
     assert (none["ok"], none["code"], none["value"], none["warnings"]) == (False, "EMPTY", None, [])
 
 
+def test_identifiers_are_parsed_once_on_each_side(spark):
+    rows = spark.createDataFrame([(0, "L-1"), (1, "l 1"), (2, ""), (3, ""), (4, "n/a"), (5, "2")], "seq long, lead_id string")
+    marked = mark_duplicates(rows.withColumn("id_result", parse_lead_id(F.col("lead_id"))))
+    once = optimised(rows.select(parse_lead_id(F.col("lead_id")).alias("r"))).count(group_numbers(ID_PATTERN)[0])
+    assert optimised(marked).count(group_numbers(ID_PATTERN)[0]) == 2 * once
+    assert [r["seq"] for r in marked.where("is_duplicate").collect()] == [1] and marked.count() == 6
+
+
 def test_tasks_grow_with_the_contacts(spark, monkeypatch):
     monkeypatch.setattr(shared, "TASK_ROWS", 10)
     n = contacts(spark, SF).count()
@@ -55,3 +66,15 @@ def test_tasks_grow_with_the_contacts(spark, monkeypatch):
         assert len(sizes) == n // 10 and max(sizes) <= 20
     finally:
         catalog.release(spark)
+
+
+def test_entries_met_follow_the_places_found(spark):
+    lexicon = load_lexicon()
+    rows = [p for p in _Places(lexicon).problems if p["n"] > 1][:1]
+    at, n = rows[0]["at"], rows[0]["n"]
+    found = [(p, 0, 1, None, False) for p in (at - 1, at, at + n - 1, at + n)]
+    df = spark.createDataFrame([(found,), ([],)], "found array<struct<pattern:int,s:int,e:int,number:string,negated:boolean>>")
+    met = df.select(_firsts(F.col("found"), rows, "at:int,n:int,label:string,category:string").alias("x"))
+    first, none = (r["x"] for r in met.collect())
+    assert [(x["m"]["pattern"], x["e"]["label"]) for x in first] == [(at, rows[0]["label"])] and none == []
+    assert df.select(_firsts(F.col("found"), [], "at:int,n:int").alias("x")).where(F.size("x") > 0).count() == 0
